@@ -167,23 +167,25 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-#: A key counts as hot from this share of the rows on; so there are at most 1 / HOT_SHARE hot keys.
-HOT_SHARE, SALTS = 1 / 500, 64
+#: Keys that may be salted, the rows from which a key is, and the most parts it is dealt to.
+HOT_KEYS, HOT_ROWS, SALTS = 500, 200, 64
 
 
-def hot_keys(left: DataFrame, key: str, least: int = 100) -> list:
-    """Keys with at least HOT_SHARE of all rows (and least rows): 500 at most, whatever the data."""
-    counts = left.groupBy(key).count()
-    total = counts.agg(F.sum("count")).first()[0] or 0
-    return [r[0] for r in counts.filter(F.col("count") >= max(least, total * HOT_SHARE)).select(key).collect() if r[0] is not None]
+def hot_keys(left: DataFrame, key: str, least: int = HOT_ROWS) -> list[tuple]:
+    """The HOT_KEYS most common keys, as far as they have least rows, with their rows. A key with 1 / HOT_KEYS of all rows is always among them."""
+    top = left.groupBy(key).count().filter(F.col("count") >= least).orderBy(F.desc("count"), key).limit(HOT_KEYS)
+    return [tuple(r) for r in top.collect() if r[0] is not None]
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, spread: str, how: str = "inner", hot: list | None = None) -> DataFrame:
-    """An equi-join on key in which left rows of hot keys are dealt by a hash of spread too, and their right rows copied SALTS times."""
+def salted_join(left: DataFrame, right: DataFrame, key: str, spread: str, how: str = "inner", hot: list[tuple] | None = None) -> DataFrame:
+    """An equi-join on key in which left rows of hot keys are dealt by a hash of spread too, and their right rows copied to each part."""
     hot = hot_keys(left, key) if hot is None else hot
     if not hot:
         return left.join(right, key, how)
-    is_hot = F.col(key).isin(hot)
-    salted = left.withColumn("salt_", F.when(is_hot, F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(0).cast("int"))
-    copied = right.withColumn("salt_", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    kind = left.schema[key].dataType.simpleString()
+    rows = [(k, min(SALTS, -(-n // HOT_ROWS))) for k, n in hot]
+    parts = F.broadcast(left.sparkSession.createDataFrame(rows, f"{key} {kind}, parts_ int"))  # at most HOT_KEYS rows
+    some = F.coalesce("parts_", F.lit(1))
+    salted = left.join(parts, key, "left").withColumn("salt_", F.pmod(F.xxhash64(spread), some).cast("int")).drop("parts_")
+    copied = right.join(parts, key, "left").withColumn("salt_", F.explode(F.sequence(F.lit(0), some - 1))).drop("parts_")
     return salted.join(copied, [key, "salt_"], how).drop("salt_")

@@ -7,8 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import license_scan, mixing, secret_scan, sharding
-from touchline.llm.common import table
+from touchline.llm import jaccard_join, license_scan, mixing, secret_scan, sharding, toxicity
+from touchline.llm.common import doc_crc, table
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", (F.pmod(doc_crc(), F.lit(4)) == 2).alias("held_out"), "score", "predicted", "n_tokens", "expected", "spans")
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +25,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), F.array("source"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -29,8 +39,10 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": op1_toxicity,
         "op2_sharding": op2_sharding,
         "op4_mixing": op4_mixing,
+        "op5_jaccard_join": op5_jaccard_join,
         "op6_license_scan": op6_license_scan,
         "op7_secret_scan": op7_secret_scan,
     }
