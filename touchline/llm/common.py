@@ -102,22 +102,28 @@ class Words:
         last[ends_doc] = inside[ends_doc]
         self.starts, self.ends = np.flatnonzero(first), np.flatnonzero(last) + 1
         self.first = np.searchsorted(self.starts, offsets)
-        self.hashes = np.empty(len(self.starts), dtype=np.uint64)
-        self.prefixes = {n: np.zeros(len(self.starts), dtype=np.uint64) for n in prefixes}
-        a = 0
-        while a < len(self.starts):
-            b = max(a + 1, int(np.searchsorted(self.ends, self.starts[a] + SLICE_BYTES, side="right")))
-            s, e = self.starts[a:b] - self.starts[a], self.ends[a:b] - self.starts[a]
-            part = data[self.starts[a] : self.ends[b - 1]]
-            sums = np.empty(len(part) + 1, dtype=np.uint64)
-            sums[0] = 0
-            np.cumsum(_BYTE[part] * _powers(len(part), _BASE)[: len(part)], out=sums[1:])
-            back = _powers(len(part), _BASE_INV)[s]
-            self.hashes[a:b] = mix((sums[e] - sums[s]) * back + (e - s).astype(np.uint64))
-            for n, out in self.prefixes.items():
-                at = np.minimum(s + n, e)
-                out[a:b] = np.where(e - s >= n, mix((sums[at] - sums[s]) * back + np.uint64(n) * _LANES[63]), np.uint64(0))
-            a = b
+        self.hashes, self.prefixes = range_hashes(data, self.starts, self.ends, prefixes)
+
+
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """Hashes of byte ranges that ascend and don't overlap, and of their first n bytes for each n (0 where they are shorter)."""
+    out = np.empty(len(starts), dtype=np.uint64)
+    leads = {n: np.zeros(len(starts), dtype=np.uint64) for n in prefixes}
+    a = 0
+    while a < len(starts):
+        b = max(a + 1, int(np.searchsorted(ends, starts[a] + SLICE_BYTES, side="right")))
+        s, e = starts[a:b] - starts[a], ends[a:b] - starts[a]
+        part = data[starts[a] : ends[b - 1]]
+        sums = np.empty(len(part) + 1, dtype=np.uint64)
+        sums[0] = 0
+        np.cumsum(_BYTE[part] * _powers(len(part), _BASE)[: len(part)], out=sums[1:])
+        back = _powers(len(part), _BASE_INV)[s]
+        out[a:b] = mix((sums[e] - sums[s]) * back + (e - s).astype(np.uint64))
+        for n, lead in leads.items():
+            at = np.minimum(s + n, e)
+            lead[a:b] = np.where(e - s >= n, mix((sums[at] - sums[s]) * back + np.uint64(n) * _LANES[63]), np.uint64(0))
+        a = b
+    return out, leads
 
 
 def shingles(hashes: np.ndarray, first: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -189,3 +195,11 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, spread: str, how: s
     salted = left.join(parts, key, "left").withColumn("salt_", F.pmod(F.xxhash64(spread), some).cast("int")).drop("parts_")
     copied = right.join(parts, key, "left").withColumn("salt_", F.explode(F.sequence(F.lit(0), some - 1))).drop("parts_")
     return salted.join(copied, [key, "salt_"], how).drop("salt_")
+
+
+def rolling(hashes: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the n items from each start on."""
+    sums = np.empty(len(hashes) + 1, dtype=np.uint64)
+    sums[0] = 0
+    np.cumsum(hashes * _powers(len(hashes), _BASE)[: len(hashes)], out=sums[1:])
+    return mix((sums[starts + n] - sums[starts]) * _powers(len(hashes), _BASE_INV)[starts])
