@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import decontam, jaccard_join, license_scan, mixing, secret_scan, sharding, substring_dedup, toxicity
+from touchline.llm import decontam, jaccard_join, license_scan, lm_score, mixing, secret_scan, sharding, substring_dedup, toxicity
 from touchline.llm.common import doc_crc, table
 
 
@@ -21,6 +21,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shuffle_into_shards(table(spark, sf_dir, "documents"), 8).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), F.array("source"))
 
@@ -49,6 +53,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
         "op2_sharding": op2_sharding,
+        "op3_lm_score": op3_lm_score,
         "op4_mixing": op4_mixing,
         "op5_jaccard_join": op5_jaccard_join,
         "op6_license_scan": op6_license_scan,
