@@ -159,17 +159,29 @@ def distinct_per_row(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np
     return values[keep], np.concatenate([[0], np.cumsum(np.bincount(rows[keep], minlength=len(at) - 1))])
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; one of its own only where none is set, as in tests."""
+    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if where is None:
+        import tempfile
+
+        where = tempfile.mkdtemp(prefix="checkpoint-")
+        spark.conf.set("spark.checkpoint.dir", where)
+    return where
+
+
+def stage_folder(spark: SparkSession) -> str:
+    """A new folder in the shared one, for the tables of one run."""
+    import uuid
+
+    return f"{shared_folder(spark).rstrip('/')}/stages-{uuid.uuid4()}"
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with files in the folder of spark.checkpoint.dir; sets one only where none is set, as in tests."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    """Cuts the lineage with files in the shared folder."""
+    context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        where = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        if where is None:
-            import tempfile
-
-            where = tempfile.mkdtemp(prefix="checkpoint-")
-        context.setCheckpointDir(where)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

@@ -8,16 +8,16 @@ link graph's components and exact counts; nothing is sampled or capped.
     rest in order of their hash. By the prefix filter, two sets that link share one of their first
     n - ceil(0.75 n) + 1 shingles, so only those are indexed: (shingle, class, size, position), the index lists.
 3.  A list is met block by block: blocks hold sets of like size, and a set skips the blocks whose sizes can't link
-    with its own. Pairs whose positions leave too few shingles for the overlap they need are skipped too.
-4.  Answers are derived, not recomputed: in each block the sets are first held against one pivot (the smallest of a
-    seeded hash). Sets that link with the pivot share its component, and no pair among them is ever formed. After
+    with its own. Pairs whose shared entries and their positions leave too few shingles for the overlap they need are
+    skipped too.
+4.  Answers are derived, not recomputed: in each block the sets are first held against one pivot (the smallest id,
+    later the smallest of a seeded hash). Sets that link with the pivot share its component, and no pair among them is ever formed. After
     each round only lists with several components are met again, with another pivot. What then is left is met pair
     by pair, but a pair (x, m) is skipped if m's pivot p shows that it can't link: |x & m| <= |x & p| + |m - p|,
     where |x & p| is known from x's failed test against p.
 5.  Every pair that is met is verified on the whole sets; components are grown between the rounds.
 
-Sets are recomputed from the texts for the documents in lists of two or more, and cached in the shared checkpoint
-folder. Sizes that could be broadcast are checked; beyond the bound the same step runs as a shuffled join.
+Sets are recomputed from the texts for the documents in pairs, and cached in the shared checkpoint folder. Sizes that could be broadcast are checked; beyond the bound the same step runs as a shuffled join.
 
 Defined results: texts with fewer than 5 words have one shingle, the whole sequence; null texts and texts without
 words have none and link with nothing; rows with a null id get the component of their set; repeated rows each
@@ -42,7 +42,7 @@ COMMON = 1 << 18
 LOCAL, HELD = 3, 6_000_000
 #: Ids that may be broadcast to pick documents without a shuffle (8 bytes each).
 PICK = 2_000_000
-ROUNDS = 3
+ROUNDS = 2
 SHINGLE, NUM, DEN = 5, 3, 4  # similarity NUM / DEN
 
 
@@ -167,36 +167,48 @@ def _overlaps(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "na", "nb", "a_items", "b_items").mapInArrow(run, "a long, b long, na long, nb long, o long")
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b, na, nb) with their overlap o. b is the side that may be hot; its set goes out in salted copies."""
+def verify(pairs: DataFrame, docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """Distinct pairs (a, b, na, nb) with their overlap o, from the whole texts of the documents in pairs.
+
+    b is the side that may be hot; its set goes out in salted copies.
+    """
+    ids = checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    picked = docs.join(F.broadcast(ids) if ids.count() <= PICK else ids, "id")
+    sets = checkpoint(whole_sets(picked, size).dropDuplicates(["id"]))
     first = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("a_items")), "a")
     second = sets.select(F.col("id").alias("b"), F.col("items").alias("b_items"))
     return _overlaps(salted_join(first, second, "b", "a", hot=hot_keys(pairs, "b")))
 
 
-def components(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """(id, comp) for all ids in edges (a, b): the smallest id reachable. Hooks to the smallest neighbour, then halves paths."""
-    pairs = edges.select("a", "b")
-    if labels is not None:
-        pairs = pairs.unionByName(labels.select(F.col("id").alias("a"), F.col("comp").alias("b")))
-    pairs = checkpoint(pairs.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+def may_link(na: Column, nb: Column, shared: Column, last_a: Column, last_b: Column) -> Column:
+    """Whether sets that share so many prefix entries, the last at these positions, can still link.
+
+    Beyond their last shared entry both have what follows it; and beyond the end of the prefix that ends first, its set
+    has what follows that prefix.
+    """
+    rest = lambda n: F.ceil(n * F.lit(NUM) / F.lit(DEN)) - 1
+    return shared + F.least(F.greatest(rest(na), rest(nb)), na - 1 - last_a, nb - 1 - last_b) >= need(na, nb)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(id, comp) for all ids in edges (a, b): the smallest id reachable.
+
+    Every id is hung under its smallest neighbour and its other neighbours are passed on to that one, until each has one
+    parent; then parents are replaced by their own parents until all are roots. Parents are looked up once each, so that
+    a root with very many children is one row in the exchange.
+    """
+    pairs = checkpoint(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    while pairs.groupBy("a").count().filter("count > 1").limit(1).count():
+        named = pairs.join(pairs.groupBy("a").agg(F.min("b").alias("m")), "a")
+        named = named.select("a", F.col("m").alias("b")).unionByName(named.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
+        pairs = checkpoint(named.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while True:
-        # each id points to its smallest neighbour; its other neighbours are passed on to that one
-        down = pairs.groupBy("a").agg(F.min("b").alias("m"))
-        passed = salted_join(pairs, down, "a", "b")
-        large = passed.select("a", F.col("m").alias("b")).unionByName(passed.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
-        new = checkpoint(large.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-        twice = new.groupBy("a").count().filter("count > 1").limit(1).count()
-        if not twice:
-            # every id has one parent; follow parents to the roots
-            up = new
-            while True:
-                step = salted_join(up, new.select(F.col("a").alias("b"), F.col("b").alias("up")), "b", "a", "left")
-                moved = checkpoint(step.select("a", F.coalesce("up", "b").alias("c"), F.col("up").isNotNull().alias("moved")))
-                if not moved.filter("moved").limit(1).count():
-                    return moved.select(F.col("a").alias("id"), F.col("c").alias("comp"))
-                up = new = moved.select("a", F.col("c").alias("b"))
-        pairs = new
+        up = checkpoint(pairs.select("b").distinct().join(pairs.select(F.col("a").alias("b"), F.col("b").alias("up")), "b"))
+        n = up.count()
+        if not n:
+            return pairs.select(F.col("a").alias("id"), F.col("b").alias("comp"))
+        moved = pairs.join(F.broadcast(up), "b", "left") if n <= PICK else salted_join(pairs, up, "b", "a", "left")
+        pairs = checkpoint(moved.select("a", F.coalesce("up", "b").alias("b")))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, common: int = COMMON, rounds: int = ROUNDS) -> DataFrame:
@@ -229,32 +241,26 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def _links(flat: DataFrame, lists: DataFrame, size: int, rounds: int) -> tuple[DataFrame, DataFrame]:
-    """All verified pairs that link, enough of them for the components to be complete; and all pairs verified."""
-    ids = lists.select("id").distinct()
-    n_ids = ids.count()
-    picked = flat.join(F.broadcast(ids) if n_ids <= PICK else ids, "id").dropDuplicates(["id"])
-    sets = checkpoint(whole_sets(picked, size))
-    tested = links = comp = None
-    left = lists
+    """Verified pairs that link, enough of them for the components to be complete; and all pairs verified."""
+    tested = links = None
+    left = lists.withColumn("comp", F.col("id"))
     for k in range(rounds):
-        pivot = F.struct(F.xxhash64(F.lit(k), "id").alias("h"), F.col("id").alias("p"), F.col("n").alias("np"), F.col("pos").alias("pp"))
-        chosen = left.groupBy("s", "block").agg(F.min(pivot).alias("pivot"), F.count("*").alias("many")).filter("many > 1").select("s", "block", F.col("pivot.p").alias("b"), F.col("pivot.np").alias("nb"), F.col("pivot.pp").alias("pb"))
-        near = left.join(chosen, ["s", "block"]).filter(F.col("id") != F.col("b"))
-        near = near.filter(1 + F.least(F.col("n") - F.col("pos"), F.col("nb") - F.col("pb")) - 1 >= need(F.col("n"), F.col("nb")))
+        # first the smallest id, so that each set has one parent; then another
+        pivot = F.struct((F.xxhash64(F.lit(k), "id") if k else F.col("id")).alias("h"), F.col("id").alias("p"), F.col("n").alias("np"), F.col("pos").alias("pp"), F.col("comp").alias("cp"))
+        chosen = left.groupBy("s", "block").agg(F.min(pivot).alias("x"), F.count("*").alias("many")).filter("many > 1").select("s", "block", F.col("x.p").alias("b"), F.col("x.np").alias("nb"), F.col("x.pp").alias("pb"), F.col("x.cp").alias("cb"))
+        near = left.join(chosen, ["s", "block"]).filter("comp <> cb").groupBy("id", "n", "b", "nb").agg(F.count("*").alias("shared"), F.max("pos").alias("i"), F.max("pb").alias("j"))
+        near = near.filter(may_link(F.col("n"), F.col("nb"), F.col("shared"), F.col("i"), F.col("j")))
         # one pivot a set and round: the one it shares most list entries with
-        best = near.groupBy("id", "n", "b", "nb").agg(F.count("*").alias("shared")).groupBy("id", "n").agg(F.max(F.struct("shared", F.xxhash64(F.lit(k), "b").alias("h"), "b", "nb")).alias("x"))
+        best = near.groupBy("id", "n").agg(F.max(F.struct("shared", F.xxhash64(F.lit(k), "b").alias("h"), "b", "nb")).alias("x"))
         pairs = best.select(F.col("id").alias("a"), F.col("x.b").alias("b"), F.col("n").alias("na"), F.col("x.nb").alias("nb"))
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b").unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
-        done = checkpoint(verify(checkpoint(pairs), sets))
+        done = checkpoint(verify(checkpoint(pairs), flat, size))
         new = done.filter(F.col("o") >= need(F.col("na"), F.col("nb")))
-        tested = done if tested is None else checkpoint(tested.unionByName(done))
+        tested = done if tested is None else tested.unionByName(done)
         links = new if links is None else links.unionByName(new)
-        comp = components(links)
-        left = checkpoint(_several(lists, comp))
-        if left.limit(1).count() == 0:
-            return links, tested
-    final = checkpoint(verify(checkpoint(_rest(left, tested, links)), sets))
+        left = checkpoint(_several(lists, components(links)))
+    final = checkpoint(verify(checkpoint(_rest(left, tested, links)), flat, size))
     return links.unionByName(final.filter(F.col("o") >= need(F.col("na"), F.col("nb")))), tested.unionByName(final)
 
 
@@ -271,12 +277,15 @@ def _rest(left: DataFrame, tested: DataFrame, links: DataFrame) -> DataFrame:
     both = links.select("a", "b", F.col("na").alias("n"), "o").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("nb").alias("n"), "o"))
     pivots = both.groupBy(F.col("a").alias("id")).agg(F.min(F.struct((F.col("n") - F.col("o")).alias("out"), F.col("b").alias("p"))).alias("x")).select("id", F.col("x.p").alias("p"), F.col("x.out").alias("out"))
     named = left.join(pivots, "id", "left")
+    # a set meets the later sets of its own block and all of the next
     probe = named.select("s", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"), F.explode(F.array("block", F.col("block") + 1)).alias("block"), F.col("block").alias("own"))
-    met = probe.join(named.select("s", "block", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"), "p", "out"), ["s", "block"])
+    met = probe.join(
+        named.select("s", "block", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"), "p", "out").withColumnRenamed("block", "block_b").withColumnRenamed("s", "s_b"),
+        (F.col("s") == F.col("s_b")) & (F.col("block") == F.col("block_b")) & (F.col("ca") != F.col("cb")) & ((F.col("own") != F.col("block_b")) | (F.col("a") < F.col("b"))) & (F.least("na", "nb") * DEN >= F.greatest("na", "nb") * NUM),
+    )
+    met = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"), F.max("pa").alias("i"), F.max("pb").alias("j"), F.first("p").alias("p"), F.first("out").alias("out"))
+    met = met.filter(may_link(F.col("na"), F.col("nb"), F.col("shared"), F.col("i"), F.col("j")))
     least = need(F.col("na"), F.col("nb"))
-    met = met.filter((F.col("ca") != F.col("cb")) & ((F.col("own") != F.col("block")) | (F.col("a") < F.col("b"))) & (F.least("na", "nb") * DEN >= F.greatest("na", "nb") * NUM))
-    met = met.filter(F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= least)
-    met = met.groupBy("a", "b", "na", "nb").agg(F.first("p").alias("p"), F.first("out").alias("out"))
     either = tested.select("a", "b", "o").unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b"), "o")).distinct()
     known = met.join(either.select("a", F.col("b").alias("p"), F.col("o").alias("op")), ["a", "p"], "left").filter(F.col("op").isNull() | (F.col("op") + F.col("out") >= least))
     return known.join(either.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "na", "nb")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import decontam, jaccard_join, license_scan, lm_score, mixing, secret_scan, sharding, substring_dedup, toxicity
+from touchline.llm import decontam, jaccard_join, license_scan, lm_score, media, mixing, secret_scan, sharding, substring_dedup, toxicity
 from touchline.llm.common import doc_crc, table
 
 
@@ -41,6 +41,10 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "blob")
 
 
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_features(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -49,6 +53,12 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -58,8 +68,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_jaccard_join": op5_jaccard_join,
         "op6_license_scan": op6_license_scan,
         "op7_secret_scan": op7_secret_scan,
+        "op8_media": op8_media,
         "op9_decontamination": op9_decontamination,
         "op10_substring_dedup": op10_substring_dedup,
+        "pipeline": pipeline,
     }
 
 
