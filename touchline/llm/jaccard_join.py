@@ -12,8 +12,8 @@ link graph's components and exact counts; nothing is sampled or capped.
     skipped too.
 4.  Answers are derived, not recomputed: in each block the sets are first held against one pivot (the smallest id,
     later the smallest of a seeded hash). Sets that link with the pivot share its component, and no pair among them is ever formed. After
-    each round only lists with several components are met again, with another pivot. What then is left is met pair
-    by pair, but a pair (x, m) is skipped if m's pivot p shows that it can't link: |x & m| <= |x & p| + |m - p|,
+    each round only lists with several components are met again, with several other pivots. What then is left is
+    met pair by pair, but a pair (x, m) is skipped if m's pivot p shows that it can't link: |x & m| <= |x & p| + |m - p|,
     where |x & p| is known from x's failed test against p.
 5.  Every pair that is met is verified on the whole sets; components are grown between the rounds.
 
@@ -39,10 +39,10 @@ from touchline.llm.common import LOWER, Words, checkpoint, distinct_per_row, hot
 #: Shingles put last in the global order, at most; a broadcast of 8 bytes each.
 COMMON = 1 << 18
 #: A task's own count from which it reports a shingle, and shingles that it holds before it reports.
-LOCAL, HELD = 3, 6_000_000
+LOCAL, HELD = 2, 6_000_000
 #: Ids that may be broadcast to pick documents without a shuffle (8 bytes each).
 PICK = 2_000_000
-ROUNDS = 2
+ROUNDS, PIVOTS = 2, 6
 SHINGLE, NUM, DEN = 5, 3, 4  # similarity NUM / DEN
 
 
@@ -245,14 +245,17 @@ def _links(flat: DataFrame, lists: DataFrame, size: int, rounds: int) -> tuple[D
     tested = links = None
     left = lists.withColumn("comp", F.col("id"))
     for k in range(rounds):
-        # first the smallest id, so that each set has one parent; then another
-        pivot = F.struct((F.xxhash64(F.lit(k), "id") if k else F.col("id")).alias("h"), F.col("id").alias("p"), F.col("n").alias("np"), F.col("pos").alias("pp"), F.col("comp").alias("cp"))
-        chosen = left.groupBy("s", "block").agg(F.min(pivot).alias("x"), F.count("*").alias("many")).filter("many > 1").select("s", "block", F.col("x.p").alias("b"), F.col("x.np").alias("nb"), F.col("x.pp").alias("pb"), F.col("x.cp").alias("cb"))
-        near = left.join(chosen, ["s", "block"]).filter("comp <> cb").groupBy("id", "n", "b", "nb").agg(F.count("*").alias("shared"), F.max("pos").alias("i"), F.max("pb").alias("j"))
-        near = near.filter(may_link(F.col("n"), F.col("nb"), F.col("shared"), F.col("i"), F.col("j")))
-        # one pivot a set and round: the one it shares most list entries with
-        best = near.groupBy("id", "n").agg(F.max(F.struct("shared", F.xxhash64(F.lit(k), "b").alias("h"), "b", "nb")).alias("x"))
-        pairs = best.select(F.col("id").alias("a"), F.col("x.b").alias("b"), F.col("n").alias("na"), F.col("x.nb").alias("nb"))
+        # first the smallest id of a list; then several of a seeded order each, so that most sets meet a near one
+        order = [F.xxhash64(F.lit(i), "id") for i in range(PIVOTS)] if k else [F.col("id")]
+        pivots = F.array_distinct(F.array(*[F.min(F.struct(h.alias("h"), F.struct(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb")).alias("x")))["x"] for h in order]))
+        chosen = left.groupBy("s", "block").agg(pivots.alias("pivots"), F.count("*").alias("many")).filter("many > 1").drop("many")
+        near = left.join(chosen, ["s", "block"]).select("id", "n", "pos", "comp", F.inline("pivots")).filter("comp <> cb")
+        near = near.groupBy("id", "n", "b", "nb").agg(F.count("*").alias("shared"), F.max("pos").alias("i"), F.max("pb").alias("j")).filter(may_link(F.col("n"), F.col("nb"), F.col("shared"), F.col("i"), F.col("j")))
+        if k:
+            pairs = near.select(F.col("id").alias("a"), "b", F.col("n").alias("na"), "nb")
+        else:  # the one that a set shares most entries with
+            best = near.groupBy("id", "n").agg(F.max(F.struct("shared", F.col("b"), F.col("nb"))).alias("x"))
+            pairs = best.select(F.col("id").alias("a"), F.col("x.b").alias("b"), F.col("n").alias("na"), F.col("x.nb").alias("nb"))
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b").unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
         done = checkpoint(verify(checkpoint(pairs), flat, size))
