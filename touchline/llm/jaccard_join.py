@@ -13,8 +13,9 @@ link graph's components and exact counts; nothing is sampled or capped.
 4.  Answers are derived, not recomputed: in each block the sets are first held against one pivot (the smallest id,
     later the smallest of a seeded hash). Sets that link with the pivot share its component, and no pair among them is ever formed. After
     each round only lists with several components are met again, with several other pivots. What then is left is
-    met pair by pair, but a pair (x, m) is skipped if m's pivot p shows that it can't link: |x & m| <= |x & p| + |m - p|,
-    where |x & p| is known from x's failed test against p.
+    met pair by pair, but a pair (x, m) is skipped in the join itself if m's pivot p shows that it can't link:
+    |x & m| <= |x & p| + |m - p|, where |x & p| is known from x's failed test against p; and the same with x and m
+    exchanged. Only list entries early enough in both sets to be the first that a linking pair shares are met.
 5.  Every pair that is met is verified on the whole sets; components are grown between the rounds.
 
 Sets are recomputed from the texts for the documents in pairs, and cached in the shared checkpoint folder. Sizes that could be broadcast are checked; beyond the bound the same step runs as a shuffled join.
@@ -279,19 +280,27 @@ def _rest(left: DataFrame, tested: DataFrame, links: DataFrame) -> DataFrame:
     # each linked set's pivot, with how much of the set lies outside it
     both = links.select("a", "b", F.col("na").alias("n"), "o").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("nb").alias("n"), "o"))
     pivots = both.groupBy(F.col("a").alias("id")).agg(F.min(F.struct((F.col("n") - F.col("o")).alias("out"), F.col("b").alias("p"))).alias("x")).select("id", F.col("x.p").alias("p"), F.col("x.out").alias("out"))
-    named = left.join(pivots, "id", "left")
+    # what each set is known to share with pivots that it was held against: at most PIVOTS a list and round
+    known = tested.groupBy(F.col("a").alias("id")).agg(F.map_from_entries(F.collect_set(F.struct("b", "o"))).alias("known"))
+    named = left.join(pivots, "id", "left").join(known, "id", "left")
     # a set meets the later sets of its own block and all of the next
-    probe = named.select("s", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"), F.explode(F.array("block", F.col("block") + 1)).alias("block"), F.col("block").alias("own"))
+    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "pos", "comp", "p", "out", "known")]
+    probe = named.select("s", *side("a"), F.explode(F.array("block", F.col("block") + 1)).alias("block"), F.col("block").alias("own"))
+    na, nb, pa, pb = F.col("n_a"), F.col("n_b"), F.col("pos_a"), F.col("pos_b")
+    # the first entry that a linking pair shares has enough entries from it on in both sets; only such places are met
+    early = F.least(na - pa, nb - pb) >= need(na, nb)
+    possible = lambda x, y: F.coalesce(F.col(f"known_{x}")[F.col(f"p_{y}")] + F.col(f"out_{y}") >= need(na, nb), F.lit(True))
     met = probe.join(
-        named.select("s", "block", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"), "p", "out").withColumnRenamed("block", "block_b").withColumnRenamed("s", "s_b"),
-        (F.col("s") == F.col("s_b")) & (F.col("block") == F.col("block_b")) & (F.col("ca") != F.col("cb")) & ((F.col("own") != F.col("block_b")) | (F.col("a") < F.col("b"))) & (F.least("na", "nb") * DEN >= F.greatest("na", "nb") * NUM),
-    )
-    met = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"), F.max("pa").alias("i"), F.max("pb").alias("j"), F.first("p").alias("p"), F.first("out").alias("out"))
-    met = met.filter(may_link(F.col("na"), F.col("nb"), F.col("shared"), F.col("i"), F.col("j")))
+        named.select(F.col("s").alias("s_b"), F.col("block").alias("block_b"), *side("b")),
+        (F.col("s") == F.col("s_b")) & (F.col("block") == F.col("block_b")) & (F.col("comp_a") != F.col("comp_b")) & ((F.col("own") != F.col("block_b")) | (F.col("id_a") < F.col("id_b")))
+        & (F.least(na, nb) * DEN >= F.greatest(na, nb) * NUM) & early & possible("a", "b") & possible("b", "a"),
+    ).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), na.alias("na"), nb.alias("nb"), pa.alias("pa"), pb.alias("pb"))
+    met = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"), F.max("pa").alias("i"), F.max("pb").alias("j"))
+    # of what follows the early places of both sets, need - 1 entries at most are shared
     least = need(F.col("na"), F.col("nb"))
-    either = tested.select("a", "b", "o").unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b"), "o")).distinct()
-    known = met.join(either.select("a", F.col("b").alias("p"), F.col("o").alias("op")), ["a", "p"], "left").filter(F.col("op").isNull() | (F.col("op") + F.col("out") >= least))
-    return known.join(either.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "na", "nb")
+    met = met.filter(F.col("shared") + F.least(least - 1, F.col("na") - 1 - F.col("i"), F.col("nb") - 1 - F.col("j")) >= least)
+    either = tested.select("a", "b").unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    return met.join(either, ["a", "b"], "left_anti").select("a", "b", "na", "nb")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
