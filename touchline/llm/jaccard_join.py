@@ -87,13 +87,13 @@ def common_shingles(docs: DataFrame, size: int = SHINGLE, limit: int = COMMON) -
 
     counts = checkpoint(docs.select("text").mapInArrow(count, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")))
     levels = {r["level"]: r["count"] for r in counts.groupBy(F.floor(F.log2("n")).alias("level")).count().collect()}
-    least, total = 64, 0
+    least, total = None, 0
     for level in sorted(levels, reverse=True):
         total += levels[level]
         if total > limit:
             break
         least = level
-    rows = counts.filter(F.col("n") >= 2**least).toArrow() if levels else None  # at most limit rows
+    rows = None if least is None else counts.filter(F.col("n") >= 2**least).toArrow()  # at most limit rows
     if rows is None or not rows.num_rows:
         return np.zeros(0, dtype=np.uint64)
     values, n = rows["s"].to_numpy().view(np.uint64), rows["n"].to_numpy()
