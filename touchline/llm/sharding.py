@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes that a bucket should hold; it is one array in memory in pass 2.
 BUCKET_ROWS, BUCKET_BYTES = 1024, 8 << 20
+#: Buckets in a partition of pass 2, and partitions at most.
+PART_BUCKETS, MAX_PARTS = 8, 50_000
 #: Buckets whose sizes one window task adds up.
 SUPER = 1024
 
@@ -48,11 +50,11 @@ def shuffle_into_shards(docs: DataFrame, n_shards: int = 8, seed: int = 17, id_c
     buckets = max(1, math.ceil(max(total["n"] / bucket_rows, (total["bytes"] or 0) / bucket_bytes)))
     order = F.xxhash64(F.lit(seed), "doc_id", "text_crc32", "size")
     records = flat.select(order.alias("h"), "doc_id", "size", "text_crc32", *own, F.pmod(order, F.lit(buckets)).alias("bucket"))
-    shuffled = (
-        records.repartition("bucket")
-        .groupBy("bucket")
-        .agg(F.shuffle(F.sort_array(F.collect_list(F.struct("h", "doc_id", "size", "text_crc32", *own))), F.lit(seed)).alias("records"))
-    )
+    # Spark draws the numbers of a task's shuffles from one generator per partition; so which buckets a partition holds, and
+    # in which order, is fixed by the data alone, and a task that runs again gives the same rows
+    parts = min(MAX_PARTS, -(-buckets // PART_BUCKETS))
+    gathered = records.repartition(parts, "bucket").groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("h", "doc_id", "size", "text_crc32", *own))).alias("records"))
+    shuffled = gathered.sortWithinPartitions("bucket").select("bucket", F.shuffle("records", F.lit(seed)).alias("records"))
     at = F.col("start") + F.col("pos")
     return (
         shuffled.join(bucket_offsets(records), "bucket")
