@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 from touchline.llm import decontam, jaccard_join, substring_dedup
 
@@ -59,6 +60,24 @@ def test_group_of_near_copies_equals_search(spark):
         assert got == want
 
 
+def links_by_search(rows):
+    """Each row's number of other rows that it links with, all pairs tried."""
+    sets = [shingle_set(t) for _, t in rows]
+    return Counter((rows[k][0], sum(1 for j, b in enumerate(sets) if j != k and a and b and 100 * len(a & b) >= 75 * len(a | b))) for k, a in enumerate(sets))
+
+
+def test_links_equal_search(spark, docs, rows):
+    """All links, also those between sets of one component that share no verified pair."""
+    data = near_copies(3, 90) + [(500, None), (501, "")] + [(502 + i, t) for i, t in near_copies(3, 4)[:4]]
+    near = spark.createDataFrame(data, "doc_id long, text string")
+    for rounds in (1, 2):
+        got = Counter((r.doc_id, r.n_links) for r in jaccard_join.jaccard_components(near, common=64, rounds=rounds).collect())
+        assert got == links_by_search(data)
+    named = [r for r in rows if r[0] is not None]
+    got = Counter((r.doc_id, r.n_links) for r in jaccard_join.jaccard_components(docs.filter("doc_id is not null")).collect())
+    assert got == links_by_search(named)
+
+
 def test_keep_one_keeps_clean_rows(docs, rows):
     want = {c for _, c in by_search(rows).values()}
     kept = jaccard_join.keep_one(docs)

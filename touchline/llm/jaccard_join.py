@@ -1,7 +1,7 @@
 """Exact Jaccard join of documents' word-shingle sets, with set relations used to skip work.
 
 Two documents link when 100 * |x & y| >= 75 * |x | y| over their sets of distinct 5-word shingles. The answer is the
-link graph's components and exact counts; nothing is sampled or capped.
+link graph's components and each document's exact number of links; nothing is sampled or capped.
 
 1.  Equal sets are one class; only one member goes on.
 2.  Shingles that many documents share are counted (per task, then in total) and put last in one global order, the
@@ -11,12 +11,14 @@ link graph's components and exact counts; nothing is sampled or capped.
     with its own. Pairs whose shared entries and their positions leave too few shingles for the overlap they need are
     skipped too.
 4.  Answers are derived, not recomputed: in each block the sets are first held against one pivot (the smallest id,
-    later the smallest of a seeded hash). Sets that link with the pivot share its component, and no pair among them is ever formed. After
-    each round only lists with several components are met again, with several other pivots. What then is left is
-    met pair by pair, but a pair (x, m) is skipped in the join itself if m's pivot p shows that it can't link:
-    |x & m| <= |x & p| + |m - p|, where |x & p| is known from x's failed test against p; and the same with x and m
-    exchanged. Only list entries early enough in both sets to be the first that a linking pair shares are met.
-5.  Every pair that is met is verified on the whole sets; components are grown between the rounds.
+    later the smallest of a seeded hash), which gives overlaps with few pivots and most of the components. After each
+    round only lists with several components are met again, with several other pivots.
+5.  Then all pairs are met, whatever their components: a pair only at list entries early enough in both sets to be the
+    first that a linking pair shares, and not where both sets have the same entry before. With a common pivot p,
+    |x & p| + |y & p| - |p| <= |x & y| <= min(|x & p|, |y & p|) + min(|x - p|, |y - p|): pairs that the first bound links
+    are links, those that the second one rules out are dropped in the join, and the rest is verified on the whole sets.
+
+A document's links are counted from its class's: the other rows with the same set, and each linked class's rows.
 
 Sets are recomputed from the texts for the documents in pairs, and cached in the shared checkpoint folder. Sizes that could be broadcast are checked; beyond the bound the same step runs as a shuffled join.
 
@@ -213,7 +215,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, common: int = COMMON, rounds: int = ROUNDS) -> DataFrame:
-    """One row per document: id, n_shingles, component_id, n_copies (documents with the same set), n_tested (pairs of the class verified)."""
+    """One row per document: id, n_shingles, component_id, n_copies (documents with the same set), n_tested (pairs of the class verified),
+    n_links (other rows that it links with)."""
     flat = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     entries = checkpoint(index_entries(flat, common_shingles(flat, size, common), size))
     keys = ["n", "print_a", "print_b"]
@@ -221,28 +224,31 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # the prefix is a function of the set, so any member's will do
     lists = (
         entries.filter("n > 0").groupBy(*keys).agg(F.min("id").alias("rep"), F.first("prefix").alias("prefix")).filter("rep is not null")
-        .select(F.col("rep").alias("id"), "n", F.posexplode("prefix").alias("pos", "s"))
+        .select(F.col("rep").alias("id"), "n", "prefix", F.posexplode("prefix").alias("pos", "s")).withColumn("before", F.get("prefix", F.col("pos") - 1))
     )
     by_s = Window.partitionBy("s")
     # blocks: sizes within a factor of 4/3, so sets that link are in the same block or the next
     block = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DEN / NUM)) + 1e-9).cast("int")
-    lists = checkpoint(lists.withColumn("many", F.count("*").over(by_s)).filter("many > 1").select("s", "id", "n", "pos", block.alias("block")))
+    lists = checkpoint(lists.withColumn("many", F.count("*").over(by_s)).filter("many > 1").select("s", "id", "n", "pos", "before", block.alias("block")))
     links, tested = _links(flat, lists, size, rounds)
     comp = components(links)
+    ends = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = salted_join(ends, classes.select(F.col("rep").alias("b"), "n_copies"), "b", "a").groupBy(F.col("a").alias("rep")).agg(F.sum("n_copies").alias("others"))
     linked = (
         classes.join(comp.withColumnRenamed("id", "rep"), "rep", "left")
         .join(tested.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_tested")), "rep", "left")
-        .select(*keys, F.coalesce("comp", "rep").alias("component_id"), "n_copies", F.coalesce("n_tested", F.lit(0)).alias("n_tested"))
+        .join(others, "rep", "left")
+        .select(*keys, F.coalesce("comp", "rep").alias("component_id"), "n_copies", F.coalesce("n_tested", F.lit(0)).alias("n_tested"), (F.col("n_copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
     )
     set_key = F.concat_ws(":", *keys)
     narrow = entries.select("id", *keys).withColumn("set_key", set_key)
-    some = salted_join(narrow.filter("n > 0").drop(*keys), linked.withColumn("set_key", set_key).drop("print_a", "print_b"), "set_key", "id").select("id", F.col("n").alias("n_shingles"), "component_id", "n_copies", "n_tested")
-    none = narrow.filter("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_tested"))
+    some = salted_join(narrow.filter("n > 0").drop(*keys), linked.withColumn("set_key", set_key).drop("print_a", "print_b"), "set_key", "id").select("id", F.col("n").alias("n_shingles"), "component_id", "n_copies", "n_tested", "n_links")
+    none = narrow.filter("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_tested"), F.lit(0).cast("long").alias("n_links"))
     return some.unionByName(none).withColumnRenamed("id", id_col)
 
 
 def _links(flat: DataFrame, lists: DataFrame, size: int, rounds: int) -> tuple[DataFrame, DataFrame]:
-    """Verified pairs that link, enough of them for the components to be complete; and all pairs verified."""
+    """All pairs of classes that link, each once; and all pairs verified."""
     tested = links = None
     left = lists.withColumn("comp", F.col("id"))
     for k in range(rounds):
@@ -263,9 +269,12 @@ def _links(flat: DataFrame, lists: DataFrame, size: int, rounds: int) -> tuple[D
         new = done.filter(F.col("o") >= need(F.col("na"), F.col("nb")))
         tested = done if tested is None else tested.unionByName(done)
         links = new if links is None else links.unionByName(new)
-        left = checkpoint(_several(lists, components(links)))
-    final = checkpoint(verify(checkpoint(_rest(left, tested, links)), flat, size))
-    return links.unionByName(final.filter(F.col("o") >= need(F.col("na"), F.col("nb")))), tested.unionByName(final)
+        if k + 1 < rounds:
+            left = checkpoint(_several(lists, components(links)))
+    met = checkpoint(_rest(lists, tested, links))
+    final = checkpoint(verify(checkpoint(met.filter("not sure").drop("sure")), flat, size))
+    more = final.filter(F.col("o") >= need(F.col("na"), F.col("nb"))).select("a", "b")
+    return checkpoint(links.select("a", "b").unionByName(met.filter("sure").select("a", "b")).unionByName(more)), tested.unionByName(final)
 
 
 def _several(lists: DataFrame, comp: DataFrame) -> DataFrame:
@@ -275,32 +284,28 @@ def _several(lists: DataFrame, comp: DataFrame) -> DataFrame:
     return named.join(spread, "s")
 
 
-def _rest(left: DataFrame, tested: DataFrame, links: DataFrame) -> DataFrame:
-    """Pairs (a, b, na, nb) of different components that share a list entry and that no filter or known answer rules out."""
-    # each linked set's pivot, with how much of the set lies outside it
-    both = links.select("a", "b", F.col("na").alias("n"), "o").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("nb").alias("n"), "o"))
-    pivots = both.groupBy(F.col("a").alias("id")).agg(F.min(F.struct((F.col("n") - F.col("o")).alias("out"), F.col("b").alias("p"))).alias("x")).select("id", F.col("x.p").alias("p"), F.col("x.out").alias("out"))
-    # what each set is known to share with pivots that it was held against: at most PIVOTS a list and round
-    known = tested.groupBy(F.col("a").alias("id")).agg(F.map_from_entries(F.collect_set(F.struct("b", "o"))).alias("known"))
-    named = left.join(pivots, "id", "left").join(known, "id", "left")
+def _rest(lists: DataFrame, tested: DataFrame, links: DataFrame) -> DataFrame:
+    """Pairs (a, b, na, nb, sure) not tested yet that share a list entry and that no filter rules out; sure: known to link."""
+    # each set's pivot: of those that it links with the one with most links, so that many sets have it in common
+    many = links.groupBy("b").agg(F.count("*").alias("many"))
+    pivots = links.join(many, "b").groupBy(F.col("a").alias("id")).agg(F.max(F.struct("many", F.col("b").alias("p"), F.col("nb").alias("np"), "o")).alias("x")).select("id", "x.p", "x.np", "x.o")
+    named = lists.join(pivots, "id", "left")
     # a set meets the later sets of its own block and all of the next
-    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "pos", "comp", "p", "out", "known")]
-    probe = named.select("s", *side("a"), F.explode(F.array("block", F.col("block") + 1)).alias("block"), F.col("block").alias("own"))
-    na, nb, pa, pb = F.col("n_a"), F.col("n_b"), F.col("pos_a"), F.col("pos_b")
+    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("s", "id", "n", "pos", "before", "p", "o")]
+    key = lambda block: F.xxhash64("s", block)
+    probe = named.withColumn("at", F.explode(F.array("block", F.col("block") + 1))).select(key("at").alias("key"), (F.col("at") == F.col("block")).alias("own"), "np", *side("a"))
+    na, nb, pa, pb, oa, ob = (F.col(c) for c in ("n_a", "n_b", "pos_a", "pos_b", "o_a", "o_b"))
+    same = F.coalesce(F.col("p_a") == F.col("p_b"), F.lit(False))
     # the first entry that a linking pair shares has enough entries from it on in both sets; only such places are met
     early = F.least(na - pa, nb - pb) >= need(na, nb)
-    possible = lambda x, y: F.coalesce(F.col(f"known_{x}")[F.col(f"p_{y}")] + F.col(f"out_{y}") >= need(na, nb), F.lit(True))
-    met = probe.join(
-        named.select(F.col("s").alias("s_b"), F.col("block").alias("block_b"), *side("b")),
-        (F.col("s") == F.col("s_b")) & (F.col("block") == F.col("block_b")) & (F.col("comp_a") != F.col("comp_b")) & ((F.col("own") != F.col("block_b")) | (F.col("id_a") < F.col("id_b")))
-        & (F.least(na, nb) * DEN >= F.greatest(na, nb) * NUM) & early & possible("a", "b") & possible("b", "a"),
-    ).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), na.alias("na"), nb.alias("nb"), pa.alias("pa"), pb.alias("pb"))
-    met = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"), F.max("pa").alias("i"), F.max("pb").alias("j"))
-    # of what follows the early places of both sets, need - 1 entries at most are shared
-    least = need(F.col("na"), F.col("nb"))
-    met = met.filter(F.col("shared") + F.least(least - 1, F.col("na") - 1 - F.col("i"), F.col("nb") - 1 - F.col("j")) >= least)
+    first = ~F.coalesce(F.col("before_a") == F.col("before_b"), F.lit(False))
+    possible = ~same | (F.least(oa, ob) + F.least(na - oa, nb - ob) >= need(na, nb))
+    met = salted_join(probe, named.select(key("block").alias("key"), *side("b")), "key", "id_a").filter(
+        (F.col("s_a") == F.col("s_b")) & (F.col("id_a") != F.col("id_b")) & (~F.col("own") | (F.col("id_a") < F.col("id_b")))
+        & (F.least(na, nb) * DEN >= F.greatest(na, nb) * NUM) & early & first & possible
+    ).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), na.alias("na"), nb.alias("nb"), (same & (oa + ob - F.col("np") >= need(na, nb))).alias("sure")).distinct()
     either = tested.select("a", "b").unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    return met.join(either, ["a", "b"], "left_anti").select("a", "b", "na", "nb")
+    return met.join(either, ["a", "b"], "left_anti")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
