@@ -131,6 +131,44 @@ def test_items_equal_search(spark, rows, docs):
     assert kept.filter("doc_id not in (8, 9)").count() == len([r for r in some if r[0] not in bad])
 
 
+def similar(x, y):
+    """Weighted Jaccard similarity of two word lists' bags of 5-word shingles."""
+    bag = lambda v: Counter(tuple(v[a : a + 5]) for a in range(max(1, len(v) - 4)))
+    p, q = bag(x), bag(y)
+    return sum((p & q).values()) / sum((p | q).values())
+
+
+def test_short_documents_and_short_items(spark):
+    """Documents that are less than the item, items of fewer than 5 words inside longer ones, and an item's several places."""
+    r = random.Random(11)
+    fresh = lambda n: [f"f{r.randrange(10**7)}" for _ in range(n)]
+    long, brief = fresh(40), ["Mont", "Blanc", "massif"]
+    items = {1: long, 2: brief, 3: ["alone"], 4: fresh(12), 5: brief}
+    data = {k: long[:k] for k in range(28, 42)} | {100 + k: fresh(k) + ["mont", "BLANC", "massif"] + fresh(3) for k in range(4)}
+    data |= {200: fresh(9) + long + fresh(60) + long + fresh(2), 201: brief + brief, 202: ["mont", "blanc"], 203: items[4][1:], 204: ["alone"] * 3 + fresh(5), 205: long + long}
+    want = {}
+    for d, w in data.items():
+        w = [x.lower() for x in w]
+        for k, item in items.items():
+            v = [x.lower() for x in item]
+            n = min(len(v), len(w))
+            found = sorted((-similar(w[a : a + n], v), a) for a in range(len(w) - n + 1) if similar(w[a : a + n], v) >= 0.75)
+            places = []
+            for like, a in found:
+                if all(abs(a - b) >= n for b, _, _ in places):
+                    places.append((a, n, -like))
+            want |= {(d, k): sorted(places)} if places else {}
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in data.items()], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(v)) for k, v in items.items()], "item_id long, text string")
+    got = {}
+    for x in decontam.find_items(df, bench).collect():
+        got.setdefault((x.doc_id, x.item_id), []).append((x.start_word, x.n_words, x.similarity))
+    assert {k: sorted(v) for k, v in got.items()} == want
+    assert (39, 1) in want and (103, 2) in want and len(want[200, 1]) == len(want[201, 2]) == len(want[205, 1]) == 2
+    bad = {d for d, _ in want}
+    assert {x.doc_id for x in decontam.keep_uncontaminated(df, bench).collect()} == set(data) - bad
+
+
 def test_passages_equal_search(spark):
     r = random.Random(5)
     passage = [f"p{r.randrange(900)}" for _ in range(70)]

@@ -149,6 +149,14 @@ def shingles(hashes: np.ndarray, first: np.ndarray, size: int = 5) -> tuple[np.n
     return out, at
 
 
+def short_runs(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all runs of n words, as shingles() hashes a text of n words that is shorter than its size."""
+    out = np.full(max(0, len(hashes) - n + 1), n, dtype=np.uint64)
+    for j in range(n):
+        out += hashes[j : len(out) + j] * _LANES[8 + j]
+    return mix(out)
+
+
 def distinct_per_row(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorts each row's values and drops its repeats."""
     rows = np.repeat(np.arange(len(at) - 1), np.diff(at))

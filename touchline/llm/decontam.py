@@ -1,7 +1,7 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming search, exact verification.
 
 Texts and items are lower-cased (A-Z) words and their 5-word shingles; a shorter item is one shingle. For an item of w
-words, windows of w words slide over every document. A window's 64-bit SimHash (each shingle weighs as often as it
+words, windows of w words slide over every document; a document of fewer words is one window of its own size. A window's 64-bit SimHash (each shingle weighs as often as it
 occurs) is looked up in a multi-index: the fingerprint is cut into BLOCKS blocks, and two fingerprints within RADIUS
 bits agree in at least one block up to RADIUS // BLOCKS bits, so every item is filed under all block values that near.
 Candidates within RADIUS are verified: weighted Jaccard similarity (sum of minima over sum of maxima of the shingles'
@@ -9,18 +9,20 @@ counts) of window and item of at least 0.75. RADIUS is four standard deviations
 bits) at that similarity.
 
 Two lossless steps keep the number of fingerprints small: a window can reach similarity 0.75 only if at least 6/7 of its
-shingles are shingles of items of its size, and a running count of such shingles finds these windows.
+shingles are shingles of items of its size, and a running count of such shingles finds these windows. Windows of fewer
+than 5 words are one shingle, so they are looked up by its hash alone.
 
 The items are the stated query set. They are met in blocks of at most ITEM_BYTES of text, each broadcast; a further
 block is a further pass over the documents.
 
 Defined results: null and empty texts hold nothing; null and empty items, and items without words, are never found;
 repeated items are each found; repeated rows each give their rows; of overlapping windows of an item in a document the
-most similar (then the first) is returned.
+most similar (then the first) is returned, and each place that overlaps no better one has its row.
 """
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import LOWER, Words, shingles, slices, text_bytes
+from touchline.llm.common import LOWER, Words, shingles, short_runs, slices, text_bytes
 
 SHINGLE, NUM, DEN = 5, 3, 4
 RADIUS, BLOCKS = 23, 8
@@ -113,17 +115,47 @@ def windows(hits: np.ndarray, begins: np.ndarray, ends: np.ndarray, n: int, leas
     return np.unique(np.repeat(lo - np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64), size) + np.arange(size.sum())) if len(lo) else lo
 
 
+def best_places(found: list[tuple]) -> list[tuple]:
+    """Of the windows of one item in one text, the best (most similar, then first) that overlap no better one."""
+    starts, ends = [], []
+    kept = []
+    for x in sorted(found, key=lambda x: (-x[4], x[2])):
+        k = bisect(starts, x[2])
+        if (k == 0 or ends[k - 1] <= x[2]) and (k == len(starts) or x[2] + x[3] <= starts[k]):
+            starts.insert(k, x[2])
+            ends.insert(k, x[2] + x[3])
+            kept.append(x)
+    return sorted(kept, key=lambda x: x[2])
+
+
 class Finder:
     """Items found in runs of texts."""
 
     def __init__(self, classes: list[SizeClass]):
-        self.classes = classes
-        self.known = np.unique(np.concatenate([c.known for c in classes])) if classes else np.zeros(0, dtype=np.uint64)
+        self.short, self.classes = [c for c in classes if c.words < SHINGLE], [c for c in classes if c.words >= SHINGLE]
+        self.known = np.unique(np.concatenate([c.known for c in self.classes])) if self.classes else np.zeros(0, dtype=np.uint64)
         self.marks = np.zeros(1 << 20, dtype=bool)
         self.marks[(self.known >> np.uint64(44)).astype(np.int64)] = True
 
     def find(self, words: Words) -> list[tuple[int, int, int, int, float, int]]:
         """(text, item id, start word, words, similarity, distance)."""
+        by: dict[tuple, list] = {}
+        for x in self._short(words) + self._long(words):
+            by.setdefault(x[:2], []).append(x)
+        return [x for k in sorted(by) for x in best_places(by[k])]
+
+    def _short(self, words: Words) -> list[tuple]:
+        out = []
+        for c in self.short:
+            runs = short_runs(words.hashes, c.words)
+            hit = np.flatnonzero(np.isin(runs, c.known))
+            text = np.searchsorted(words.first, hit, side="right") - 1
+            inside = hit + c.words <= words.first[text + 1]
+            for s, t in zip(hit[inside].tolist(), text[inside].tolist(), strict=True):
+                out += [(t, int(c.ids[y]), s - int(words.first[t]), c.words, 1.0, 0) for y, (known, _) in enumerate(c.counts) if known[0] == runs[s]]
+        return out
+
+    def _long(self, words: Words) -> list[tuple]:
         out = []
         if not len(self.known):
             return out
@@ -134,7 +166,7 @@ class Finder:
         if not len(hit):
             return out
         text = np.searchsorted(at, hit, side="right") - 1
-        # texts and items of fewer than SHINGLE words are one shingle of a kind of their own: same size or no hit
+        n_words, n_shingles = np.diff(words.first), np.diff(at)
         for c in self.classes:
             own = np.isin(hashes[hit], c.known)
             mine = hit[own]
@@ -152,12 +184,16 @@ class Finder:
                     if like >= NUM / DEN:
                         t = int(np.searchsorted(at, s, side="right") - 1)
                         out.append((t, int(c.ids[y]), s - int(at[t]), c.words, like, int(z)))
-        best: dict[tuple, tuple] = {}
-        for x in out:
-            key = x[:2]
-            if key not in best or (-x[4], x[2]) < (-best[key][4], best[key][2]):
-                best[key] = x
-        return [best[k] for k in sorted(best)]
+            # texts of fewer words than the items, as one window each
+            hits = np.bincount(text[own], minlength=len(n_words))
+            for t in np.flatnonzero((n_words < c.words) & (hits > 0) & ((NUM + DEN) * hits >= NUM * (n_shingles + c.n))).tolist():
+                bag = hashes[at[t] : at[t + 1]]
+                _, i, d = c.candidates(pack(signs(bag).sum(axis=0, dtype=np.int64)[None, :]))
+                for y, z in zip(i.tolist(), d.tolist(), strict=True):
+                    like = c.similarity(bag, y)
+                    if like >= NUM / DEN:
+                        out.append((t, int(c.ids[y]), 0, int(n_words[t]), like, z))
+        return out
 
 
 def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> Iterator[list[tuple[int, bytes]]]:
@@ -171,7 +207,7 @@ def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int) ->
 
 
 def find_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", item_bytes: int = ITEM_BYTES) -> DataFrame:
-    """A row per document and item it holds, SCHEMA; documents without any have no row."""
+    """A row per document, item and place that holds it, SCHEMA; documents without any have no row."""
     flat = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     out = None
     for items in item_blocks(benchmark, item_id, item_text, item_bytes):
