@@ -2,6 +2,7 @@
 
 import random
 import re
+import zlib
 from collections import Counter
 
 from touchline.llm import decontam, jaccard_join, substring_dedup
@@ -203,6 +204,30 @@ def test_passages_equal_search(spark):
     assert kept[103] == "" and kept[102] == " ".join(passage[:49]) and kept[0].count("p") >= 60
 
 
+def test_chained_passages_stay_once(spark):
+    """A run whose parts are shared with different documents: each part stays in the first document that holds it."""
+    r = random.Random(6)
+    fresh = lambda n: [f"f{r.randrange(10**7)}" for _ in range(n)]
+    p, q, both = fresh(60), fresh(70), fresh(100)
+    data = [(2, fresh(5) + p + fresh(3)), (5, fresh(4) + p + q + fresh(6)), (9, q + fresh(8)), (11, fresh(2) + both[:75]), (12, both + fresh(1)), (13, fresh(3) + both[30:]), (14, fresh(60)), (14, None)]
+    first = {}
+    for i, w in data:
+        for a in range(len(w or ()) - 49):
+            first.setdefault(tuple(w[a : a + 50]), i)  # ids ascend
+    want = []
+    for i, w in data:
+        w = w or []
+        gone = {a + k for a in range(len(w) - 49) if first[tuple(w[a : a + 50])] < i for k in range(50)}
+        want.append((i, " ".join(x for k, x in enumerate(w) if k not in gone)))
+    df = spark.createDataFrame([(i, w and " ".join(w)) for i, w in data], "doc_id long, text string")
+    assert sorted((x.doc_id, x.kept) for x in substring_dedup.drop_repeats(df).collect()) == sorted(want)
+    kept = dict(want)
+    assert q[0] in kept[5].split() and kept[9].split() == data[2][1][70:] and p[0] not in kept[5].split()
+    rows = substring_dedup.passages_and_kept(df).collect()
+    assert {(x.doc_id, x.n_kept, x.kept_crc32) for x in rows} == {(i, len(kept[i].split()), zlib.crc32(kept[i].encode())) for i in (2, 5, 9, 11, 12, 13)}
+    assert {(x.doc_id, x.start_word, x.n_words, x.first_doc) for x in rows} == {tuple(x) for x in substring_dedup.repeated_passages(df).collect()}
+
+
 def test_cuts_resist_shifts():
     """An insertion at the front leaves the later chunks as they were."""
     import numpy as np

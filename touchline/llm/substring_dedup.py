@@ -13,6 +13,9 @@ cut beyond 32 bytes after it, and a passage that two documents share is cut alik
     So the filter's false hits cost work but never change the result: it is exactly the runs of at least WORDS words
     that another document holds too.
 
+What is removed are the windows that a document with a smaller id holds too, window by window: of a run that is shared
+with several documents, each part goes from all but the first document that holds it.
+
 Hot windows (a passage in a large part of all documents) are salted where they are joined back.
 
 Defined results: null and empty texts and texts of fewer than WORDS words have no rows; repetition within one
@@ -22,6 +25,7 @@ nothing to name them by; repeated rows give their passages once.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -142,22 +146,62 @@ def candidate_windows(docs: DataFrame, marks: np.ndarray, words: int = WORDS, bi
     return docs.filter("id is not null").select("id", "text").mapInArrow(run, "h long, id long, pos int")
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, bits: int = FILTER_BITS) -> DataFrame:
-    """(id, start_word, n_words, first_doc): each maximal run of words in which every window of words words is held by another
-    document; first_doc is the smallest id that holds one of its windows. Documents without any have no row."""
+def _runs(docs: DataFrame, id_col: str, text_col: str, words: int, bits: int) -> DataFrame:
+    """repeated_passages' rows as (id, start_word, n_words, first_doc), with the parts (start, n) of each that a smaller id holds too."""
     flat = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     marks = bit_filter(shared_by(chunk_digests(flat), "d"), bits)
     found = candidate_windows(flat, marks, words, bits)
     repeated = checkpoint(shared_by(found, "h"))
     hot = [tuple(r) for r in repeated.filter(F.col("rows") >= HOT_ROWS).orderBy(F.desc("rows"), "h").limit(HOT_KEYS).select("h", "rows").collect()]
-    held = salted_join(found, repeated.select("h", "first"), "h", "id", hot=hot)
+    held = salted_join(found, repeated.select("h", "first"), "h", "id", hot=hot).withColumn("earlier", F.col("first") < F.col("id"))
     run = F.col("pos") - F.dense_rank().over(Window.partitionBy("id").orderBy("pos"))
-    return held.withColumn("run", run).groupBy("id", "run").agg(F.min("pos").cast("long").alias("start_word"), (F.max("pos") - F.min("pos") + words).cast("long").alias("n_words"), F.min("first").alias("first_doc")).drop("run").withColumnRenamed("id", id_col)
+    part = F.col("pos") - F.dense_rank().over(Window.partitionBy("id", "earlier").orderBy("pos"))
+    parts = held.withColumn("run", run).withColumn("part", part).groupBy("id", "run", "earlier", "part").agg(F.min("pos").cast("long").alias("lo"), F.max("pos").cast("long").alias("hi"), F.min("first").alias("first"))
+    spans = F.collect_list(F.when(F.col("earlier"), F.struct(F.col("lo").alias("start"), (F.col("hi") - F.col("lo") + words).alias("n"))))
+    return parts.groupBy("id", "run").agg(F.min("lo").alias("start_word"), (F.max("hi") - F.min("lo") + words).alias("n_words"), F.min("first").alias("first_doc"), spans.alias("parts")).drop("run")
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, bits: int = FILTER_BITS) -> DataFrame:
+    """(id, start_word, n_words, first_doc): each maximal run of words in which every window of words words is held by another
+    document; first_doc is the smallest id that holds one of its windows. Documents without any have no row."""
+    return _runs(docs, id_col, text_col, words, bits).drop("parts").withColumnRenamed("id", id_col)
+
+
+def _kept(texts: DataFrame) -> DataFrame:
+    """(id, text, parts) to (id, kept, n_kept, kept_crc32): the texts without the words of their parts, joined by single spaces."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept, n = [], []
+            for text, parts in zip(batch.column(1).cast(pa.large_binary()), batch.column(2), strict=True):
+                w, out, at = (text.as_py() or b"").split(), [], 0  # bytes are split at the six white-space bytes
+                for a, m in sorted((p["start"], p["n"]) for p in parts.as_py() or ()):
+                    out += w[at:a]
+                    at = max(at, a + m)
+                out += w[at:]
+                kept.append(b" ".join(out))
+                n.append(len(out))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array([zlib.crc32(x) for x in kept], pa.int64())], names=["id", "kept", "n_kept", "kept_crc32"])
+
+    return texts.select("id", "text", "parts").mapInArrow(run, "id long, kept string, n_kept long, kept_crc32 long")
+
+
+def _parts(runs: DataFrame) -> DataFrame:
+    return runs.groupBy("id").agg(F.flatten(F.collect_list("parts")).alias("parts"))
+
+
+def passages_and_kept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, bits: int = FILTER_BITS) -> DataFrame:
+    """repeated_passages' rows with their document's n_kept and kept_crc32: words, and crc32 of the text, that drop_repeats leaves.
+
+    A document without passages has no row; all its words are kept. Rows with the same id count as one document.
+    """
+    runs = checkpoint(_runs(docs, id_col, text_col, words, bits))
+    flat = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    kept = _kept(flat.join(_parts(runs), "id")).groupBy("id").agg(F.max(F.struct("n_kept", "kept_crc32")).alias("x")).select("id", "x.*")
+    return runs.drop("parts").join(kept, "id").withColumnRenamed("id", id_col)
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """(id, kept): each text's words without the passages that a document with a smaller id holds too; texts are re-joined by single spaces."""
-    runs = repeated_passages(docs, id_col, text_col, words).filter(F.col("first_doc") < F.col(id_col)).groupBy(id_col).agg(F.collect_list(F.struct("start_word", "n_words")).alias("runs"))
-    split = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    inside = lambda i: F.exists(F.coalesce("runs", F.array()), lambda r: (i >= r["start_word"]) & (i < r["start_word"] + r["n_words"]))
-    return docs.select(id_col, text_col).join(runs, id_col, "left").select(id_col, F.array_join(F.filter(split, lambda w, i: ~inside(i)), " ").alias("kept"))
+    """(id, kept): each text's words without the windows that a document with a smaller id holds too; texts are re-joined by single spaces."""
+    flat = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return _kept(flat.join(_parts(_runs(docs, id_col, text_col, words, FILTER_BITS)), "id", "left")).select(F.col("id").alias(id_col), "kept")
