@@ -144,6 +144,34 @@ def test_licence_errors_within_bound():
     assert license_scan.scan(b"") == (0, 0, None, None, "", "", 0.0, "")
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+@pytest.mark.parametrize("text", [
+    "apache licence or apache license", "mit licence or mit license or mit licens", "gnu generel public license or gnu general public license",
+    "bsd license bsd licence bsd license", "x mit license mit licence y", "apache license apach license aache license and mozila public license",
+])
+def test_licence_places_near_each_other(text):
+    """Every place within the edits: the one with fewest edits, then the first, then what overlaps none taken."""
+    w = text.split()
+    ends = list(itertools.accumulate(len(x) + 1 for x in w))
+    want = set()
+    for name, label, k in license_scan.NOTICES:
+        spans = [(edits(name, " ".join(w[i:j])), ends[i] - len(w[i]) - 1, ends[j - 1] - 1) for i in range(len(w)) for j in range(i + 1, min(len(w), i + 9) + 1)]
+        taken = []
+        for e, a, b in sorted(s for s in spans if s[0] <= k):
+            if all(b <= c or d <= a for _, c, d in taken):
+                taken.append((e, a, b))
+        want |= {(a, b, label, e) for e, a, b in taken}
+    assert set(license_scan.fuzzy_spans(text.encode())) == want and len(want) >= 2
+
+
 # -- secrets -----------------------------------------------------------------------------------------------------------
 
 

@@ -3,7 +3,8 @@
 A text is lower-cased (A-Z) and cut into words of digits, letters and non-ASCII characters; the words joined by
 single spaces are what is searched. A notice with at most k edits, cut into k+1 parts, holds at least one part
 unchanged; so each part is looked up as a plain substring, and around each hit the ``regex`` library's
-bounded-error matching looks for the notice with at most k edits, at word boundaries.
+bounded-error matching looks for the notice with at most k edits, at word boundaries. The best match (fewest edits, then
+first) is taken, and what is left of it and right of it is searched again until nothing is found.
 
 Defined results: a null or empty text has no words, no places, empty labels and score 0.
 """
@@ -73,9 +74,13 @@ def fuzzy_spans(words: bytes, notices: tuple = NOTICES) -> list[tuple[int, int,
             # whole words at both ends, so that the boundary tests see what surrounds the window
             a = words.rfind(b" ", 0, a) + 1
             b = (words.find(b" ", b) + 1 or len(words) + 1) - 1
-            for m in pattern.finditer(words, a, b):
-                if m.end() > m.start():
+            left = [(a, b)]
+            while left:
+                a, b = left.pop()
+                m = pattern.search(words, a, b) if a < b else None
+                if m and m.end() > m.start():
                     found.append((m.start(), m.end(), label, sum(m.fuzzy_counts)))
+                    left += [(a, m.start() - 1), (m.end() + 1, b)]
     return sorted(set(found))
 
 
