@@ -171,6 +171,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names; one of its own only where none is set, as in tests."""
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if where is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         where = tempfile.mkdtemp(prefix="checkpoint-")
@@ -193,6 +195,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def store(df: DataFrame) -> DataFrame:
+    """Writes a table into the shared folder and reads it again: a cut of the lineage that is compressed and that projections read in part."""
+    import uuid
+
+    where = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4()}"
+    df.write.parquet(where)
+    return df.sparkSession.read.schema(df.schema).parquet(where)
+
+
 #: Keys that may be salted, the rows from which a key is, and the most parts it is dealt to.
 HOT_KEYS, HOT_ROWS, SALTS = 500, 200, 64
 
