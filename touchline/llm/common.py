@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes that are hashed at a time; a longer word or text is still taken whole.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _RNG = np.random.default_rng(20240601)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -45,11 +45,11 @@ from touchline.llm.common import LOWER, Words, checkpoint, distinct_per_row, mix
 #: Shingles put last in the global order, at most; a broadcast of 8 bytes each.
 COMMON = 1 << 18
 #: A task's own count from which it reports a shingle, and shingles that it holds before it reports.
-LOCAL, HELD = 2, 6_000_000
+LOCAL, HELD = 2, 2_000_000
 #: Rows of narrow tables (at most three numbers) that may be broadcast.
 PICK = 2_000_000
 #: Index entries a bucket is made for (about 50 bytes each in its task), and entries that a task packs at a time.
-BUCKET_ENTRIES, PACK = 2_000_000, 1_000_000
+BUCKET_ENTRIES, PACK = 1_000_000, 500_000
 #: Sets that are held against one copy of a pivot, and the classes and the shingles of a part of a large component.
 MEMBERS, PART, PART_ITEMS = 2_000, 1_024, 4_000_000
 #: Numbers of a slice of the matrix in which a part's differences are counted.
