@@ -1,7 +1,8 @@
 """Two-pass external shuffle into equal shards, in DataFrame operations only.
 
 Pass 1 scatters the records uniformly over buckets small enough for memory, by a seeded hash of id and
-content. Pass 2 reads one bucket at a time, brings its records into a fixed order and applies a seeded
+content; repeated rows, which have one hash, are counted first and dealt by their number, so that no bucket is theirs
+alone. Pass 2 reads one bucket at a time, brings its records into a fixed order and applies a seeded
 Fisher-Yates shuffle (Spark's ``shuffle`` function). The buckets one after another are the shuffled
 sequence; its position p goes to shard ``p mod n``, slot ``p div n``, so that shards differ by one row at
 most (law ``rows``) and the slots of a shard run from 0 without gaps.
@@ -14,13 +15,17 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows and bytes that a bucket should hold; it is one array in memory in pass 2.
 BUCKET_ROWS, BUCKET_BYTES = 1024, 8 << 20
 #: Buckets in a partition of pass 2, and partitions at most.
 PART_BUCKETS, MAX_PARTS = 8, 50_000
+#: Hashes with more than a bucket's rows that are dealt by number, the most common first (8 bytes each in a broadcast); any
+#: further one has less than one in HOT_HASHES of all rows.
+HOT_HASHES, COPIES = 100_000, 4096
 #: Buckets whose sizes one window task adds up.
 SUPER = 1024
 
@@ -40,6 +45,14 @@ def bucket_offsets(records: DataFrame) -> DataFrame:
     return counts.withColumn("inner", F.coalesce(F.sum("n").over(within), F.lit(0))).join(blocks, "block").select("bucket", (F.col("base") + F.col("inner")).alias("start"))
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Repeated rows, which are alike in every column, with numbers from 0 (copy): counted before the exchange and told out again after it."""
+    counts = rows.groupBy(*rows.columns).agg(F.count("*").alias("n"))
+    lots = counts.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / COPIES))))
+    own = F.sequence(F.col("lot") * COPIES, F.least(F.col("n"), (F.col("lot") + 1) * COPIES) - 1)
+    return lots.repartition("h", "lot").select(*rows.columns, F.explode(own).alias("copy"))
+
+
 def shuffle_into_shards(docs: DataFrame, n_shards: int = 8, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), bucket_rows: int = BUCKET_ROWS, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """One row per record: id, size, text_crc32, law, shard, slot, and the columns in carry (name text_col there to carry texts)."""
     if n_shards < 1:
@@ -49,7 +62,12 @@ def shuffle_into_shards(docs: DataFrame, n_shards: int = 8, seed: int = 17, id_c
     total = flat.agg(F.count("*").alias("n"), F.sum(F.col("size") if text_col in carry else F.lit(0)).alias("bytes")).first()
     buckets = max(1, math.ceil(max(total["n"] / bucket_rows, (total["bytes"] or 0) / bucket_bytes)))
     order = F.xxhash64(F.lit(seed), "doc_id", "text_crc32", "size")
-    records = flat.select(order.alias("h"), "doc_id", "size", "text_crc32", *own, F.pmod(order, F.lit(buckets)).alias("bucket"))
+    hashed = flat.select(order.alias("h"), "doc_id", "size", "text_crc32", *own)
+    often = [r["h"] for r in hashed.groupBy("h").count().filter(F.col("count") > bucket_rows).orderBy(F.desc("count"), "h").limit(HOT_HASHES).collect()]
+    records = hashed.withColumn("bucket", F.pmod("h", F.lit(buckets)))
+    if often:
+        hot = F.broadcast(docs.sparkSession.createDataFrame([(h,) for h in often], "h long"))  # at most HOT_HASHES rows
+        records = records.join(hot, "h", "left_anti").unionByName(_numbered(hashed.join(hot, "h", "left_semi")).withColumn("bucket", F.pmod(F.xxhash64("h", "copy"), F.lit(buckets))).drop("copy"))
     # Spark draws the numbers of a task's shuffles from one generator per partition; so which buckets a partition holds, and
     # in which order, is fixed by the data alone, and a task that runs again gives the same rows
     parts = min(MAX_PARTS, -(-buckets // PART_BUCKETS))
@@ -67,5 +85,9 @@ def shuffle_into_shards(docs: DataFrame, n_shards: int = 8, seed: int = 17, id_c
 
 
 def write_shards(shards: DataFrame, path: str) -> None:
-    """One folder per shard, its files sorted by slot; slots of a shard are dealt to files by ranges."""
-    shards.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
+    """One folder per shard; each task's rows of a shard are a file sorted by slot, with no further exchange."""
+    shards.sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
+
+
+def read_shards(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    return spark.read.schema(schema).parquet(path)
