@@ -20,7 +20,8 @@ from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from touchline.llm.common import store
 
 #: Patterns that the driver's flow problem may have; beyond it the operator says so instead of filling the driver.
 MAX_PATTERNS = 100_000
@@ -127,16 +128,19 @@ def mix(docs: DataFrame, members: Column, id_col: str = "doc_id", text_col: str
     """
     spark = docs.sparkSession
     own = {f"c{i}": F.col(c) for i, c in enumerate(carry)}
-    sized = docs.select(
+    every = docs.select(
         F.col(id_col).alias("doc_id"), F.array_sort(F.array_distinct(members)).alias("members"), word_count(text_col).alias("size"),
         F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).bitwiseAND(F.lit(_TOP - 1)).alias("h"), *[c.alias(k) for k, c in own.items()],
     ).withColumn("pattern", F.to_json("members"))
+    # texts are read once for this table; once more only if columns are carried
+    sized = store(every.select("doc_id", "members", "size", "h", "pattern"))
     stats = sized.groupBy("pattern").agg(F.first("members").alias("members"), F.sum("size").alias("words"), F.count("*").alias("docs"))
     groups = sorted(stats.limit(MAX_PATTERNS + 1).collect(), key=lambda g: g["pattern"])
     if len(groups) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns; map rare sources to one first")
     plan = F.broadcast(_plan(spark, groups, weights, max_epochs))  # at most MAX_PATTERNS short rows
-    binned = sized.join(plan, "pattern").withColumn("bin", F.floor(F.col("h") / (F.lit(_TOP).cast("double") / F.col("bins"))))
+    in_bins = lambda rows: rows.join(plan, "pattern").withColumn("bin", F.floor(F.col("h") / (F.lit(_TOP).cast("double") / F.col("bins"))))
+    binned = in_bins(sized)
     upto = Window.partitionBy("pattern").orderBy("bin")
     cut = (
         binned.groupBy("pattern", "bin", "rest").agg(F.sum("size").alias("in_bin"))
@@ -144,7 +148,7 @@ def mix(docs: DataFrame, members: Column, id_col: str = "doc_id", text_col: str
         .filter((F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("in_bin") <= F.col("rest")))
         .groupBy("pattern").agg(F.min("bin").alias("cut"), F.min_by(F.col("upto") - F.col("in_bin"), "bin").alias("before"))
     )
-    marked = binned.join(F.broadcast(cut), "pattern", "left")  # a row a pattern
+    marked = in_bins(every if own else sized).join(F.broadcast(cut), "pattern", "left")  # a row a pattern
     outside = marked.filter(F.col("cut").isNull() | (F.col("bin") != F.col("cut"))).withColumn("extra", F.when(F.col("bin") < F.col("cut"), F.col("size")).otherwise(0))
     along = Window.partitionBy("pattern").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     room = F.col("rest") - F.col("before") - (F.sum("size").over(along) - F.col("size"))
