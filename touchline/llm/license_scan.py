@@ -3,16 +3,20 @@
 A text is lower-cased (A-Z) and cut into words of digits, letters and non-ASCII characters; the words joined by
 single spaces are what is searched. A notice with at most k edits, cut into k+1 parts, holds at least one part
 unchanged; so each part is looked up as a plain substring, and around each hit the ``regex`` library's
-bounded-error matching looks for the notice with at most k edits, at word boundaries. The best match (fewest edits, then
-first) is taken, and what is left of it and right of it is searched again until nothing is found.
+bounded-error matching looks for the notice at word boundaries: first without edits, then in what is left between
+the places found with one, and so on to k. So fewer edits go first, then what stands first, and no place is lost to a
+better one beside it; each level reads a text once, however many places it has.
 
-Defined results: a null or empty text has no words, no places, empty labels and score 0.
+Defined results: a null or empty text has no words, no places, empty labels and score 0; repeated rows each have their
+row; an empty table gives no rows; further columns are not read.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 import regex
@@ -50,13 +54,13 @@ def seeds(notice: str, k: int) -> list[tuple[int, bytes]]:
 
 @lru_cache(maxsize=4)
 def _compiled(notices: tuple) -> list:
-    return [(name, label, k, seeds(name, k), regex.compile(rb"(?b)(?<![^ ])(?:%s){e<=%d}(?![^ ])" % (regex.escape(name.encode()), k))) for name, label, k in notices]
+    return [(name, label, k, seeds(name, k), [regex.compile(rb"(?<![^ ])(?:%s){e<=%d}(?![^ ])" % (regex.escape(name.encode()), e)) for e in range(k + 1)]) for name, label, k in notices]
 
 
 def fuzzy_spans(words: bytes, notices: tuple = NOTICES) -> list[tuple[int, int, str, int]]:
     """(start, end, label, edits) in the joined words, by start; overlapping windows of a notice are searched as one."""
     found = []
-    for name, label, k, parts, pattern in _compiled(notices):
+    for name, label, k, parts, levels in _compiled(notices):
         windows = []
         for offset, part in parts:
             at = words.find(part)
@@ -75,12 +79,16 @@ def fuzzy_spans(words: bytes, notices: tuple = NOTICES) -> list[tuple[int, int,
             a = words.rfind(b" ", 0, a) + 1
             b = (words.find(b" ", b) + 1 or len(words) + 1) - 1
             left = [(a, b)]
-            while left:
-                a, b = left.pop()
-                m = pattern.search(words, a, b) if a < b else None
-                if m and m.end() > m.start():
-                    found.append((m.start(), m.end(), label, sum(m.fuzzy_counts)))
-                    left += [(a, m.start() - 1), (m.end() + 1, b)]
+            for pattern in levels:
+                rest = []
+                for a, b in left:
+                    for m in pattern.finditer(words, a, b) if a < b else ():
+                        if m.end() > m.start():
+                            found.append((m.start(), m.end(), label, sum(m.fuzzy_counts)))
+                            rest.append((a, m.start() - 1))
+                            a = m.end() + 1
+                    rest.append((a, b))
+                left = rest
     return sorted(set(found))
 
 
@@ -88,6 +96,7 @@ def scan(text: bytes, notices: tuple = NOTICES) -> tuple:
     """n_words, n_base, first_word, last_word, base_labels, labels, score, hits (label:start:end:edits in words) of one text."""
     words = text.translate(_CLEAN).split()
     joined = b" ".join(words)
+    starts = list(accumulate((len(w) + 1 for w in words), initial=0))
     places, base = [], set()
     for phrase, label in PHRASES.items():
         p = phrase.encode()
@@ -95,13 +104,13 @@ def scan(text: bytes, notices: tuple = NOTICES) -> tuple:
         while at >= 0:
             end = at + len(p)
             if (at == 0 or joined[at - 1] == 32) and (end == len(joined) or joined[end] == 32):
-                places.append(joined.count(b" ", 0, at))
+                places.append(bisect_right(starts, at) - 1)
                 base.add(label)
             at = joined.find(p, at + 1)
     fuzzy = fuzzy_spans(joined, notices)
     labels = base | {label for _, _, label, _ in fuzzy}
     score = 1.0 if base else max((1 - e / (b - a + e) for a, b, _, e in fuzzy), default=0.0)
-    hits = ",".join(f"{label}:{joined.count(b' ', 0, a)}:{joined.count(b' ', 0, b) + 1}:{e}" for a, b, label, e in fuzzy)
+    hits = ",".join(f"{label}:{bisect_right(starts, a) - 1}:{bisect_right(starts, b)}:{e}" for a, b, label, e in fuzzy)
     return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score, hits
 
 
