@@ -13,14 +13,17 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import salted_join
+from touchline.llm.common import salted_join, store
 
 RULES_VERSION = "1"
+#: Versions to scan that may be broadcast, 8 bytes each.
+PICK = 2_000_000
 # The base kinds, in their order.
 BASE = ("assign", "access", "hex")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -82,18 +85,36 @@ def scan_blobs(blobs: DataFrame) -> DataFrame:
     return blobs.select("blob", "text").mapInArrow(run, _FOUND)
 
 
-def update_ledger(versions: DataFrame, ledger: DataFrame | None = None, rules: str = RULES_VERSION) -> DataFrame:
-    """The ledger's rows for this rule version, with those of blobs that it hasn't seen. ledger: rule_version and scan_blobs' columns."""
-    blobs = versions.select("blob", "text").dropDuplicates(["blob"])
-    if ledger is None:
-        return scan_blobs(blobs).withColumn("rule_version", F.lit(rules))
-    seen = ledger.filter(F.col("rule_version") == rules)
-    new = scan_blobs(blobs.join(seen.select("blob"), "blob", "left_anti")).withColumn("rule_version", F.lit(rules))
-    return seen.unionByName(new)
+def update_ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledger: DataFrame | None = None, rules: str = RULES_VERSION) -> DataFrame:
+    """The ledger's rows for this rule version, with those of blobs that it hasn't seen. ledger: rule_version and scan_blobs' columns.
+
+    Blobs and paths alone decide which version of an unseen blob is read; texts are then scanned where they lie, unless the
+    versions picked are more than may be broadcast.
+    """
+    versions = content_address(docs, id_col, text_col)
+    key = F.xxhash64("blob", "path")  # one more path with the same key is one more scan, and no more findings
+    picked = versions.groupBy("blob").agg(F.min("path").alias("path"))
+    seen = None if ledger is None else ledger.filter(F.col("rule_version") == rules)
+    if seen is not None:
+        picked = picked.join(seen.select("blob"), "blob", "left_anti")
+    picked = store(picked.select(key.alias("key")))
+    chosen = F.broadcast(picked) if picked.count() <= PICK else picked
+    new = scan_blobs(versions.withColumn("key", key).join(chosen, "key", "left_semi")).dropDuplicates(["blob"]).withColumn("rule_version", F.lit(rules))
+    return new if seen is None else seen.unionByName(new)
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledger: DataFrame | None = None, rules: str = RULES_VERSION) -> DataFrame:
     """Findings of every path's version: id, blob, n_assign, n_access, n_hex, base_sha256, spans."""
-    versions = content_address(docs, id_col, text_col)
-    found = update_ledger(versions, ledger, rules).drop("rule_version")
-    return salted_join(versions.select("path", "blob"), found, "blob", "path").withColumnRenamed("path", id_col)
+    found = update_ledger(docs, id_col, text_col, ledger, rules).drop("rule_version")
+    return salted_join(content_address(docs, id_col, text_col).select("path", "blob"), found, "blob", "path").withColumnRenamed("path", id_col)
+
+
+def scan_deliveries(deliveries: list[DataFrame], id_col: str = "doc_id", text_col: str = "text", rules: str = RULES_VERSION) -> DataFrame:
+    """Findings of all paths of several deliveries of versions: each is met by the stored ledger of those before it, so that a blob
+    is scanned in the first delivery that holds it and only there."""
+    ledger = None
+    for docs in deliveries:
+        found = update_ledger(docs, id_col, text_col, ledger, rules)
+        ledger = store(found)
+    paths = [content_address(docs, id_col, text_col).select("path", "blob") for docs in deliveries]
+    return salted_join(reduce(DataFrame.unionByName, paths), ledger.drop("rule_version"), "blob", "path").withColumnRenamed("path", id_col)
