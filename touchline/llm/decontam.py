@@ -16,7 +16,7 @@ The items are the stated query set. They are met in blocks of at most ITEM_BYTES
 block is a further pass over the documents.
 
 Defined results: null and empty texts hold nothing; null and empty items, and items without words, are never found;
-repeated items are each found; repeated rows each give their rows; of overlapping windows of an item in a document the
+repeated items are each found; an empty table or benchmark gives no rows; repeated rows each give their rows; of overlapping windows of an item in a document the
 most similar (then the first) is returned, and each place that overlaps no better one has its row.
 """
 
@@ -37,6 +37,8 @@ RADIUS, BLOCKS = 23, 8
 ITEM_BYTES = 16 << 20
 #: Windows fingerprinted at a time (512 bytes each while their bits are counted).
 AT_ONCE = 20_000
+#: Pairs of a window and an item that are looked up at a time (a byte each).
+PAIRS = 20_000_000
 
 SCHEMA = "doc_id long, item_id long, start_word long, n_words long, similarity double, distance int"
 
@@ -171,8 +173,9 @@ class Finder:
             own = np.isin(hashes[hit], c.known)
             mine = hit[own]
             starts = windows(mine, at[text[own]], at[text[own] + 1], c.n, c.least)
-            for k in range(0, len(starts), AT_ONCE):
-                some = starts[k : k + AT_ONCE]
+            step = max(1, min(AT_ONCE, PAIRS // len(c.ids)))
+            for k in range(0, len(starts), step):
+                some = starts[k : k + step]
                 # shingles from the first start on that some window covers, summed once
                 span = np.unique((some[:, None] + np.arange(c.n)[None, :]).ravel())
                 sums = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(signs(hashes[span]), axis=0, dtype=np.int32)])
