@@ -35,6 +35,25 @@ def test_shards_hold_all_rows(docs, rows):
     assert sorted(map(repr, got)) == sorted(map(repr, again))
 
 
+def test_repeated_rows_are_dealt_to_many_buckets(spark):
+    """Rows that are alike fill no bucket of their own, whatever the input's layout."""
+    df = spark.createDataFrame([(7, "same text")] * 900 + [(None, None)] * 300 + [(i, f"t{i}") for i in range(100)], "doc_id long, text string")
+    numbered = sharding._numbered(df.select(F.xxhash64("doc_id", "text").alias("h"), "doc_id", "text"))
+    assert sorted(r.copy for r in numbered.filter("text = 'same text'").collect()) == list(range(900))
+    got = [sharding.shuffle_into_shards(df.repartition(n), 3, carry=("text",), bucket_rows=50).collect() for n in (2, 5)]
+    assert sorted(map(repr, got[0])) == sorted(map(repr, got[1])) and len(got[0]) == 1300
+    mine = sorted(r.slot * 3 + r.shard for r in got[0] if r.doc_id == 7)
+    assert mine[0] < 100 and mine[-1] >= 1200  # from the first bucket to the last
+
+
+def test_written_shards_are_read_back(docs, rows, spark, tmp_path):
+    shards = sharding.shuffle_into_shards(docs, 4, carry=("text",), bucket_rows=10)
+    sharding.write_shards(shards.drop("size", "text_crc32"), f"{tmp_path}/s")
+    back = sharding.with_sizes(sharding.read_shards(spark, f"{tmp_path}/s", shards.drop("size", "text_crc32").schema)).collect()
+    key = lambda r: (str(r.doc_id), r.text or "", r.size, r.text_crc32, r.shard, r.slot)
+    assert sorted(map(key, back)) == sorted(map(key, shards.collect())) and len(back) == len(rows)
+
+
 def test_shards_of_nothing(none):
     assert sharding.shuffle_into_shards(none, 3).count() == 0
     with pytest.raises(ValueError):
@@ -71,6 +90,24 @@ def test_flow_of_overlapping_sources():
     assert small == [{0: 9}]
 
 
+def test_mix_of_overlapping_sources(spark):
+    """Rows of one or several sources: words go to quotas as the flow says, and no row beyond three times its size."""
+    some = [["a"], ["a", "b"], ["b"], [None, "a"], ["c"]]
+    data = [(i, "w " * (1 + i % 9), some[i % 5]) for i in range(400)]
+    got = mixing.mix(spark.createDataFrame(data, "doc_id long, text string, of array<string>"), F.col("of"), carry=("of",)).collect()
+    sizes = [sum(1 + i % 9 for i, _, m in data if s in m) for s in ("a", "b", "c", None)]
+    want = mixing.targets(sizes, [1, 2, 3, 1])
+    by = {}
+    for r in got:
+        assert 0 <= r.taken <= 3 * r.size
+        k = tuple(sorted(r.of, key=str))
+        by[k] = by.get(k, 0) + r.taken
+    members = sorted(by, key=str)
+    capacity = [sum(1 + i % 9 for i, _, m in data if tuple(sorted(m, key=str)) == k) for k in members]
+    sent = mixing.route(capacity, [[["a", "b", "c", None].index(s) for s in k] for k in members], [round(t) for t in want])
+    assert sum(by.values()) == sum(sum(x.values()) for x in sent)
+
+
 def test_mixed_documents_keep_columns(docs, none):
     assert mixing.mixed_documents(docs, F.array("source")).columns == docs.columns
     assert mixing.mix(none, F.array("source")).count() == 0
@@ -172,6 +209,12 @@ def test_licence_places_near_each_other(text):
     assert set(license_scan.fuzzy_spans(text.encode())) == want and len(want) >= 2
 
 
+def test_many_places_in_one_text():
+    """Thousands of places in one text are found in one pass a level."""
+    found = license_scan.scan(b"mit license mit licens " * 3000)
+    assert found[1] == 3000 and found[7].count(",") == 5999
+
+
 # -- secrets -----------------------------------------------------------------------------------------------------------
 
 
@@ -192,12 +235,28 @@ def test_secrets_equal_rules(docs, rows):
 
 
 def test_ledger_scans_only_new_pairs(spark):
-    first = secret_scan.content_address(spark.createDataFrame([("a", "token=abcdef1"), ("b", "token=abcdef1"), ("c", "x")], "p string, t string"), "p", "t")
-    ledger = secret_scan.update_ledger(first).withColumn("spans", F.lit("from the ledger"))
-    more = secret_scan.content_address(spark.createDataFrame([("a", "token=abcdef1"), ("d", "secret: qwerty12")], "p string, t string"), "p", "t")
-    got = Counter(r.spans for r in secret_scan.update_ledger(more, ledger).collect())
-    assert got == {"from the ledger": 2, "assign:0:16": 1}
-    assert secret_scan.update_ledger(more, ledger, "2").count() == 2
+    first = spark.createDataFrame([("a", "token=abcdef1"), ("b", "token=abcdef1"), ("c", "x")], "p string, t string")
+    ledger = secret_scan.update_ledger(first, "p", "t")
+    assert ledger.count() == 2
+    ledger = ledger.withColumn("spans", F.lit("from the ledger"))
+    more = spark.createDataFrame([("a", "token=abcdef1"), ("d", "secret: qwerty12"), ("e", "secret: qwerty12"), ("e", None)], "p string, t string")
+    got = Counter(r.spans for r in secret_scan.update_ledger(more, "p", "t", ledger).collect())
+    assert got == {"from the ledger": 2, "assign:0:16": 1, "": 1}
+    assert secret_scan.update_ledger(more, "p", "t", ledger, "2").count() == 3
+
+
+def test_deliveries_give_one_run_s_findings(docs, none):
+    columns = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "blob"]
+    parts = [docs.filter("doc_id % 3 = 0"), docs.filter("doc_id % 3 > 0"), docs.filter("doc_id is null"), none]
+    got = Counter(map(tuple, secret_scan.scan_deliveries(parts).select(*columns).collect()))
+    assert got == Counter(map(tuple, secret_scan.scan_secrets(docs).select(*columns).collect()))
+    assert secret_scan.scan_secrets(none).count() == 0
+
+
+def test_further_kinds():
+    text = "Bearer " + "xY" * 12 + " postgres://me:pw1@host/x ghp_" + "Z9" * 18 + " eyJabcdefgh1.abcdefgh12.abcdefgh123 -----BEGIN RSA PRIVATE KEY-----"
+    kinds = [k for _, _, k in secret_scan.find(text)[1]]
+    assert kinds == ["bearer", "connection", "hosting", "jwt", "private_key"] and secret_scan.find(text)[0] == []
 
 
 # -- media -------------------------------------------------------------------------------------------------------------
