@@ -4,7 +4,12 @@
 2. jaccard_join: of each group of linked documents the one with the smallest id stays.
 3. decontamination: documents that hold a benchmark item go.
 4. mixing: sources to target weights; documents are repeated or left out.
-5. sharding: two-pass shuffle into equal shards; the documents' columns with size, text_crc32, law, shard and slot.
+5. sharding: two-pass shuffle into equal shards; the documents' columns with size, text_crc32, law, shard and slot (a
+   column of such a name comes out with in_ before it).
+
+Odd rows: null and empty texts are clean, link with nothing, hold no item and have no words, so they pass stages 1 to 3 and
+are taken 0 times in stage 4; rows with a null id pass stage 2; repeated rows with one id and text are one document from
+stage 2 on; an empty table passes all stages as it is; further columns are carried.
 
 A stage's function takes (spark, docs, sf_dir) and returns a DataFrame, all but the last with the columns of documents.
 """
@@ -37,8 +42,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    carry = tuple(c for c in docs.columns if c not in ("doc_id", "size", "text_crc32", "law", "shard", "slot"))
-    return sharding.shuffle_into_shards(docs, N_SHARDS, carry=carry)
+    own = ("size", "text_crc32", "law", "shard", "slot")
+    docs = docs.select([F.col(c).alias(f"in_{c}" if c in own else c) for c in docs.columns])
+    return sharding.shuffle_into_shards(docs, N_SHARDS, carry=tuple(c for c in docs.columns if c != "doc_id"))
 
 
 STAGES = [("toxicity", drop_toxic), ("jaccard_join", drop_near_duplicates), ("decontamination", drop_contaminated), ("mixing", mix_sources), ("sharding", shard)]
