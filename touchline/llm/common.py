@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 #: Bytes that are hashed at a time; a longer word or text is still taken whole.
 SLICE_BYTES = 1 << 20
 
+#: Rows of a batch that goes to Python.
+BATCH_ROWS = 1000
+
 _RNG = np.random.default_rng(20240601)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 5
@@ -39,6 +42,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what a task and its Python worker hold of an exchange at a time; an application's own smaller bound stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if not 0 < now <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def doc_crc(doc_id: str = "doc_id") -> Column:
     """crc32 of the id as text; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.llm import decontam, jaccard_join, license_scan, lm_score, media, mixing, secret_scan, sharding, substring_dedup, toxicity
-from touchline.llm.common import doc_crc, stage_folder, table
+from touchline.llm.common import doc_crc, small_batches, stage_folder, table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,20 +65,17 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+def _bounded(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "op1_toxicity": op1_toxicity,
-        "op2_sharding": op2_sharding,
-        "op3_lm_score": op3_lm_score,
-        "op4_mixing": op4_mixing,
-        "op5_jaccard_join": op5_jaccard_join,
-        "op6_license_scan": op6_license_scan,
-        "op7_secret_scan": op7_secret_scan,
-        "op8_media": op8_media,
-        "op9_decontamination": op9_decontamination,
-        "op10_substring_dedup": op10_substring_dedup,
-        "pipeline": pipeline,
-    }
+    found = (op1_toxicity, op2_sharding, op3_lm_score, op4_mixing, op5_jaccard_join, op6_license_scan, op7_secret_scan, op8_media, op9_decontamination, op10_substring_dedup, pipeline)
+    return {q.__name__: _bounded(q) for q in found}
 
 
 def oracle_sql() -> dict[str, str]:
