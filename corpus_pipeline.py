@@ -20,28 +20,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.llm import decontam, jaccard_join, mixing, sharding, toxicity
-from touchline.llm.common import stage_folder, table
+from touchline.llm.common import small_batches, stage_folder, table
 
 N_SHARDS = 8
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return toxicity.keep_clean(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return jaccard_join.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return decontam.keep_uncontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return mixing.mixed_documents(docs, F.array("source"))
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     own = ("size", "text_crc32", "law", "shard", "slot")
     docs = docs.select([F.col(c).alias(f"in_{c}" if c in own else c) for c in docs.columns])
     return sharding.shuffle_into_shards(docs, N_SHARDS, carry=tuple(c for c in docs.columns if c != "doc_id"))
