@@ -54,6 +54,7 @@ BUCKET_ENTRIES, PACK = 1_000_000, 500_000
 MEMBERS, PART, PART_ITEMS = 2_000, 1_024, 4_000_000
 #: Numbers of a slice of the matrix in which a part's differences are counted.
 CELLS = 4_000_000
+#: Rounds of pivots, and pivots of a list in the second one; twice as many from the third on.
 ROUNDS, PIVOTS = 3, 6
 SHINGLE, NUM, DEN = 5, 3, 4  # similarity NUM / DEN
 
@@ -336,8 +337,8 @@ def not_ruled_out(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
     pairs = store(pairs.select("a", "b", "na", "nb"))
     sketches = classes.select("c", "sketch")
-    some = sketches.join(small(store(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct())), "c")
-    some = store(some)  # only those of classes in pairs
+    ends = [pairs.select(F.col(x).alias("c")).distinct() for x in ("a", "b")]
+    some = store(sketches.join(small(store(ends[0].unionByName(ends[1]).distinct())), "c"))
     first = pairs.join(some.select(F.col("c").alias("a"), F.col("sketch").alias("x")), "a")
     return first.join(some.select(F.col("c").alias("b"), F.col("sketch").alias("y")), "b").select("a", "b", "na", "nb", "x", "y").mapInArrow(run, "a long, b long, na long, nb long")
 
@@ -420,7 +421,7 @@ def _components(docs: DataFrame, lists: DataFrame, classes: DataFrame, size: int
     left, links = lists.withColumn("comp", F.col("c")), None
     for k in range(rounds):
         # first the smallest class of a list; then several of seeded orders, the same for all lists; then of each list's own orders
-        order = [F.col("c")] if not k else [F.xxhash64(F.lit(i + PIVOTS * k), "c", *(["s"] if k > 1 else [])) for i in range(PIVOTS)]
+        order = [F.col("c")] if not k else [F.xxhash64(F.lit(i + PIVOTS * k), "c", *(["s"] if k > 1 else [])) for i in range(PIVOTS * min(k, 2))]
         pivots = F.array_distinct(F.array(*[F.min(F.struct(h.alias("h"), F.struct(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb")).alias("x")))["x"] for h in order]))
         chosen = left.groupBy("s", "block").agg(pivots.alias("pivots"), F.count("*").alias("many")).filter("many > 1").drop("many")
         near = left.join(chosen, ["s", "block"]).select("c", "n", "pos", "comp", F.inline("pivots")).filter("comp <> cb")
