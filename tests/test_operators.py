@@ -36,8 +36,8 @@ def test_sticky_ignores_short_changes(spark):
 
 def test_hull_area(spark):
     points = [(0, 0), (4, 0), (4, 3), (0, 3), (2, 1), (2, 0), (4, 3)]
-    df = spark.createDataFrame([([{"x": float(a), "y": float(b)} for a, b in points],), ([{"x": 1.0, "y": 1.0}],)], "p array<struct<x double, y double>>")
-    assert [r.a for r in df.select(tracking.hull_area(F.col("p")).alias("a")).collect()] == [12.0, 0.0]
+    df = spark.createDataFrame([([float(a) for a, _ in points], [float(b) for _, b in points]), ([1.0], [1.0]), ([], [])], "x array<double>, y array<double>")
+    assert [r.a for r in df.select(tracking.hull_area("x", "y").alias("a")).collect()] == [12.0, 0.0, 0.0]
 
 
 def test_velocity_caps_and_first_frame(spark):

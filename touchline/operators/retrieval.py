@@ -78,7 +78,7 @@ def cluster(vectors: DataFrame, k: int = 12, seed: int = 42, starts: int = 10):
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    rows = vectors.withColumn("features", array_to_vector("v"))
+    rows = vectors.withColumn("features", array_to_vector("v")).persist()  # read by every start; a lost part is computed again
     fits = [KMeans(k=k, seed=seed + i).fit(rows) for i in range(starts)]
     best = min(fits, key=lambda m: m.summary.trainingCost)
     return best.transform(rows).drop("features").withColumnRenamed("prediction", "cluster")

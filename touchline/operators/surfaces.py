@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from touchline.functions import geometry as G
@@ -46,7 +46,7 @@ def decisive(trajectory_rows: DataFrame, share: float = 0.5) -> DataFrame:
 
 
 def player_obso(frame_rows: DataFrame, rows: int = 40, cols: int = 60) -> DataFrame:
-    """The off-ball value of the cell each attacker stands in, highest first (rank), ties to the smaller id.
+    """The off-ball value of the cell each attacker stands in, with its rank from 1 (highest first), ties to the smaller id.
 
     Only the attackers' own cells are computed.
     """
@@ -56,4 +56,5 @@ def player_obso(frame_rows: DataFrame, rows: int = 40, cols: int = 60) -> DataFr
     at = frame_rows.select(*keys, "ball", "players", "team", F.explode(F.filter("players", lambda p: p["team_id"] == F.col("team"))).alias("me")).withColumns({"cx": (index(F.col("me.x"), dx, cols) + 0.5) * dx, "cy": (index(F.col("me.y"), dy, rows) + 0.5) * dy})
     soonest = lambda own: F.array_min(F.transform(F.filter("players", lambda p: (p["team_id"] == F.col("team")) == F.lit(own)), lambda p: G.time_to_intercept(F.col("cx"), F.col("cy"), p["x"], p["y"], p["vx"], p["vy"])))
     value = G.control_probability(soonest(True), soonest(False)) * G.ball_arrival(F.col("cx"), F.col("cy"), F.col("ball.x"), F.col("ball.y")) * G.goal_probability(F.col("cx"), F.col("cy"))
-    return at.select(*keys, F.col("me.player_id").alias("player_id"), value.alias("obso"))
+    by_value = Window.partitionBy(*keys).orderBy(F.desc("obso"), "player_id")  # at most a team's players
+    return at.select(*keys, F.col("me.player_id").alias("player_id"), value.alias("obso")).withColumn("rank", F.row_number().over(by_value))

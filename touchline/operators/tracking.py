@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from touchline.functions import geometry as G
 from touchline.functions.sequence import carried, changed, ordered, sticky, up_to_here, with_runs
@@ -194,29 +196,50 @@ def embeddings(state_rows: DataFrame, phases: DataFrame, max_rel_time_s: float |
 
 
 def shape(frame_rows: DataFrame, goalkeepers: DataFrame | None = None) -> DataFrame:
-    """Per frame and team: n, length, width, line heights (four lowest, three highest x) and vertical compactness, attacking right."""
-    players = frame_rows.select(*FRAME, "time_seconds", F.explode("players").alias("p")).select(*FRAME, "time_seconds", F.col("p.team_id").alias("team_id"), F.col("p.player_id").alias("player_id"), F.when(F.col("p.team_id") == "home", F.col("p.x")).otherwise(G.LENGTH - F.col("p.x")).alias("x"), F.when(F.col("p.team_id") == "home", F.col("p.y")).otherwise(G.WIDTH - F.col("p.y")).alias("y"))
-    keepers = goalkeeper(players) if goalkeepers is None else goalkeepers
-    outfield = players.join(keepers, [*MATCH, "team_id", "player_id"], "left_anti")
+    """Per frame and team, attacking right and without the goalkeeper: n_players, length, width, hull_area, def_line, off_line, vertical_compactness.
+
+    def_line: mean of the four lowest x, the lowest where there are fewer; off_line: mean of the three highest, the highest
+    where there are fewer. A team whose only visible player is the goalkeeper has a row of zeros. Players stay in their
+    frame's array: goalkeepers are one name per team, match and period, and join by that key.
+    """
+    right = F.col("team_id") == "home"
+    sides = frame_rows.select(*FRAME, "time_seconds", "players", F.explode(F.array_distinct(F.transform("players", lambda p: p["team_id"]))).alias("team_id"))
+    own = F.transform(F.filter("players", lambda p: p["team_id"] == F.col("team_id")), lambda p: F.struct(p["player_id"].alias("id"), F.when(right, p["x"]).otherwise(G.LENGTH - p["x"]).alias("x"), F.when(right, p["y"]).otherwise(G.WIDTH - p["y"]).alias("y")))
+    sides = sides.select(*FRAME, "time_seconds", "team_id", own.alias("own"))
+    keepers = goalkeeper(sides.select(*MATCH, "team_id", F.inline("own")).withColumnRenamed("id", "player_id")) if goalkeepers is None else goalkeepers
+    field = sides.join(keepers.withColumnRenamed("player_id", "keeper"), [*MATCH, "team_id"], "left").withColumn("field", F.filter("own", lambda p: ~p["id"].eqNullSafe(F.col("keeper"))))
+    axis = lambda c: F.transform("field", lambda p: p[c])
     mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v) / F.size(a)
-    xs = F.sort_array(F.collect_list("x"))
-    rows = outfield.groupBy(*FRAME, "time_seconds", "team_id").agg(xs.alias("xs"), F.count("*").alias("n_players"), (F.max("x") - F.min("x")).alias("length"), (F.max("y") - F.min("y")).alias("width"), hull_area(F.collect_list(F.struct("x", "y"))).alias("hull_area"))
-    defence, attack = mean(F.slice("xs", 1, 4)), mean(F.slice(F.reverse("xs"), 1, 3))
-    return rows.select(*FRAME, "time_seconds", "team_id", "n_players", "length", "width", "hull_area", defence.alias("def_line"), attack.alias("off_line"), (attack - defence).alias("vertical_compactness"))
+    rows = field.select(*FRAME, "time_seconds", "team_id", F.size("field").alias("n_players"), F.sort_array(axis("x")).alias("xs"), axis("x").alias("x"), axis("y").alias("y"))
+    defence = F.when(F.col("n_players") >= 4, mean(F.slice("xs", 1, 4))).otherwise(F.array_min("xs"))
+    attack = F.when(F.col("n_players") >= 3, mean(F.slice(F.reverse("xs"), 1, 3))).otherwise(F.array_max("xs"))
+    spread = lambda c: F.array_max(c) - F.array_min(c)
+    out = {"length": spread("x"), "width": spread("y"), "hull_area": hull_area("x", "y"), "def_line": defence, "off_line": attack, "vertical_compactness": attack - defence}
+    return rows.select(*FRAME, "time_seconds", "team_id", "n_players", *[F.coalesce(c, F.lit(0.0)).alias(k) for k, c in out.items()])
 
 
 def goalkeeper(players: DataFrame) -> DataFrame:
-    """The player of each team and match with the lowest mean x (attacking right); ties go to the smaller id."""
+    """The player of each team, match and period with the lowest mean x (attacking right); ties go to the smaller id."""
     mean = players.groupBy(*MATCH, "team_id", "player_id").agg(F.avg("x").alias("m"))
     return mean.groupBy(*MATCH, "team_id").agg(F.min_by("player_id", F.struct("m", "player_id")).alias("player_id"))
 
 
-def hull_area(points):
-    """Area of the convex hull of an array of points: the sum over its edges, found as pairs with all points on one side."""
-    cross = lambda a, b, c: (b["x"] - a["x"]) * (c["y"] - a["y"]) - (b["y"] - a["y"]) * (c["x"] - a["x"])
-    far = lambda a, b, c: (c["x"] - a["x"]) * (c["x"] - b["x"]) + (c["y"] - a["y"]) * (c["y"] - b["y"])
-    some = F.array_distinct(points)
-    # an edge a -> b: no point to its right, and points in line with it lie between a and b
-    edge = lambda a, b: (a != b) & F.forall(some, lambda c: (cross(a, b, c) > 0) | ((cross(a, b, c) == 0) & (far(a, b, c) <= 0)))
-    twice = F.aggregate(some, F.lit(0.0), lambda s, a: s + F.aggregate(F.filter(some, lambda b: edge(a, b)), F.lit(0.0), lambda t, b: t + a["x"] * b["y"] - b["x"] * a["y"]))
-    return twice / 2
+@F.pandas_udf(T.DoubleType())
+def hull_area(xs: pd.Series, ys: pd.Series) -> pd.Series:
+    """Area of the convex hull of a row's points (two arrays): chains of left turns over the sorted points; 0 for fewer than three."""
+
+    def area(x, y) -> float:
+        points = sorted(set(zip(x.tolist(), y.tolist(), strict=True)))
+        if len(points) < 3:
+            return 0.0
+        total = 0.0
+        for side in (points, points[::-1]):
+            chain: list = []
+            for p in side:
+                while len(chain) > 1 and (chain[-1][0] - chain[-2][0]) * (p[1] - chain[-2][1]) <= (chain[-1][1] - chain[-2][1]) * (p[0] - chain[-2][0]):
+                    chain.pop()
+                chain.append(p)
+            total += sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(chain, chain[1:], strict=False))
+        return total / 2
+
+    return pd.Series([area(x, y) for x, y in zip(xs, ys, strict=True)], dtype="float64")

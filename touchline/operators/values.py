@@ -85,17 +85,19 @@ def vaep_labels(events: DataFrame, ahead: int = LOOK_AHEAD) -> DataFrame:
 
 
 def vaep_features(events: DataFrame) -> DataFrame:
-    """The 25 columns of the action model, by match_id and seq. Missing coordinates count as 0."""
-    sx, sy, ex, ey = (F.coalesce(F.col(c), F.lit(0.0)) for c in ("start_x", "start_y", "end_x", "end_y"))
+    """The 25 columns of the action model in their fixed order, by match_id and seq. Missing and non-finite numbers count as 0."""
+    number = lambda c: F.when(F.abs(F.col(c)) < float("inf"), F.col(c).cast("double")).otherwise(0.0)
+    sx, sy, ex, ey = (number(c) for c in ("start_x", "start_y", "end_x", "end_y"))
     half = G.GOAL_WIDTH / 2
-
-    def goal(x: Column, y: Column) -> tuple[Column, Column]:
-        dx, dy = F.lit(G.LENGTH) - x, F.lit(G.GOAL_Y) - y
-        return F.sqrt(dx * dx + dy * dy), F.atan2(G.GOAL_WIDTH * F.greatest(dx, F.lit(1e-6)), dx * dx + dy * dy - half * half)
-
-    (sd, sa), (ed, ea) = goal(sx, sy), goal(ex, ey)
-    columns = {"start_x": sx, "start_y": sy, "end_x": ex, "end_y": ey, "start_dist": sd, "start_angle": sa, "end_dist": ed, "end_angle": ea, "period": F.col("period").cast("double")}
-    columns |= {f"action_{a}": (F.coalesce("action_type", F.lit("")) == a).cast("double") for a in ACTIONS} | {f"body_{b}": (F.coalesce("bodypart", F.lit("")) == b).cast("double") for b in BODIES}
+    away = lambda x, y: (F.lit(G.LENGTH) - x, F.lit(G.GOAL_Y) - y)
+    (dx, dy), (dx2, dy2) = away(sx, sy), away(ex, ey)
+    angle = F.atan2(G.GOAL_WIDTH * F.greatest(dx, F.lit(1e-6)), dx * dx + dy * dy - half * half)
+    columns = {
+        "start_x_oriented": sx, "start_y": sy, "end_x_oriented": ex, "end_y": ey, "distance_to_goal_start": F.sqrt(dx * dx + dy * dy), "distance_to_goal_end": F.sqrt(dx2 * dx2 + dy2 * dy2),
+        "angle_to_goal_start": angle, "period": number("period"), "time_since_period_start": F.greatest(number("time_seconds"), F.lit(0.0)),
+    }
+    columns |= {f"action_{a}": (F.coalesce("action_type", F.lit("")) == a).cast("double") for a in ACTIONS}
+    columns |= {f"body_{b}": (F.coalesce("bodypart", F.lit("")) == b).cast("double") if "bodypart" in events.columns else F.lit(0.0) for b in BODIES}
     return events.select("match_id", "seq", *[c.alias(k) for k, c in columns.items()])
 
 
@@ -118,20 +120,23 @@ def fit_vaep(events: DataFrame, seed: int = 0):
 
 
 def score_vaep(events: DataFrame, models: dict) -> DataFrame:
-    """match_id, seq, p_scores, p_concedes, vaep: the gain in scoring less the gain in conceding, against the action not having moved the ball."""
+    """match_id, seq, p_score_before, p_score_after, p_concede_before, p_concede_after, vaep_value: the action as it stands (before), and
+    with the ball where it ends (after: start moved to the end); the gain in scoring less the gain in conceding."""
     from pyspark.ml.functions import vector_to_array
 
-    before = events.withColumns({"end_x": F.col("start_x"), "end_y": F.col("start_y")})
+    after = events.withColumns({"start_x": F.col("end_x"), "start_y": F.col("end_y")})
+    names = {"scores": "p_score", "concedes": "p_concede"}
 
     def rated(rows: DataFrame, tag: str) -> DataFrame:
         out = vaep_features(rows)
         for label, model in models.items():
-            out = out.withColumn(f"{tag}_{label}", F.lit(model)) if isinstance(model, float) else model.transform(out).withColumn(f"{tag}_{label}", vector_to_array("probability")[1]).drop("features_", "rawPrediction", "probability", "prediction")
-        return out.select("match_id", "seq", *[f"{tag}_{label}" for label in models])
+            name = f"{names[label]}_{tag}"
+            out = out.withColumn(name, F.lit(model)) if isinstance(model, float) else model.transform(out).withColumn(name, vector_to_array("probability")[1]).drop("features_", "rawPrediction", "probability", "prediction")
+        return out.select("match_id", "seq", *[f"{names[label]}_{tag}" for label in models])
 
-    both = rated(events, "after").join(rated(before, "before"), ["match_id", "seq"])
-    gain = lambda label: F.col(f"after_{label}") - F.col(f"before_{label}")
-    return both.select("match_id", "seq", F.col("after_scores").alias("p_scores"), F.col("after_concedes").alias("p_concedes"), (gain("scores") - gain("concedes")).alias("vaep"))
+    both = rated(events, "before").join(rated(after, "after"), ["match_id", "seq"])
+    gain = lambda name: F.col(f"{name}_after") - F.col(f"{name}_before")
+    return both.withColumn("vaep_value", gain("p_score") - gain("p_concede"))
 
 
 def value_change(events: DataFrame) -> DataFrame:

@@ -25,15 +25,15 @@ FROM {events}
 """
 
 TRACKING_SQL = """
-SELECT concat('T', lpad(CAST(m AS VARCHAR(3)), 2, '0')) AS match_id, 1 AS period, k + 1 AS frame_id, k / CAST(25 AS DOUBLE) AS time_seconds,
+SELECT concat('T', lpad(CAST(m AS VARCHAR(3)), 2, '0')) AS match_id, CASE WHEN k < 1000 THEN 1 ELSE 2 END AS period, k + 1 AS frame_id, k / CAST(25 AS DOUBLE) AS time_seconds,
   CASE WHEN e < 22 THEN concat('P', lpad(CAST(e AS VARCHAR(2)), 2, '0')) END AS player_id,
   CASE WHEN e < 11 THEN 'home' WHEN e < 22 THEN 'away' END AS team_id,
-  (CASE WHEN home = 1 THEN xi + CASE WHEN e = 22 THEN kick ELSE 0 END ELSE 1050 - xi - CASE WHEN e = 22 THEN kick ELSE 0 END END) / CAST(10 AS DOUBLE) AS x,
-  (CASE WHEN home = 1 THEN yi ELSE 680 - yi END + CASE WHEN e = 22 THEN 4 ELSE 0 END) / CAST(10 AS DOUBLE) AS y,
-  e = 22 AS is_ball, NOT (e = 22 AND k % 300 BETWEEN 100 AND 111) AS visible
+  CASE WHEN e = 22 AND k % 300 BETWEEN 90 AND 99 THEN k % 300 / CAST(1 AS DOUBLE) WHEN NOT (e = 22 AND k % 300 BETWEEN 104 AND 111) THEN (CASE WHEN home = 1 THEN xi + CASE WHEN e = 22 THEN kick ELSE 0 END ELSE 1050 - xi - CASE WHEN e = 22 THEN kick ELSE 0 END END) / CAST(10 AS DOUBLE) END AS x,
+  CASE WHEN e = 22 AND k % 300 BETWEEN 90 AND 99 THEN CAST(34 AS DOUBLE) ELSE (CASE WHEN home = 1 THEN yi ELSE 680 - yi END + CASE WHEN e = 22 THEN 4 ELSE 0 END) / CAST(10 AS DOUBLE) END AS y,
+  e = 22 AS is_ball, NOT (e = 22 AND k % 300 BETWEEN 100 AND 111) AND NOT (k % 40 < 9 AND e = CAST(floor(k / 40) AS BIGINT) % 22) AS visible
 FROM (SELECT m, k, e, p, home, 3 + greatest(k % 60 - 54, 0) * 8 AS kick, 50 + (s * 83) % 700 + w AS xi, 30 + (s * 173) % 560 + CAST(floor(v / 3) AS BIGINT) AS yi
   FROM (SELECT m, k, e, p, (p % 11) AS s, CASE WHEN p < 11 THEN 1 ELSE 0 END AS home, abs((k + p * 40) % 400 - 200) AS w, abs((k + p * 70) % 300 - 150) AS v
-    FROM (SELECT m, k, e, CASE WHEN e = 22 THEN (CAST(floor(k / 60) AS BIGINT) * 7 + m) % 22 ELSE e END AS p
+    FROM (SELECT m, k, e, CASE WHEN e = 22 THEN (CAST(floor(k / 60) AS BIGINT) * 7 + m) % 11 + CASE WHEN CAST(floor((k + m * 37) / 360) AS BIGINT) % 2 = 0 THEN 0 ELSE 11 END ELSE e END AS p
       FROM (SELECT CAST(floor(event_id / 2000) AS BIGINT) AS m, event_id % 2000 AS k FROM {events}) f
       CROSS JOIN (SELECT CAST(n_nationkey AS BIGINT) AS e FROM {nation} WHERE n_nationkey < 23) n) h) b) c
 """
@@ -45,5 +45,6 @@ def spadl(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Positions of 22 players and the ball, 25 frames a second; the nation table is the list of 23 entities."""
+    """Positions of 22 players and the ball, 25 frames a second, two periods; spells of one team last up to 360 frames, players go out of
+    sight now and then, the ball does, after a shot, and then has no x for a while. The nation table is the list of 23 entities."""
     return spark.sql(TRACKING_SQL, events=spark.read.parquet(f"{sf_dir}/events.parquet"), nation=spark.read.parquet(f"{sf_dir}/nation.parquet"))

@@ -11,8 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.operators import retrieval, surfaces, team, tracking, values
+from touchline.functions import geometry as G
+from touchline.operators import retrieval, roles, surfaces, team, tracking, values
 from touchline.plans import fixtures
+from touchline.sources import contracts
 
 DIGITS = 6
 SWEEPS = 80
@@ -113,6 +115,33 @@ def action_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return team.action_map(fixtures.spadl(spark, sf_dir))
 
 
+def short_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names made of a nation, a particle of its number and a region."""
+    nation, region = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("nation", "region"))
+    words = F.array(*[F.lit(x) for x in ("van", "De", "mc.", "of", "TER", "")])
+    name = F.concat(F.lit(" "), F.col("n_name"), F.lit(" "), F.element_at(words, F.pmod("n_nationkey", F.lit(6)).cast("int") + 1), F.lit("  "), F.col("r_name"))
+    rows = nation.join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"))  # five regions
+    return rows.select("n_nationkey", team.short_name(name).alias("short"))
+
+
+def geometry_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Provider points of three origins in metres, mirrored by period, and whether they are on the pitch; clock texts."""
+    rows = fixtures.spadl(spark, sf_dir)
+    u, v = F.col("start_x") - 3, F.col("start_y") + 2
+    out = {}
+    for origin, (x, y) in {"bottom_left": (u, v), "top_left": (u, v), "center": (u - 60, v - 40)}.items():
+        a, b = G.rescale(x, y, 120.0, 80.0, origin)
+        out |= {f"{origin}_x": a, f"{origin}_y": b}
+    x, y = G.normalise(u, v, F.col("period"), F.lit(True))
+    return rounded(rows.select("seq", *[c.alias(k) for k, c in out.items()], x.alias("norm_x"), y.alias("norm_y"), G.in_bounds(x, y).alias("inside"), team.clock_text(F.col("period"), F.col("time_seconds")).alias("clock")))
+
+
+def action_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many actions break each rule of the actions schema, some of them spoilt on purpose."""
+    rows = fixtures.spadl(spark, sf_dir).withColumns({"start_x": F.when(F.col("seq") % 11 == 0, F.lit(110.5)).otherwise(F.col("start_x")), "team_id": F.when(F.col("seq") % 13 != 0, F.col("team_id")), "period": F.when(F.col("seq") % 17 == 0, 6).otherwise(F.col("period")), "raw_event_id": F.col("seq").cast("string")})
+    return contracts.violation_counts(rows, contracts.ACTION_RULES)
+
+
 def network_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(team.network_nodes(fixtures.spadl(spark, sf_dir)))
 
@@ -182,6 +211,26 @@ def player_obso(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(surfaces.player_obso(_snapshots(spark, sf_dir)))
 
 
+def formation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = _classified(spark, sf_dir)
+    return rounded(roles.formation_pairs(tracking.episodes(frames), frames), 4)
+
+
+def role_trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(roles.role_trajectory(_in_episode(spark, sf_dir)), 4)
+
+
+def tracking_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = _classified(spark, sf_dir)
+    return rounded(roles.tracking_profile(tracking.shape(frames), frames), 4)
+
+
+def episode_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = _classified(spark, sf_dir)
+    found = tracking.outcomes(tracking.episode_frames(frames), tracking.episodes(frames))
+    return rounded(found.select(*tracking.MATCH, "episode_id", retrieval.outcome_value().alias("value")))
+
+
 # -- vectors -----------------------------------------------------------------------------------------------------------
 
 
@@ -195,7 +244,7 @@ def episode_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = _in_episode(spark, sf_dir)
     rows = tracking.embeddings(tracking.states(tracking.snapshots(frames)), tracking.dominant_phases(frames))
     key = [*tracking.MATCH, "episode_id"]
-    return retrieval.cluster(retrieval.scaled(rows, [c for c in rows.columns if c not in key], key), k=6, starts=2).drop("v")
+    return retrieval.cluster(retrieval.scaled(rows, [c for c in rows.columns if c not in key], key), k=8, starts=10).drop("v")
 
 
 # -- SQL ---------------------------------------------------------------------------------------------------------------
@@ -297,6 +346,21 @@ _SQL = {
     "nearest_vectors": ("""SELECT query, vec_id, round(d, 5) AS distance, CAST(place - 1 AS INT) AS rank FROM (SELECT q.vec_id AS query, e.vec_id, list_distance(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS d,
         row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), e.vec_id) AS place FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 50 = 0) WHERE place <= 5""", ()),
 }
+_SQL["vaep_features"] = (
+    "SELECT match_id, seq, start_x AS start_x_oriented, start_y, end_x AS end_x_oriented, end_y, round(sqrt((105 - start_x) ** 2 + (34 - start_y) ** 2), 6) AS distance_to_goal_start, round(sqrt((105 - end_x) ** 2 + (34 - end_y) ** 2), 6) AS distance_to_goal_end, "
+    "round(atan2(7.32 * greatest(105 - start_x, 1e-6), (105 - start_x) ** 2 + (34 - start_y) ** 2 - 3.66 ** 2), 6) AS angle_to_goal_start, CAST(period AS DOUBLE) AS period, greatest(time_seconds, 0.0) AS time_since_period_start, "
+    + ", ".join([f"CAST(coalesce(action_type, '') = '{a}' AS INT)::DOUBLE AS action_{a}" for a in values.ACTIONS] + [f"CAST(coalesce(bodypart, '') = '{b}' AS INT)::DOUBLE AS body_{b}" for b in values.BODIES]) + " FROM spadl",
+    ("spadl",),
+)
+_SQL["short_names"] = ("""SELECT n_nationkey, left(CASE WHEN r_name NOT LIKE '% %' AND rtrim(lower(part), '.') IN ('van', 'de', 'mc', 'ter') THEN part || ' ' || last ELSE last END, 14) AS short
+    FROM (SELECT n_nationkey, r_name, ['van', 'De', 'mc.', 'of', 'TER', ''][n_nationkey % 6 + 1] AS part, list_last(string_split(r_name, ' ')) AS last FROM nation JOIN region ON n_regionkey = r_regionkey)""", ())
+_SQL["geometry_points"] = ("""SELECT seq, round(u / 120 * 105, 6) + 0.0 AS bottom_left_x, round(v / 80 * 68, 6) AS bottom_left_y, round(u / 120 * 105, 6) + 0.0 AS top_left_x, round((1 - v / 80) * 68, 6) + 0.0 AS top_left_y, round((u - 60) / 120 * 105 + 52.5, 6) + 0.0 AS center_x, round((v - 40) / 80 * 68 + 34, 6) AS center_y,
+    round(nx, 6) + 0.0 AS norm_x, round(ny, 6) + 0.0 AS norm_y, nx BETWEEN 0 AND 105 AND ny BETWEEN 0 AND 68 AS inside, printf('P%d  %02d:%05.2f', period, CAST(floor(time_seconds / 60) AS INT), time_seconds - floor(time_seconds / 60) * 60) AS clock
+    FROM (SELECT *, CASE WHEN period = 1 THEN u ELSE 105 - u END AS nx, CASE WHEN period = 1 THEN v ELSE 68 - v END AS ny FROM (SELECT *, start_x - 3 AS u, start_y + 2 AS v FROM spadl))""", ("spadl",))
+_SQL["action_violations"] = ("""SELECT 'start_x' AS column_name, 'range' AS rule, count(*) AS n FROM spadl WHERE seq % 11 = 0 HAVING count(*) > 0 UNION ALL SELECT 'team_id', 'null', count(*) FROM spadl WHERE seq % 13 = 0 HAVING count(*) > 0
+    UNION ALL SELECT 'period', 'range', count(*) FROM spadl WHERE seq % 17 = 0 HAVING count(*) > 0""", ("spadl",))
+_SQL["episode_values"] = (f"""SELECT e.match_id, e.period, CAST(e.episode_id AS INT) AS episode_id, round(CASE WHEN coalesce(l.ox >= 88.5 AND l.b_y BETWEEN 13.84 AND 54.16 AND l.v >= 12.0, false) THEN 1.0 WHEN coalesce(l.ox >= 88.5 AND l.b_y BETWEEN 13.84 AND 54.16, false) THEN 0.6
+    WHEN coalesce(i.third, false) THEN 0.3 ELSE 0.05 END + 0.01 * round(end_time_s - start_time_s, 3), 6) AS value FROM eps e JOIN (SELECT {_KEYS}, bool_or(ox > 70.0) AS third FROM inside GROUP BY ALL) i USING ({_KEYS}) LEFT JOIN lasts l USING ({_KEYS})""", ("eps", "inside", "lasts"))
 _CTE["numbered"] = (f"SELECT match_id, seq, team_id, coalesce({_GOAL}, false) AS g, row_number() OVER (PARTITION BY match_id ORDER BY seq) AS k FROM spadl", ("spadl",))
 # fmt: on
 
@@ -318,7 +382,7 @@ def _with(body: str, needs: tuple[str, ...]) -> str:
 
 _QUERIES = (
     team_profiles, actions, xt_counts, xt_transitions, xt_grid, xt_values, vaep_labels, vaep_features, vaep_scores, running_score, pressing, profile_scores, team_summary, top_players, match_scores,
-    action_map, network_nodes, network_edges, velocities, possession, phases, phase_segments, episodes, episode_outcomes, dominant_phases, snapshots, states, episode_embeddings, team_shape,
+    action_map, short_names, geometry_points, action_violations, formation_pairs, role_trajectories, tracking_profiles, episode_values, network_nodes, network_edges, velocities, possession, phases, phase_segments, episodes, episode_outcomes, dominant_phases, snapshots, states, episode_embeddings, team_shape,
     obso_trajectory, decisive_frames, player_obso, nearest_vectors, episode_clusters,
 )
 
