@@ -90,10 +90,56 @@ def cluster_profiles(labelled: DataFrame) -> DataFrame:
     return rows.withColumn("label", F.format_string("%s, %d episodes, %.0f%% final third, %.0f%% shots", "phase", "n", F.col("pct_third") * 100, F.col("pct_shot") * 100))
 
 
-def recommend(labelled: DataFrame, least: int = 3, top: int = 5) -> DataFrame:
-    """Clusters with at least least episodes by mean outcome value, best first."""
-    sums = labelled.groupBy("cluster").agg(F.count("*").alias("n"), F.round(F.avg(outcome_value()), 3).alias("value")).filter(F.col("n") >= least)
-    return sums.orderBy(F.desc("value"), "cluster").limit(top)
+def _matching(labelled: DataFrame, pairs: DataFrame | None, keys: list[str], **formations: str | None) -> DataFrame:
+    """The rows whose episode has the given formations (a side without one is free)."""
+    wanted = {f"{side}_formation": f for side, f in formations.items() if f is not None}
+    if not wanted:
+        return labelled
+    kept = pairs
+    for column, formation in wanted.items():
+        kept = kept.filter(F.col(column) == formation)
+    return labelled.join(kept.select(*keys), keys, "left_semi")
+
+
+def recommend(labelled: DataFrame, pairs: DataFrame | None = None, defender: str | None = None, attacker: str | None = None, keys: tuple[str, ...] = ("match_id", "period", "episode_id"), least: int = 3, top: int = 5) -> DataFrame:
+    """Clusters that worked best, against a defender's formation (and for an attacker's) where these are named: rank from 0, cluster,
+    n, n_cluster (its episodes before the filter), value, pct_shot, pct_box, phase (the most common, ties to the first in the
+    alphabet) and examples (the three of most value, ties to the smaller key). Clusters with fewer than least episodes left go.
+
+    labelled: keys, cluster, phase and the outcome's columns; pairs: keys, attacker_formation, defender_formation.
+    """
+    ids = F.struct(*keys)
+    best = Window.partitionBy("cluster").orderBy(F.desc("value_"), *keys)
+    sizes = labelled.groupBy("cluster").agg(F.count("*").alias("n_cluster"))
+    left = _matching(labelled, pairs, list(keys), defender=defender, attacker=attacker).withColumn("value_", outcome_value())
+    placed = left.withColumn("place_", F.row_number().over(best))
+    sums = placed.groupBy("cluster").agg(
+        F.count("*").alias("n"), F.round(F.avg("value_"), 3).alias("value"), F.round(F.avg(F.col("shot_like").cast("double")), 3).alias("pct_shot"), F.round(F.avg(F.col("ended_in_box").cast("double")), 3).alias("pct_box"),
+        F.mode("phase", True).alias("phase"), F.array_sort(F.collect_list(F.when(F.col("place_") <= 3, F.struct("place_", ids.alias("id"))))).alias("examples"), F.avg("value_").alias("exact_"),
+    ).filter(F.col("n") >= least)
+    rank = F.row_number().over(Window.orderBy(F.desc("exact_"), "cluster")) - 1  # a row per cluster
+    out = sums.join(sizes, "cluster").withColumn("rank", rank).filter(F.col("rank") < top)
+    return out.select("rank", "cluster", "n", "n_cluster", "value", "pct_shot", "pct_box", "phase", F.transform("examples", lambda e: e["id"]).alias("examples"))
+
+
+def recommend_defence(outcomes: DataFrame, pairs: DataFrame, attacker: str, keys: tuple[str, ...] = ("match_id", "period", "episode_id"), least: int = 3, top: int = 3) -> DataFrame:
+    """Defender's formations by mean outcome value against an attacker's formation, the least first: rank from 0, defender_formation, n, value, pct_shot, pct_box."""
+    met = outcomes.join(pairs.filter((F.col("attacker_formation") == attacker) & F.col("defender_formation").isNotNull()).select(*keys, "defender_formation"), list(keys))
+    sums = met.groupBy("defender_formation").agg(
+        F.count("*").alias("n"), F.round(F.avg(outcome_value()), 3).alias("value"), F.round(F.avg(F.col("shot_like").cast("double")), 3).alias("pct_shot"), F.round(F.avg(F.col("ended_in_box").cast("double")), 3).alias("pct_box")
+    ).filter(F.col("n") >= least)
+    return sums.withColumn("rank", F.row_number().over(Window.orderBy("value", "defender_formation")) - 1).filter(F.col("rank") < top)
+
+
+def cross_source_rate(neighbours: DataFrame, sources: DataFrame, key: str) -> DataFrame:
+    """Per query: share of its neighbours from another source. sources: key, source."""
+    own = sources.select(F.col(key).alias("query"), F.col("source").alias("own_"))
+    return neighbours.join(sources.select(key, "source"), key).join(own, "query").groupBy("query").agg(F.avg((F.col("source") != F.col("own_")).cast("double")).alias("cross_source"))
+
+
+def source_mix(labelled: DataFrame) -> DataFrame:
+    """Episodes per cluster and source."""
+    return labelled.groupBy("cluster", "source").agg(F.count("*").alias("n"))
 
 
 def jaccard(a, b):

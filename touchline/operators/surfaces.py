@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,20 +31,64 @@ def surfaces(frame_rows: DataFrame, rows: int = 68, cols: int = 104, attacker: s
     return scored.withColumn("obso", F.col("control") * F.col("arrival") * F.col("goal")).drop("attack_s", "defend_s")
 
 
+def goal_grid(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Goal probability of points, as the column expression gives it."""
+    dx, low, high = G.LENGTH - x, G.GOAL_Y - G.GOAL_WIDTH / 2 - y, G.GOAL_Y + G.GOAL_WIDTH / 2 - y
+    cosine = (dx * dx + low * high) / (np.sqrt(dx * dx + low * low) * np.sqrt(dx * dx + high * high) + 1e-9)
+    a, b, c = G.GOAL_MODEL
+    return np.where(x > G.LENGTH, 0.0, 1 / (1 + np.exp(-(a + b * np.hypot(dx, y - G.GOAL_Y) + c * np.arccos(np.clip(cosine, -1, 1))))))
+
+
+def best_cell(rows: int, cols: int):
+    """Vectorised function of a row's attackers and defenders (arrays of x and y, moved on by the reaction time) and ball:
+    the greatest off-ball value over the grid and the centre of its first cell in row order."""
+
+    @F.pandas_udf("obso_max double, obso_argmax_x double, obso_argmax_y double")
+    def best(ax: pd.Series, ay: pd.Series, dx: pd.Series, dy: pd.Series, bx: pd.Series, by: pd.Series) -> pd.DataFrame:
+        x, y = np.tile((np.arange(cols) + 0.5) * (G.LENGTH / cols), rows), np.repeat((np.arange(rows) + 0.5) * (G.WIDTH / rows), cols)
+        goal, out = goal_grid(x, y), np.empty((len(ax), 3))
+        soonest = lambda px, py: np.sqrt(((x - px[:, None]) ** 2 + (y - py[:, None]) ** 2).min(axis=0)) / G.MAX_SPEED
+        for i, (a, b, c, d, u, v) in enumerate(zip(ax, ay, dx, dy, bx, by, strict=True)):
+            if a is None:
+                out[i] = np.nan
+                continue
+            if len(a) and len(c):
+                z = np.clip((soonest(c, d) - soonest(a, b)) / G.CONTROL_SIGMA_S, -30, 30)
+            else:
+                z = np.full(len(x), 30.0 * ((len(a) > 0) - (len(c) > 0)))
+            value = goal / (1 + np.exp(-z))
+            if not (np.isnan(u) or np.isnan(v)):
+                value = value * np.exp(-((x - u) ** 2 + (y - v) ** 2) / (2 * G.BALL_SIGMA_M**2))
+            k = int(value.argmax())
+            out[i] = value[k], x[k], y[k]
+        return pd.DataFrame(out, columns=["obso_max", "obso_argmax_x", "obso_argmax_y"])
+
+    return best
+
+
+def with_peak(frame_rows: DataFrame, rows: int = 40, cols: int = 60, where=None) -> DataFrame:
+    """Frames (ball, players, team: the attackers') with obso_max, obso_argmax_x and obso_argmax_y; null where the condition where
+    doesn't hold. One pass of Arrow batches: nothing is exchanged."""
+    side = lambda own: F.filter("players", lambda p: ((p["team_id"] == F.col("team")) == F.lit(own)) & (p["x"] + p["y"] + p["vx"] + p["vy"]).isNotNull())
+    wanted = F.lit(True) if where is None else where
+    ahead = lambda own, c, v: F.when(wanted, F.transform(side(own), lambda p: p[c] + p[v] * G.REACTION_S))
+    found = best_cell(rows, cols)(ahead(True, "x", "vx"), ahead(True, "y", "vy"), ahead(False, "x", "vx"), ahead(False, "y", "vy"), F.col("ball.x"), F.col("ball.y"))
+    return frame_rows.withColumn("best_", found).select(*frame_rows.columns, "best_.*")
+
+
 def trajectory(snapshot_rows: DataFrame, rows: int = 40, cols: int = 60) -> DataFrame:
     """Per snapshot of an episode: obso_max and the centre of its first cell in row order."""
     keys = ["match_id", "period", "episode_id", "frame_id"]
-    cells = surfaces(snapshot_rows.select(*keys, "ball", "players", "team"), rows, cols)
-    top = F.max(F.struct("obso", (-F.col("r")).alias("r"), (-F.col("c")).alias("c"), "cx", "cy")).alias("top")
-    return cells.groupBy(*keys).agg(top).select(*keys, F.col("top.obso").alias("obso_max"), F.col("top.cx").alias("obso_argmax_x"), F.col("top.cy").alias("obso_argmax_y"))
+    return with_peak(snapshot_rows.select(*keys, "ball", "players", "team"), rows, cols).drop("ball", "players", "team")
 
 
 def decisive(trajectory_rows: DataFrame, share: float = 0.5) -> DataFrame:
-    """Per episode: peak and the first frame that reaches share of it; null where the peak isn't positive."""
+    """Per episode: peak and the first frame that reaches share of it, with its value; null where the peak isn't positive."""
     keys = ["match_id", "period", "episode_id"]
     peak = trajectory_rows.groupBy(*keys).agg(F.max("obso_max").alias("peak_obso"))
     near = trajectory_rows.join(peak, keys)
-    return near.groupBy(*keys, "peak_obso").agg(F.min(F.when((F.col("peak_obso") > 0) & (F.col("obso_max") >= share * F.col("peak_obso")), F.col("frame_id"))).alias("decisive_frame"))
+    first = F.min(F.when((F.col("peak_obso") > 0) & (F.col("obso_max") >= share * F.col("peak_obso")), F.struct("frame_id", "obso_max")))
+    return near.groupBy(*keys, "peak_obso").agg(first.alias("at")).select(*keys, "peak_obso", F.col("at.frame_id").alias("decisive_frame"), F.col("at.obso_max").alias("decisive_obso"))
 
 
 def player_obso(frame_rows: DataFrame, rows: int = 40, cols: int = 60) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -243,3 +243,57 @@ def hull_area(xs: pd.Series, ys: pd.Series) -> pd.Series:
         return total / 2
 
     return pd.Series([area(x, y) for x, y in zip(xs, ys, strict=True)], dtype="float64")
+
+
+def summary(episode_rows: DataFrame, outcome_rows: DataFrame, phases: DataFrame, threat: DataFrame, snapshot_rows: DataFrame) -> DataFrame:
+    """One row per episode: bounds, team, phase, outcome, peak_obso and decisive_obso (surfaces.decisive), n_snapshots."""
+    keys = [*MATCH, "episode_id"]
+    counted = snapshot_rows.groupBy(*keys).agg(F.count("*").alias("n_snapshots"))
+    met = episode_rows.join(outcome_rows.drop("end_reason", "duration_s"), keys).join(phases.withColumnRenamed("phase", "dominant_phase"), keys, "left").join(threat, keys, "left").join(counted, keys, "left")
+    return met.select(
+        *keys, "start_frame", "end_frame", "start_time_s", "end_time_s", "duration_s", "possession_team", "dominant_phase", "end_reason", "reached_final_third", "ended_in_box", "shot_like", "end_ball_x", "end_ball_y", "end_ball_speed",
+        "peak_obso", "decisive_obso", F.coalesce("n_snapshots", F.lit(0)).alias("n_snapshots"),
+    )
+
+
+def by_source(episode_rows: DataFrame, source: Column) -> DataFrame:
+    """Per source: number of episodes, median, mean and total duration."""
+    return episode_rows.groupBy(source.alias("source")).agg(F.count("*").alias("n"), F.median("duration_s").alias("median_s"), F.avg("duration_s").alias("mean_s"), F.sum("duration_s").alias("total_s"))
+
+
+def phase_totals(segments: DataFrame) -> DataFrame:
+    """Per match and phase: number of segments, frames and seconds."""
+    return segments.groupBy("match_id", "phase").agg(F.count("*").alias("n_segments"), F.sum("n_frames").alias("n_frames"), F.sum("duration_s").alias("total_s"))
+
+
+def pressing_features(snapshot_rows: DataFrame, role_rows: DataFrame, max_rel_time_s: float | None = None) -> DataFrame:
+    """The 8 further numbers of an episode: mean and least distance of the nearest defender to the ball, defenders within 5 and 10 m,
+    mean over snapshots of the largest displacement from a role, mean displacement, attackers' spread and their number in the last third.
+
+    Snapshots without a ball count only for the roles; a number without any snapshot is 0.
+    """
+    keys = [*MATCH, "episode_id"]
+    early = F.lit(True) if max_rel_time_s is None else F.col("time_seconds") - F.col("start_time_s") <= max_rel_time_s
+    side = lambda own: F.filter("players", lambda p: (p["team_id"] == F.col("team")) == F.lit(own))
+    seen = snapshot_rows.filter(early)
+    far = F.transform(side(False), lambda p: G.distance(p["x"], p["y"], F.col("ball.x"), F.col("ball.y")))
+    near = seen.filter("ball is not null").select(*keys, "to_right", far.alias("far"), side(True).alias("own"))
+    within = lambda m: F.when(F.size("far") > 0, F.size(F.filter("far", lambda d: d <= m)))
+    mean = lambda c: F.aggregate("own", F.lit(0.0), lambda s, p: s + p[c]) / F.size("own")
+    variance = lambda c, m: F.aggregate("own", F.lit(0.0), lambda s, p: s + (p[c] - F.col(m)) * (p[c] - F.col(m))) / F.size("own")
+    many = F.size("own") >= 2
+    middled = near.withColumns({"mx": F.when(many, mean("x")), "my": F.when(many, mean("y"))})
+    high = F.when(many, F.size(F.filter("own", lambda p: G.oriented_x(p["x"], F.col("to_right")) >= G.FINAL_THIRD_X)))
+    pressed = middled.groupBy(*keys).agg(
+        F.avg(F.array_min("far")).alias("pressing_mean"), F.min(F.array_min("far")).alias("pressing_min"), F.avg(within(5.0)).alias("defenders_within_5m"), F.avg(within(10.0)).alias("defenders_within_10m"),
+        F.avg(F.when(many, F.sqrt(variance("x", "mx") + variance("y", "my")))).alias("attackers_spread"), F.avg(high).alias("attackers_in_third"),
+    )
+    worst = role_rows.join(seen.select(*FRAME), FRAME, "left_semi").groupBy(*keys, "frame_id").agg(F.max("displacement").alias("worst"), F.sum("displacement").alias("total"), F.count("*").alias("n"))
+    placed = worst.groupBy(*keys).agg(F.avg("worst").alias("formation_match_cost"), (F.sum("total") / F.sum("n")).alias("mean_role_displacement"))
+    names = ("pressing_mean", "pressing_min", "defenders_within_5m", "defenders_within_10m", "formation_match_cost", "mean_role_displacement", "attackers_spread", "attackers_in_third")
+    return snapshot_rows.select(*keys).distinct().join(pressed, keys, "left").join(placed, keys, "left").select(*keys, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in names])
+
+
+def extended_embeddings(base: DataFrame, further: DataFrame) -> DataFrame:
+    """The 24 numbers, then the 8 of pressing_features."""
+    return base.join(further, [*MATCH, "episode_id"])

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.functions import geometry as G
-from touchline.operators import retrieval, roles, surfaces, team, tracking, values
+from touchline.operators import credit, retrieval, roles, similarity, surfaces, team, tracking, values
 from touchline.plans import fixtures
 from touchline.sources import contracts
 
@@ -231,6 +231,85 @@ def episode_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found.select(*tracking.MATCH, "episode_id", retrieval.outcome_value().alias("value")))
 
 
+def episode_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = _classified(spark, sf_dir)
+    tagged, rows = tracking.episode_frames(frames), tracking.episodes(frames)
+    snaps = tracking.snapshots(tagged)
+    threat = surfaces.decisive(surfaces.trajectory(snaps))
+    return rounded(tracking.summary(rows, tracking.outcomes(tagged, rows), tracking.dominant_phases(tagged), threat, snaps))
+
+
+def phase_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(tracking.phase_totals(tracking.phase_segments(_classified(spark, sf_dir))))
+
+
+def episode_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(credit.trigger_frames(tracking.states(_snapshots(spark, sf_dir))))
+
+
+def shot_strikes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(credit.strikes(_in_episode(spark, sf_dir)))
+
+
+def ball_holders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(credit.holders(_moving(spark, sf_dir)))
+
+
+def smoothed_holders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credit.smoothed_holders(_moving(spark, sf_dir))
+
+
+def mean_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(credit.mean_positions(_in_episode(spark, sf_dir)))
+
+
+def td_credit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(credit.td_credit(surfaces.with_peak(_snapshots(spark, sf_dir))))
+
+
+def _peaks(tagged: DataFrame, rows: DataFrame, found: DataFrame) -> DataFrame:
+    return credit.peak_frames(rows, found, tracking.states(tracking.snapshots(tagged)))
+
+
+def leave_one_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = _classified(spark, sf_dir)
+    tagged, rows = tracking.episode_frames(frames), tracking.episodes(frames)
+    return rounded(credit.leave_one_out(tagged, _peaks(tagged, rows, tracking.outcomes(tagged, rows))))
+
+
+def episode_narratives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = _classified(spark, sf_dir)
+    tagged, rows = tracking.episode_frames(frames), tracking.episodes(frames)
+    found = tracking.outcomes(tagged, rows)
+    triggers = credit.trigger_frames(tracking.states(tracking.snapshots(tagged)))
+    return credit.narratives(rows, found, triggers, credit.leave_one_out(tagged, _peaks(tagged, rows, found)))
+
+
+def extended_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tagged = _in_episode(spark, sf_dir)
+    snaps = tracking.snapshots(tagged)
+    base = tracking.embeddings(tracking.states(snaps), tracking.dominant_phases(tagged))
+    return rounded(tracking.extended_embeddings(base, tracking.pressing_features(snaps, roles.role_trajectory(tagged))), 4)
+
+
+def defence_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Against the formation most attackers of the fixture stand in."""
+    frames = _classified(spark, sf_dir)
+    rows = tracking.episodes(frames)
+    return retrieval.recommend_defence(tracking.outcomes(tracking.episode_frames(frames), rows), roles.formation_pairs(rows, frames), "4-3-3")
+
+
+def density_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Episodes of each match, by fused distances of extended embeddings and role paths."""
+    key = list(credit.EPISODE)
+    tagged = _in_episode(spark, sf_dir)
+    snaps, played = tracking.snapshots(tagged), roles.role_trajectory(tagged)
+    rows = tracking.extended_embeddings(tracking.embeddings(tracking.states(snaps), tracking.dominant_phases(tagged)), tracking.pressing_features(snaps, played))
+    vectors = retrieval.scaled(rows, [c for c in rows.columns if c not in key], key)
+    pairs = similarity.episode_pairs(vectors, similarity.sequences(played, key), ["match_id"], key)
+    return similarity.density_clusters(similarity.fused(pairs, ["match_id"]), ["match_id"], key)
+
+
 # -- vectors -----------------------------------------------------------------------------------------------------------
 
 
@@ -383,7 +462,8 @@ def _with(body: str, needs: tuple[str, ...]) -> str:
 _QUERIES = (
     team_profiles, actions, xt_counts, xt_transitions, xt_grid, xt_values, vaep_labels, vaep_features, vaep_scores, running_score, pressing, profile_scores, team_summary, top_players, match_scores,
     action_map, short_names, geometry_points, action_violations, formation_pairs, role_trajectories, tracking_profiles, episode_values, network_nodes, network_edges, velocities, possession, phases, phase_segments, episodes, episode_outcomes, dominant_phases, snapshots, states, episode_embeddings, team_shape,
-    obso_trajectory, decisive_frames, player_obso, nearest_vectors, episode_clusters,
+    obso_trajectory, decisive_frames, player_obso, nearest_vectors, episode_clusters, episode_summaries, phase_totals, episode_triggers, shot_strikes, ball_holders, smoothed_holders, mean_positions, td_credit, leave_one_out, episode_narratives,
+    extended_embeddings, defence_recommendations, density_clusters,
 )
 
 
