@@ -441,6 +441,35 @@ _SQL["action_violations"] = ("""SELECT 'start_x' AS column_name, 'range' AS rule
 _SQL["episode_values"] = (f"""SELECT e.match_id, e.period, CAST(e.episode_id AS INT) AS episode_id, round(CASE WHEN coalesce(l.ox >= 88.5 AND l.b_y BETWEEN 13.84 AND 54.16 AND l.v >= 12.0, false) THEN 1.0 WHEN coalesce(l.ox >= 88.5 AND l.b_y BETWEEN 13.84 AND 54.16, false) THEN 0.6
     WHEN coalesce(i.third, false) THEN 0.3 ELSE 0.05 END + 0.01 * round(end_time_s - start_time_s, 3), 6) AS value FROM eps e JOIN (SELECT {_KEYS}, bool_or(ox > 70.0) AS third FROM inside GROUP BY ALL) i USING ({_KEYS}) LEFT JOIN lasts l USING ({_KEYS})""", ("eps", "inside", "lasts"))
 _CTE["numbered"] = (f"SELECT match_id, seq, team_id, coalesce({_GOAL}, false) AS g, row_number() OVER (PARTITION BY match_id ORDER BY seq) AS k FROM spadl", ("spadl",))
+_CTE["seen"] = ("SELECT match_id, period, frame_id, team_id, player_id, x, y, vx, vy FROM fast WHERE NOT is_ball AND visible AND x IS NOT NULL AND y IS NOT NULL", ("fast",))
+_CTE["snaps"] = (f"""SELECT DISTINCT {_KEYS}, frame_id FROM (SELECT {_KEYS}, frame_id, row_number() OVER (PARTITION BY {_KEYS}, k ORDER BY round(abs(t - target), 9), frame_id) AS place FROM inside JOIN
+    (SELECT {_KEYS}, k, start_time_s + k * CASE WHEN n > 1 THEN (end_time_s - start_time_s) / (n - 1) ELSE 0 END AS target FROM (SELECT *, unnest(range(n)) AS k FROM (SELECT {_KEYS}, start_time_s, end_time_s,
+    CAST(CASE WHEN round(end_time_s - start_time_s, 3) <= 0 THEN 1 ELSE greatest(2, round_even(round(end_time_s - start_time_s, 3) * 2, 0) + 1) END AS INT) AS n FROM eps))) USING ({_KEYS})) WHERE place = 1""", ("inside", "eps"))
+_CTE["shots"] = (f"SELECT i.* FROM inside i JOIN snaps USING ({_KEYS}, frame_id)", ("inside", "snaps"))
+_CTE["grid"] = ("SELECT r, c, CAST((c + 0.5) * 1.75 AS DOUBLE) AS cx, CAST((r + 0.5) * 1.7 AS DOUBLE) AS cy FROM (SELECT unnest(range(40)) AS r), (SELECT unnest(range(60)) AS c)", ())
+_CTE["goals"] = ("""SELECT *, CASE WHEN cx > 105 THEN 0.0 ELSE 1 / (1 + exp(-(1.2 - 0.12 * sqrt((105 - cx) * (105 - cx) + (34 - cy) * (34 - cy)) + 1.5 * acos(least(greatest(((105 - cx) * (105 - cx) + low * high) / (sqrt((105 - cx) * (105 - cx) + low * low) * sqrt((105 - cx) * (105 - cx) + high * high) + 1e-9), -1.0), 1.0))))) END AS goal
+    FROM (SELECT *, 34 - 3.66 - cy AS low, 34 + 3.66 - cy AS high FROM grid)""", ("grid",))
+_CTE["reach"] = (f"""SELECT s.match_id, s.period, s.episode_id, s.frame_id, bx, b_y, r, c, cx, cy, goal, min(CASE WHEN p.team_id = s.team THEN sqrt((cx - p.x - 0.7 * p.vx) * (cx - p.x - 0.7 * p.vx) + (cy - p.y - 0.7 * p.vy) * (cy - p.y - 0.7 * p.vy)) / 5 END) AS a,
+    min(CASE WHEN p.team_id <> s.team THEN sqrt((cx - p.x - 0.7 * p.vx) * (cx - p.x - 0.7 * p.vx) + (cy - p.y - 0.7 * p.vy) * (cy - p.y - 0.7 * p.vy)) / 5 END) AS d FROM shots s JOIN seen p USING (match_id, period, frame_id) CROSS JOIN goals GROUP BY ALL""", ("shots", "seen", "goals"))
+_CTE["threats"] = (f"""SELECT *, row_number() OVER (PARTITION BY {_KEYS}, frame_id ORDER BY obso DESC, r, c) AS place FROM (SELECT {_KEYS}, frame_id, r, c, cx, cy,
+    goal * coalesce(exp(-((cx - bx) * (cx - bx) + (cy - b_y) * (cy - b_y)) / 800), 1.0) / (1 + exp(-least(greatest((d - a) / 0.45, -30.0), 30.0))) AS obso FROM reach)""", ("reach",))
+_CTE["tops"] = ("SELECT * FROM threats WHERE place = 1", ("threats",))
+_CTE["nearby"] = (f"""SELECT s.match_id, s.period, s.episode_id, s.frame_id, s.team, p.player_id, sqrt((p.x - bx) * (p.x - bx) + (p.y - b_y) * (p.y - b_y)) AS d, row_number() OVER (PARTITION BY s.match_id, s.period, s.episode_id, s.frame_id ORDER BY sqrt((p.x - bx) * (p.x - bx) + (p.y - b_y) * (p.y - b_y)), p.player_id) AS place
+    FROM inside s JOIN seen p ON p.match_id = s.match_id AND p.period = s.period AND p.frame_id = s.frame_id AND p.team_id = s.team WHERE bx IS NOT NULL""", ("inside", "seen"))
+_E = "match_id, period, CAST(episode_id AS INT) AS episode_id"
+_SQL["snapshots"] = (f"SELECT {_E}, frame_id FROM snaps", ("snaps",))
+_SQL["phase_totals"] = ("""SELECT match_id, phase, count(*) AS n_segments, CAST(sum(n) AS BIGINT) AS n_frames, round(sum(s), 6) AS total_s FROM (SELECT match_id, period, phase, part, count(*) AS n, round(max(t) - min(t), 3) AS s FROM (SELECT *, sum(new3) OVER (PARTITION BY match_id, period ORDER BY frame_id) AS part
+    FROM (SELECT *, CASE WHEN phase IS DISTINCT FROM lag(phase) OVER (PARTITION BY match_id, period ORDER BY frame_id) THEN 1 ELSE 0 END AS new3 FROM phased)) GROUP BY ALL) GROUP BY ALL""", ("phased",))
+_SQL["episode_triggers"] = (f"SELECT {_E}, min(frame_id) FILTER (ox > 70) AS trigger_frame, round(min(t) FILTER (ox > 70), 6) AS trigger_time_s FROM shots GROUP BY ALL", ("shots",))
+_SQL["mean_positions"] = (f"SELECT {_E}, team, player_id, round(avg(p.x), 6) + 0.0 AS x, round(avg(p.y), 6) + 0.0 AS y FROM inside i JOIN seen p USING (match_id, period, frame_id) WHERE p.team_id = i.team GROUP BY ALL", ("inside", "seen"))
+_SQL["ball_holders"] = ("""SELECT match_id, period, frame_id, player_id, round(d, 6) AS distance_m, round(second - d, 6) AS margin_m FROM (SELECT match_id, period, frame_id, player_id, d, lead(d) OVER w AS second, row_number() OVER w AS place
+    FROM (SELECT p.*, sqrt((p.x - bx) * (p.x - bx) + (p.y - b_y) * (p.y - b_y)) AS d FROM seen p JOIN ball USING (match_id, period, frame_id) WHERE bx IS NOT NULL AND b_y IS NOT NULL) WINDOW w AS (PARTITION BY match_id, period, frame_id ORDER BY d, player_id)) WHERE place = 1""", ("seen", "ball"))
+_SQL["shot_strikes"] = (f"""SELECT {_E}, frame_id AS strike_frame, round(t, 6) AS strike_time_s, round(t - start_time_s, 6) AS strike_rel_time_s, round(v, 6) AS ball_speed_at_strike, bx AS ball_x, b_y AS ball_y, player_id AS shot_taker, round(d, 6) AS shot_taker_distance_m, v >= 12 AS above_threshold
+    FROM (SELECT *, row_number() OVER (PARTITION BY {_KEYS} ORDER BY v < 12, CASE WHEN v < 12 THEN -v ELSE 0 END, frame_id) AS first FROM (SELECT *, sqrt(bvx * bvx + bvy * bvy) AS v FROM inside WHERE bx IS NOT NULL)) s JOIN nearby n USING ({_KEYS}, frame_id) WHERE first = 1 AND n.place = 1""", ("inside", "nearby"))
+_SQL["obso_trajectory"] = (f"SELECT {_E}, frame_id, round(obso, 6) AS obso_max, round(cx, 6) AS obso_argmax_x, round(cy, 6) AS obso_argmax_y FROM tops", ("tops",))
+_SQL["decisive_frames"] = (f"""SELECT {_E}, round(peak, 6) AS peak_obso, frame_id AS decisive_frame, round(obso, 6) AS decisive_obso FROM (SELECT *, max(obso) OVER (PARTITION BY {_KEYS}) AS peak FROM tops) WHERE obso >= 0.5 * peak QUALIFY row_number() OVER (PARTITION BY {_KEYS} ORDER BY frame_id) = 1""", ("tops",))
+_SQL["td_credit"] = (f"""SELECT {_E}, team_id, player_id, round(credit, 6) + 0.0 AS credit, n_snapshots_carrier, n_snapshots_near_ball, CAST(row_number() OVER (PARTITION BY {_KEYS} ORDER BY credit DESC, player_id) AS INT) AS rank FROM (SELECT {_KEYS}, team AS team_id, player_id, sum(CASE WHEN n.place = 1 THEN 1.0 ELSE 0.3 END * gain) AS credit,
+    count(*) FILTER (n.place = 1) AS n_snapshots_carrier, count(*) FILTER (n.place > 1) AS n_snapshots_near_ball FROM nearby n JOIN (SELECT {_KEYS}, frame_id, lead(obso) OVER (PARTITION BY {_KEYS} ORDER BY frame_id) - obso AS gain FROM tops) USING ({_KEYS}, frame_id) WHERE gain IS NOT NULL AND (n.place = 1 OR n.d <= 10) GROUP BY ALL)""", ("nearby", "tops"))
 # fmt: on
 
 
