@@ -82,3 +82,32 @@ def test_nearest_equals_search(spark):
     for q in range(0, 40, 4):
         order = sorted((float(np.sqrt(((v[q] - v[j]) ** 2).sum())), j) for j in range(40) if j != q)
         assert [got[q, i] for i in range(3)] == [j for _, j in order[:3]]
+
+
+def test_nearest_gives_the_same_rows_in_one_block_and_in_many(spark):
+    rows = spark.range(60).selectExpr("id AS k", "array(double(id % 7), double(id % 5)) AS v")
+    one, many = (sorted(map(tuple, retrieval.nearest(rows.filter("k % 3 = 0"), rows, "k", 4, block=b).select("query", "k", "distance", "rank").collect())) for b in (1024, 6))
+    assert one == many and len(one) == 80
+    assert retrieval.nearest(rows.limit(0), rows, "k", 4).count() == 0
+
+
+def test_density_equals_a_direct_sum(spark):
+    import numpy as np
+
+    own = np.random.default_rng(3).normal([60, 30], [12, 9], size=(30, 2)).round(0)
+    odd = [("p", None, 1.0), ("p", float("nan"), 1.0), (None, 3.0, 4.0)] + [("few", float(i), float(i * i)) for i in range(4)] + [("line", float(i), 2.0 * i) for i in range(9)]
+    points = spark.createDataFrame([("p", float(x), float(y)) for x, y in own] + odd, "player_id string, x double, y double").repartition(3)
+    rows = surfaces.density(points, ["player_id"], 9, 11).collect()
+    assert {r.player_id for r in rows} == {"p"} and len(rows) == 99 and {r.n for r in rows} == {30}
+    cov = np.cov(own.T) * len(own) ** (-1 / 3)
+    for r in rows:
+        d = np.array([r.c * 10.5, r.r * 8.5]) - own
+        assert abs(r.density - np.exp(-0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d)).sum() / (30 * 2 * np.pi * np.sqrt(np.linalg.det(cov)))) < 1e-12
+    top = max(r.density for r in rows)
+    assert surfaces.density(points, ["player_id"], 9, 11, share=0.05).count() == sum(r.density >= 0.05 * top for r in rows)
+    assert surfaces.density(points.limit(0), ["player_id"], 9, 11).count() == 0
+
+
+def test_attack_ends_point_one_way(spark):
+    rows = spark.createDataFrame([(1, "home", 100.0, 30.0), (2, "away", 5.0, 38.0), (3, "home", 106.0, 30.0), (4, "away", None, None)], "e int, possession_team string, end_ball_x double, end_ball_y double")
+    assert [(r.e, r.x, r.y) for r in surfaces.attack_ends(rows).orderBy("e").collect()] == [(1, 100.0, 30.0), (2, 100.0, 30.0)]

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import heapq
+import tempfile
+import uuid
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -17,49 +23,60 @@ def scaled(rows: DataFrame, columns: list[str], key: list[str], by: dict[str, tu
     return rows.select(*key, F.array(*[(F.col(c) - by[c][0]) / by[c][1] for c in columns]).alias("v"))
 
 
-def nearest(queries: DataFrame, library: DataFrame, key: str, k: int, vector: str = "v", block: int = 256) -> DataFrame:
-    """(query, key, distance, rank from 0): the k nearest library rows of each query by Euclidean distance, itself left out; ties to the smaller key.
+def _shared_folder(spark: SparkSession) -> str:
+    """A new folder where spark.checkpoint.dir says; a local session without that setting (tests) gets one of its own."""
+    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if where is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = tempfile.mkdtemp(prefix="checkpoint-")
+    return f"{where.rstrip('/')}/nearest-{uuid.uuid4()}"
 
-    The queries are a stated set and are met in blocks: each task of the library keeps its own k best for every query of a
-    block (a bounded heap), so what is exchanged is k rows a task and query, not a row a pair.
-    """
-    import heapq
 
-    import numpy as np
-    import pyarrow as pa
-
-    spark = queries.sparkSession
-    q = queries.select(key, vector).orderBy(key).toArrow().to_pylist()
+def _met(some: pa.Table, library: DataFrame, key: str, k: int, vector: str) -> DataFrame:
+    """(query, key, distance, rank): the k nearest of the library for each query of one block, which is sent to the tasks."""
     kind = library.schema[key].dataType.simpleString()
-    out = None
-    for a in range(0, len(q), block):
-        some = q[a : a + block]
-        shared = spark.sparkContext.broadcast(([r[key] for r in some], np.array([r[vector] for r in some], dtype=float)))
-
-        def run(batches, shared=shared):
-            keys, vectors = shared.value
-            best: list[list] = [[] for _ in keys]
-            for batch in batches:
-                own = batch.column(0).to_pylist()
-                if not own:
-                    continue
-                x = np.array(batch.column(1).to_pylist(), dtype=float)
-                for i, (me, v) in enumerate(zip(keys, vectors, strict=True)):
-                    d = np.sqrt(((x - v) ** 2).sum(axis=1))
-                    for j in np.lexsort((own, d))[: k + 1]:
-                        if own[j] != me:
-                            best[i].append((float(d[j]), own[j]))
-                    best[i] = heapq.nsmallest(k, best[i])
-            rows = [(me, other, d) for me, found in zip(keys, best, strict=True) for d, other in found]
-            names = ["query", key, "distance"]
-            yield pa.RecordBatch.from_pydict(dict(zip(names, zip(*rows, strict=True), strict=True))) if rows else pa.RecordBatch.from_pydict({n: [] for n in names})
-
-        part = library.select(key, vector).mapInArrow(run, f"query {kind}, {key} {kind}, distance double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return spark.createDataFrame([], f"query {kind}, {key} {kind}, distance double, rank int")
+    shared = library.sparkSession.sparkContext.broadcast((some.column(0).to_pylist(), np.array(some.column(1).to_pylist(), dtype=float)))
+
+    def run(batches):
+        keys, vectors = shared.value
+        best: list[list] = [[] for _ in keys]
+        for batch in batches:
+            own = batch.column(0).to_pylist()
+            if not own:
+                continue
+            x = np.array(batch.column(1).to_pylist(), dtype=float)
+            for i, (me, v) in enumerate(zip(keys, vectors, strict=True)):
+                d = np.sqrt(((x - v) ** 2).sum(axis=1))
+                for j in np.lexsort((own, d))[: k + 1]:
+                    if own[j] != me:
+                        best[i].append((float(d[j]), own[j]))
+                best[i] = heapq.nsmallest(k, best[i])
+        rows = [(me, other, d) for me, found in zip(keys, best, strict=True) for d, other in found]
+        names = ["query", key, "distance"]
+        yield pa.RecordBatch.from_pydict(dict(zip(names, zip(*rows, strict=True), strict=True))) if rows else pa.RecordBatch.from_pydict({n: [] for n in names})
+
     w = Window.partitionBy("query").orderBy("distance", key)
-    return out.withColumn("rank", F.row_number().over(w) - 1).filter(F.col("rank") < k)
+    part = library.select(key, vector).mapInArrow(run, f"query {kind}, {key} {kind}, distance double")
+    return part.withColumn("rank", F.row_number().over(w) - 1).filter(F.col("rank") < k)
+
+
+def nearest(queries: DataFrame, library: DataFrame, key: str, k: int, vector: str = "v", block: int = 1024) -> DataFrame:
+    """(query, key, distance, rank from 0): the k nearest library rows of each query by Euclidean distance, itself left out; ties to the smaller key.
+
+    The queries are a stated set and are met in blocks of about block rows, by a hash of the key: the driver holds one block at a
+    time, each task of the library keeps its own k best for every query of it (a bounded heap), and so what is exchanged is k rows a
+    task and query, not a row a pair. With more than one block, each one's rows are written to the shared folder before the next.
+    """
+    spark, q = queries.sparkSession, queries.select(key, vector)
+    blocks = -(-q.count() // block)
+    if blocks <= 1:
+        return _met(q.toArrow(), library, key, k, vector)
+    folder = _shared_folder(spark)
+    for b in range(blocks):
+        some = q.filter(F.pmod(F.xxhash64(key), F.lit(blocks)) == b).toArrow()
+        _met(some, library, key, k, vector).write.mode("append").parquet(folder)
+    return spark.read.parquet(folder)
 
 
 def predict(neighbours: DataFrame, outcomes: DataFrame, key: str) -> DataFrame:

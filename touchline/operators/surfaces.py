@@ -104,3 +104,37 @@ def player_obso(frame_rows: DataFrame, rows: int = 40, cols: int = 60) -> DataFr
     value = G.control_probability(soonest(True), soonest(False)) * G.ball_arrival(F.col("cx"), F.col("cy"), F.col("ball.x"), F.col("ball.y")) * G.goal_probability(F.col("cx"), F.col("cy"))
     by_value = Window.partitionBy(*keys).orderBy(F.desc("obso"), "player_id")  # at most a team's players
     return at.select(*keys, F.col("me.player_id").alias("player_id"), value.alias("obso")).withColumn("rank", F.row_number().over(by_value))
+
+
+def density(points: DataFrame, keys: list[str], rows: int = 69, cols: int = 106, least: int = 5, share: float = 0.0) -> DataFrame:
+    """Gaussian kernel density of each group's places x, y over points evenly laid on the pitch, its edges included: keys, r, c, n (the
+    group's places), density (per square metre).
+
+    The kernel has the group's sample covariance, narrowed by n ** (-1/6) (Scott's rule for two dimensions). Groups with fewer than
+    least places, or with all places on one line, have no density, and so no rows; nor have rows with a null key or place. Values
+    below share of the group's largest are left out. Equal places are counted before they meet the points, and what is exchanged is
+    rows * cols sums a group and task, however many places a group has.
+    """
+    own = points.select(*keys, G.clean(F.col("x")).alias("x"), G.clean(F.col("y")).alias("y")).dropna()
+    spread = own.groupBy(*keys).agg(F.count("*").alias("n"), F.var_samp("x").alias("vx"), F.var_samp("y").alias("vy"), F.covar_samp("x", "y").alias("vxy"))
+    spread = spread.withColumn("det", F.col("vx") * F.col("vy") - F.col("vxy") * F.col("vxy")).filter((F.col("n") >= least) & (F.col("det") > 1e-12 * F.col("vx") * F.col("vy")))
+    places = own.groupBy(*keys, "x", "y").agg(F.count("*").alias("w")).join(spread, keys)
+    met = places.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(rows * cols - 1))))
+    dx, dy = F.pmod("cell", F.lit(cols)) * (G.LENGTH / (cols - 1)) - F.col("x"), F.floor(F.col("cell") / cols) * (G.WIDTH / (rows - 1)) - F.col("y")
+    narrowed = F.pow(F.col("n").cast("double"), F.lit(-1 / 3))
+    far = (F.col("vy") * dx * dx - 2 * F.col("vxy") * dx * dy + F.col("vx") * dy * dy) / (F.col("det") * narrowed)
+    sums = met.groupBy(*keys, "cell", "n").agg((F.sum(F.col("w") * F.exp(-0.5 * far)) / F.first(2 * np.pi * F.col("n") * narrowed * F.sqrt("det"))).alias("density"))
+    if share > 0:
+        top = F.max("density").over(Window.partitionBy(*keys))  # rows * cols rows a group
+        sums = sums.withColumn("top", top).filter(F.col("density") >= share * F.col("top"))
+    return sums.select(*keys, F.floor(F.col("cell") / cols).cast("int").alias("r"), F.pmod("cell", F.lit(cols)).cast("int").alias("c"), "n", "density")
+
+
+def attack_ends(outcome_rows: DataFrame, right: str = "home") -> DataFrame:
+    """The outcomes with x, y: where the ball was at the episode's end, turned so that every attack goes to x = 105. Ends off the pitch go.
+
+    outcome_rows: tracking.outcomes with possession_team.
+    """
+    turn = F.col("possession_team") != right
+    x, y = F.when(turn, G.LENGTH - F.col("end_ball_x")).otherwise(F.col("end_ball_x")), F.when(turn, G.WIDTH - F.col("end_ball_y")).otherwise(F.col("end_ball_y"))
+    return outcome_rows.withColumns({"x": x, "y": y}).filter(F.col("x").between(0, G.LENGTH) & F.col("y").between(0, G.WIDTH))

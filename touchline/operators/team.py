@@ -128,3 +128,9 @@ def short_name(name):
 def clock_text(period, seconds):
     """P1  03:05.20"""
     return F.format_string("P%d  %02d:%05.2f", period.cast("int"), F.floor(seconds / 60).cast("int"), seconds - F.floor(seconds / 60) * 60)
+
+
+def player_positions(events: DataFrame) -> DataFrame:
+    """Per player: n actions with a start, mean start, and the team of most of them (ties to the smaller id). Rows without a player or start go."""
+    own = events.select("player_id", "team_id", G.clean(F.col("start_x")).alias("x"), G.clean(F.col("start_y")).alias("y")).dropna(subset=["player_id", "x", "y"])
+    return own.groupBy("player_id").agg(F.count("*").alias("n"), F.avg("x").alias("x"), F.avg("y").alias("y"), F.mode("team_id", True).alias("team_id"))

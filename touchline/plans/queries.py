@@ -231,6 +231,23 @@ def episode_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found.select(*tracking.MATCH, "episode_id", retrieval.outcome_value().alias("value")))
 
 
+def player_heatmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = fixtures.spadl(spark, sf_dir).select("player_id", F.col("start_x").alias("x"), F.col("start_y").alias("y"))
+    return rounded(surfaces.density(events, ["player_id"]), 9)
+
+
+def player_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(team.player_positions(fixtures.spadl(spark, sf_dir)))
+
+
+def attack_end_densities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By how the episode ended; the small densities are left out."""
+    frames = _classified(spark, sf_dir)
+    rows = tracking.episodes(frames)
+    found = tracking.outcomes(tracking.episode_frames(frames), rows).join(rows.select(*tracking.MATCH, "episode_id", "possession_team"), [*tracking.MATCH, "episode_id"])
+    return rounded(surfaces.density(surfaces.attack_ends(found), ["end_reason"], 130, 200, share=0.05), 9)
+
+
 def episode_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = _classified(spark, sf_dir)
     tagged, rows = tracking.episode_frames(frames), tracking.episodes(frames)
@@ -470,6 +487,23 @@ _SQL["obso_trajectory"] = (f"SELECT {_E}, frame_id, round(obso, 6) AS obso_max,
 _SQL["decisive_frames"] = (f"""SELECT {_E}, round(peak, 6) AS peak_obso, frame_id AS decisive_frame, round(obso, 6) AS decisive_obso FROM (SELECT *, max(obso) OVER (PARTITION BY {_KEYS}) AS peak FROM tops) WHERE obso >= 0.5 * peak QUALIFY row_number() OVER (PARTITION BY {_KEYS} ORDER BY frame_id) = 1""", ("tops",))
 _SQL["td_credit"] = (f"""SELECT {_E}, team_id, player_id, round(credit, 6) + 0.0 AS credit, n_snapshots_carrier, n_snapshots_near_ball, CAST(row_number() OVER (PARTITION BY {_KEYS} ORDER BY credit DESC, player_id) AS INT) AS rank FROM (SELECT {_KEYS}, team AS team_id, player_id, sum(CASE WHEN n.place = 1 THEN 1.0 ELSE 0.3 END * gain) AS credit,
     count(*) FILTER (n.place = 1) AS n_snapshots_carrier, count(*) FILTER (n.place > 1) AS n_snapshots_near_ball FROM nearby n JOIN (SELECT {_KEYS}, frame_id, lead(obso) OVER (PARTITION BY {_KEYS} ORDER BY frame_id) - obso AS gain FROM tops) USING ({_KEYS}, frame_id) WHERE gain IS NOT NULL AND (n.place = 1 OR n.d <= 10) GROUP BY ALL)""", ("nearby", "tops"))
+
+
+def _density_sql(points: str, key: str, rows: int, cols: int, share: float) -> str:
+    """Kernel densities of a query's key, x, y, by the same definition as surfaces.density."""
+    return f"""SELECT {key}, CAST(r AS INT) AS r, CAST(c AS INT) AS c, n, round(d, 9) AS density FROM (SELECT *, max(d) OVER (PARTITION BY {key}) AS top FROM (SELECT {key}, r, c, n,
+        sum(exp(-0.5 * (vy * (gx - x) ** 2 - 2 * vxy * (gx - x) * (gy - y) + vx * (gy - y) ** 2) / (det * n ** (-1.0 / 3)))) / (2 * pi() * n * n ** (-1.0 / 3) * sqrt(det)) AS d
+        FROM ({points}) JOIN (SELECT *, vx * vy - vxy * vxy AS det FROM (SELECT {key}, count(*) AS n, var_samp(x) AS vx, var_samp(y) AS vy, covar_samp(x, y) AS vxy FROM ({points}) GROUP BY {key})) USING ({key}),
+        (SELECT r, c, c * 105.0::DOUBLE / {cols - 1} AS gx, r * 68.0::DOUBLE / {rows - 1} AS gy FROM (SELECT unnest(range({rows})) AS r), (SELECT unnest(range({cols})) AS c))
+        WHERE n >= 5 AND det > 1e-12 * vx * vy GROUP BY {key}, r, c, n, det)) WHERE d >= {share} * top"""
+
+
+_SQL["player_heatmaps"] = (_density_sql("SELECT player_id, start_x AS x, start_y AS y FROM spadl", "player_id", 69, 106, 0.0), ("spadl",))
+_SQL["player_positions"] = ("""SELECT player_id, CAST(sum(n) AS BIGINT) AS n, round(sum(sx) / sum(n), 6) AS x, round(sum(sy) / sum(n), 6) AS y, first(team_id ORDER BY n DESC, team_id) AS team_id
+    FROM (SELECT player_id, team_id, count(*) AS n, sum(start_x) AS sx, sum(start_y) AS sy FROM spadl GROUP BY 1, 2) GROUP BY 1""", ("spadl",))
+_SQL["attack_end_densities"] = (_density_sql(f"""SELECT end_reason, x, y FROM (SELECT CASE WHEN nd IS NULL THEN 'match_end' WHEN nd THEN 'out_of_play' ELSE 'possession_change' END AS end_reason,
+    CASE WHEN e.team = 'home' THEN l.bx ELSE 105 - l.bx END AS x, CASE WHEN e.team = 'home' THEN l.b_y ELSE 68 - l.b_y END AS y FROM eps e JOIN lasts l USING ({_KEYS})) WHERE x BETWEEN 0 AND 105 AND y BETWEEN 0 AND 68""",
+    "end_reason", 130, 200, 0.05), ("eps", "lasts"))
 # fmt: on
 
 
@@ -492,7 +526,7 @@ _QUERIES = (
     team_profiles, actions, xt_counts, xt_transitions, xt_grid, xt_values, vaep_labels, vaep_features, vaep_scores, running_score, pressing, profile_scores, team_summary, top_players, match_scores,
     action_map, short_names, geometry_points, action_violations, formation_pairs, role_trajectories, tracking_profiles, episode_values, network_nodes, network_edges, velocities, possession, phases, phase_segments, episodes, episode_outcomes, dominant_phases, snapshots, states, episode_embeddings, team_shape,
     obso_trajectory, decisive_frames, player_obso, nearest_vectors, episode_clusters, episode_summaries, phase_totals, episode_triggers, shot_strikes, ball_holders, smoothed_holders, mean_positions, td_credit, leave_one_out, episode_narratives,
-    extended_embeddings, defence_recommendations, density_clusters,
+    extended_embeddings, defence_recommendations, density_clusters, player_heatmaps, player_positions, attack_end_densities,
 )
 
 
