@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import bpe, decontam, jaccard_join, license_scan, lm_score, media, mixing, secret_scan, sharding, substring_dedup, toxicity
+from touchline.llm import bpe, decontam, jaccard_join, license_scan, lm_score, media, mixing, secret_scan, sharding, substring_dedup, toxicity, vector_codes, whitening
 from touchline.llm.common import doc_crc, small_batches, stage_folder, table
 
 
@@ -59,6 +59,14 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.passages_and_kept(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
@@ -78,7 +86,7 @@ def _bounded(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_toxicity, op2_sharding, op3_lm_score, op4_mixing, op5_jaccard_join, op6_license_scan, op7_secret_scan, op8_media, op9_decontamination, op10_substring_dedup, op13_byte_bpe, pipeline)
+    found = (op1_toxicity, op2_sharding, op3_lm_score, op4_mixing, op5_jaccard_join, op6_license_scan, op7_secret_scan, op8_media, op9_decontamination, op10_substring_dedup, op11_whitening, op12_vector_codes, op13_byte_bpe, pipeline)
     return {q.__name__: _bounded(q) for q in found}
 
 
