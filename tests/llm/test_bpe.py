@@ -38,13 +38,13 @@ def test_folds_merge_as_the_heap_and_as_plain_steps(spark):
     df = bpe._with_ranks(spark.createDataFrame([(w,) for w in words], "word binary"), None)
     got = {bytes(r.word): r.ids for r in df.select("word", F.get(bpe.fold_merges(F.col("ranks_"), F.array("word")), 0).alias("ids")).collect()}
     for w in words:
-        assert got[w] == plain(w, ranks) == bpe.heap_merges(w, ranks)
+        assert got[w] == plain(w, ranks) == bpe.heap_merges(w, ranks) == bpe.list_merges(w, ranks)
 
 
 @settings(max_examples=200, deadline=None)
 @given(st.binary(min_size=1, max_size=80) | st.text("ab cdeth", min_size=1, max_size=200).map(str.encode))
 def test_heap_merges_as_plain_steps(word):
-    assert bpe.heap_merges(word, bpe.load_ranks()) == plain(word, bpe.load_ranks())
+    assert bpe.heap_merges(word, bpe.load_ranks()) == plain(word, bpe.load_ranks()) == bpe.list_merges(word, bpe.load_ranks())
 
 
 def test_long_word_takes_no_quadratic_time():

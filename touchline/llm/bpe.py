@@ -8,9 +8,9 @@ The merges are a fold of Spark's higher-order functions over a word's array of i
 constant of the plan: the file's pairs (each way to cut a piece into two pieces) as a hash table in one array, since Spark
 searches a map literal from end to end. Words are counted over the whole corpus, map-side first; the WORDS most common
 unknown ones are folded once, collected and sent to all tasks, a broadcast of bounded size. So texts are never shuffled and
-nothing is joined back. The same merges with a heap (`heap_merges`) serve the rest where the texts lie: rare words, which
-would need a shuffle of their texts or some 0.2 ms a fold, and words of more than FOLD_BYTES bytes, whose fold would be
-quadratic. The results don't depend on WORDS.
+nothing is joined back. The same merges in Python serve the rest where the texts lie: rare words, which would need a
+shuffle of their texts or some 0.2 ms a fold (`list_merges`), and words of more than FOLD_BYTES bytes, whose fold would be
+quadratic (`heap_merges`). The results don't depend on WORDS.
 
 Decoding looks each id's piece up in a constant and concatenates the pieces.
 
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import struct
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -135,6 +136,21 @@ def fold_merges(table: Column, words: Column, path: str | None = None) -> Column
     return _let(table, lambda t: F.transform(words, lambda w: fold(t, w)))
 
 
+def list_merges(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The same ids for a short word."""
+    get, none = ranks.get, len(ranks) << 32
+    at = list(range(len(word) + 1))
+    pairs = [get(word[i : i + 2], none) for i in at[:-2]]
+    while pairs and (least := min(pairs)) < none:
+        i = pairs.index(least)
+        del pairs[i], at[i + 1]
+        if i < len(pairs):
+            pairs[i] = get(word[at[i] : at[i + 2]], none)
+        if i:
+            pairs[i - 1] = get(word[at[i - 1] : at[i + 1]], none)
+    return [ranks[word[a:b]] for a, b in zip(at, at[1:], strict=False)]
+
+
 def heap_merges(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The same ids for a long word, in n log n steps."""
     n = len(word)
@@ -168,8 +184,8 @@ def heap_merges(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 # -- texts -------------------------------------------------------------------------------------------------------------
 
 
-def _texts(batch: pa.RecordBatch) -> Iterator[str]:
-    return (t.as_py() or "" for t in batch.column("text"))
+def _texts(batch: pa.RecordBatch) -> list[str]:
+    return batch.column("text").fill_null("").to_pylist()
 
 
 def _with_ranks(df: DataFrame, path: str | None) -> DataFrame:
@@ -233,7 +249,9 @@ def _encoded(pattern: str, ranks: dict[bytes, int], known: dict[str, bytes]):
                     if ids[k] is None:
                         if len(rare) >= HELD:
                             rare.clear()
-                        ids[k] = rare[words[k]] = np.array(heap_merges(words[k].encode(), ranks), dtype="<i4").tobytes()
+                        raw = words[k].encode()
+                        merged = (list_merges if len(raw) <= FOLD_BYTES else heap_merges)(raw, ranks)
+                        ids[k] = rare[words[k]] = struct.pack(f"<{len(merged)}i", *merged)
                 rows.append(b"".join(ids))
             at = np.append(0, np.cumsum([len(r) // 4 for r in rows]))
             flat = pa.array(np.frombuffer(b"".join(rows), dtype="<i4"), pa.int32())
