@@ -47,6 +47,15 @@ def test_heap_merges_as_plain_steps(word):
     assert bpe.heap_merges(word, bpe.load_ranks()) == plain(word, bpe.load_ranks()) == bpe.list_merges(word, bpe.load_ranks())
 
 
+@settings(max_examples=500, deadline=None)
+@given(st.text("ab1'.s \n\t\r\x85\xa0\u2003\u3000\x1c\x1fé日", max_size=30) | st.text(max_size=30))
+def test_units_hold_the_words_of_the_pattern(text):
+    import regex
+
+    units, words = bpe._cutters(bpe.default_pattern())
+    assert [w for u in units(text) for w in words(u)] == regex.findall(bpe.default_pattern(), text)
+
+
 def test_long_word_takes_no_quadratic_time():
     ranks = bpe.load_ranks()
     word = bytes(np.random.default_rng(1).integers(97, 123, 400_000, dtype=np.uint8))
@@ -64,6 +73,13 @@ def test_texts_are_encoded_as_by_the_library(docs, rows, library, monkeypatch, w
     assert sorted(map(key, got)) == sorted((str(i), library.encode_ordinary(t or "")) for i, t in rows)
 
 
+def test_another_pattern(docs, rows):
+    other = tiktoken.Encoding("other", pat_str=r"\w+|\W", mergeable_ranks=bpe.load_ranks(), special_tokens={})
+    some = docs.filter("doc_id < 15 AND doc_id <> 8")
+    got = {r.doc_id: r.ids for r in bpe.encode(some, pattern=r"\w+|\W").collect()}
+    assert got == {i: other.encode_ordinary(t or "") for i, t in rows if i is not None and i < 15 and i != 8}
+
+
 def test_round_trip_digests(spark, docs, rows, library):
     extra = spark.createDataFrame([(900 + i, t) for i, t in enumerate(ODD)], "doc_id long, text string")
     got = bpe.round_trip(docs.select("doc_id", "text").union(extra)).collect()

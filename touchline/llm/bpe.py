@@ -37,6 +37,8 @@ from pyspark.sql import functions as F
 WORDS, FOLD_BYTES, HELD = 1 << 18, 48, 300_000
 #: Primes, near the number of slots of each half of the rank table for a file of 50,000 pieces; doubled (to the next odd number) where pairs don't fit.
 SLOTS = (131_071, 131_101)
+#: The characters that are white space to the pattern: Unicode's property White_Space, fixed values.
+WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
 
 @lru_cache(maxsize=4)
@@ -192,23 +194,44 @@ def _with_ranks(df: DataFrame, path: str | None) -> DataFrame:
     return df.withColumn("ranks_", constant(df.sparkSession, rank_table(path)[0], pa.int64()))
 
 
+def _cutters(pattern: str) -> tuple[Callable[[str], list[str]], Callable[[str], list[str]]]:
+    """Functions that cut a text into units and a unit into words.
+
+    No word of the public pattern goes on behind a white-space character that follows another character, and what is before a
+    unit doesn't change its words; so the units of that pattern are a run of other characters with a space before it, and
+    runs of white space as the pattern takes them. Units repeat, so that the costly pattern meets each once a task. Any
+    other pattern takes a whole text as one unit.
+    """
+    import re
+
+    import regex
+
+    words = regex.compile(pattern).findall
+    if pattern != default_pattern():
+        return (lambda text: [text] if text else []), words
+    return re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+").findall, words
+
+
 def _counted(pattern: str, ranks: dict[bytes, int]):
     """Unknown words that can be folded, with their counts."""
-    words = {w.decode() for w in ranks if _is_text(w)}
+    known = {w.decode() for w in ranks if _is_text(w)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
-
-        cut, seen = regex.compile(pattern), Counter()
+        (units, words), seen = _cutters(pattern), Counter()
 
         def report() -> pa.RecordBatch:
-            found = [(w.encode(), n) for w, n in seen.items() if w not in words and len(w.encode()) <= FOLD_BYTES]
+            counts: Counter[str] = Counter()
+            for unit, n in seen.items():
+                for word in words(unit):
+                    if word not in known:
+                        counts[word] += n
             seen.clear()
+            found = [(raw, n) for w, n in counts.items() if len(raw := w.encode()) <= FOLD_BYTES]
             return pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.binary()), pa.array([n for _, n in found], pa.int64())], ["word", "count"])
 
         for batch in batches:
             for text in _texts(batch):
-                seen.update(cut.findall(text))
+                seen.update(units(text))
                 if len(seen) >= HELD:
                     yield report()
         yield report()
@@ -236,22 +259,27 @@ def _encoded(pattern: str, ranks: dict[bytes, int], known: dict[str, bytes]):
     """Ids of each text. known: packed ids by word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
+        (units, words), met = _cutters(pattern), {}
+
+        def word_ids(word: str) -> bytes:
+            raw = word.encode()
+            merged = (list_merges if len(raw) <= FOLD_BYTES else heap_merges)(raw, ranks)
+            return struct.pack(f"<{len(merged)}i", *merged)
 
-        cut, get, rare = regex.compile(pattern), known.get, {}
         for batch in batches:
             rows = []
             for text in _texts(batch):
-                words = cut.findall(text)
-                ids = list(map(get, words))
-                for k in [k for k, found in enumerate(ids) if found is None]:
-                    ids[k] = rare.get(words[k])
-                    if ids[k] is None:
-                        if len(rare) >= HELD:
-                            rare.clear()
-                        raw = words[k].encode()
-                        merged = (list_merges if len(raw) <= FOLD_BYTES else heap_merges)(raw, ranks)
-                        ids[k] = rare[words[k]] = struct.pack(f"<{len(merged)}i", *merged)
+                parts = units(text)
+                ids = list(map(met.get, parts))
+                if None in ids:
+                    for k in [k for k, found in enumerate(ids) if found is None]:
+                        ids[k] = met.get(parts[k])
+                        if ids[k] is None:
+                            ids[k] = b"".join([known.get(w) or word_ids(w) for w in words(parts[k])])
+                            if len(parts[k]) <= FOLD_BYTES:  # few characters, so that what is held is bounded
+                                if len(met) >= HELD:
+                                    met.clear()
+                                met[parts[k]] = ids[k]
                 rows.append(b"".join(ids))
             at = np.append(0, np.cumsum([len(r) // 4 for r in rows]))
             flat = pa.array(np.frombuffer(b"".join(rows), dtype="<i4"), pa.int32())
