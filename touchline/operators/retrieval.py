@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import heapq
 import tempfile
 import uuid
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from touchline.operators import metric
+
 
 def scaler(rows: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
     """Mean and population deviation of each column; a constant column is divided by 1."""
@@ -23,60 +22,42 @@ def scaled(rows: DataFrame, columns: list[str], key: list[str], by: dict[str, tu
     return rows.select(*key, F.array(*[(F.col(c) - by[c][0]) / by[c][1] for c in columns]).alias("v"))
 
 
-def _shared_folder(spark: SparkSession) -> str:
-    """A new folder where spark.checkpoint.dir says; a local session without that setting (tests) gets one of its own."""
+def store(df: DataFrame) -> DataFrame:
+    """Writes a table where spark.checkpoint.dir says and reads it again; a local session without that setting (tests) gets a folder of its own."""
+    spark = df.sparkSession
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if where is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="checkpoint-")
-    return f"{where.rstrip('/')}/nearest-{uuid.uuid4()}"
-
-
-def _met(some: pa.Table, library: DataFrame, key: str, k: int, vector: str) -> DataFrame:
-    """(query, key, distance, rank): the k nearest of the library for each query of one block, which is sent to the tasks."""
-    kind = library.schema[key].dataType.simpleString()
-    shared = library.sparkSession.sparkContext.broadcast((some.column(0).to_pylist(), np.array(some.column(1).to_pylist(), dtype=float)))
-
-    def run(batches):
-        keys, vectors = shared.value
-        best: list[list] = [[] for _ in keys]
-        for batch in batches:
-            own = batch.column(0).to_pylist()
-            if not own:
-                continue
-            x = np.array(batch.column(1).to_pylist(), dtype=float)
-            for i, (me, v) in enumerate(zip(keys, vectors, strict=True)):
-                d = np.sqrt(((x - v) ** 2).sum(axis=1))
-                for j in np.lexsort((own, d))[: k + 1]:
-                    if own[j] != me:
-                        best[i].append((float(d[j]), own[j]))
-                best[i] = heapq.nsmallest(k, best[i])
-        rows = [(me, other, d) for me, found in zip(keys, best, strict=True) for d, other in found]
-        names = ["query", key, "distance"]
-        yield pa.RecordBatch.from_pydict(dict(zip(names, zip(*rows, strict=True), strict=True))) if rows else pa.RecordBatch.from_pydict({n: [] for n in names})
-
-    w = Window.partitionBy("query").orderBy("distance", key)
-    part = library.select(key, vector).mapInArrow(run, f"query {kind}, {key} {kind}, distance double")
-    return part.withColumn("rank", F.row_number().over(w) - 1).filter(F.col("rank") < k)
-
-
-def nearest(queries: DataFrame, library: DataFrame, key: str, k: int, vector: str = "v", block: int = 1024) -> DataFrame:
-    """(query, key, distance, rank from 0): the k nearest library rows of each query by Euclidean distance, itself left out; ties to the smaller key.
-
-    The queries are a stated set and are met in blocks of about block rows, by a hash of the key: the driver holds one block at a
-    time, each task of the library keeps its own k best for every query of it (a bounded heap), and so what is exchanged is k rows a
-    task and query, not a row a pair. With more than one block, each one's rows are written to the shared folder before the next.
+        spark.conf.set("spark.checkpoint.dir", where)
+    folder = f"{where.rstrip('/')}/table-{uuid.uuid4()}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+def nearest(queries: DataFrame, library: DataFrame, key: str | list[str], k: int, vector: str = "v", block: int = 1024, watch=None, **balls) -> DataFrame:
+    """(query, key, distance, rank from 0): the k nearest library rows of each query by Euclidean distance, itself (the row with its key)
+    left out; ties to the smaller key. With several keys, query and key are structs of them.
+
+    Equal vectors are merged, with their k + 1 smallest keys, and searched for once; two passes over balls about pivots answer all queries
+    (`metric.k_nearest`). watch: is told the share of distances that was computed. block: queries of a block; balls: options of metric.Balls.
     """
-    spark, q = queries.sparkSession, queries.select(key, vector)
-    blocks = -(-q.count() // block)
-    if blocks <= 1:
-        return _met(q.toArrow(), library, key, k, vector)
-    folder = _shared_folder(spark)
-    for b in range(blocks):
-        some = q.filter(F.pmod(F.xxhash64(key), F.lit(blocks)) == b).toArrow()
-        _met(some, library, key, k, vector).write.mode("append").parquet(folder)
-    return spark.read.parquet(folder)
+    keys = [key] if isinstance(key, str) else list(key)
+    own = store(metric.distinct_vectors(library, keys, vector, k + 1))
+    asked = store(metric.distinct_vectors(queries, keys, vector))
+    found, share = metric.k_nearest(asked, metric.Balls(own.select("id", "v"), store, asked=block, **balls), k + 1)
+    if watch:
+        watch(share)
+    # a row of the library that is among the k nearest is a copy of one of the k + 1 nearest vectors
+    known = own.select(F.col("id").alias("other"), F.explode("keys").alias("e")).select("other", F.explode(F.array_repeat("e.key", F.least("e.same", F.lit(k)).cast("int"))).alias("key"))
+    rows = queries.select(F.struct(*keys).alias("query"), F.col(vector).alias("v")).distinct().join(asked.select("id", "v"), "v").select("id", "query")
+    met = rows.join(found, "id").join(known, "other").filter("query <> key")
+    w = Window.partitionBy("query").orderBy("far", "key")
+    best = met.withColumn("rank", F.row_number().over(w) - 1).filter(F.col("rank") < k)
+    if len(keys) == 1:
+        return best.select(F.col("query")[keys[0]].alias("query"), F.col("key")[keys[0]].alias(keys[0]), F.col("far").alias("distance"), "rank")
+    return best.select("query", "key", F.col("far").alias("distance"), "rank")
 
 
 def predict(neighbours: DataFrame, outcomes: DataFrame, key: str) -> DataFrame:
