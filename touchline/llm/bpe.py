@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Unknown words that are folded once for all texts, the longest word that is folded, and distinct words that a task holds.
-WORDS, FOLD_BYTES, HELD = 1 << 18, 48, 300_000
+WORDS, FOLD_BYTES, HELD = 1 << 18, 48, 500_000
 #: Primes, near the number of slots of each half of the rank table for a file of 50,000 pieces; doubled (to the next odd number) where pairs don't fit.
 SLOTS = (131_071, 131_101)
 #: The characters that are white space to the pattern: Unicode's property White_Space, fixed values.
@@ -283,13 +283,13 @@ def _encoded(pattern: str, ranks: dict[bytes, int], known: dict[str, bytes]):
                 rows.append(b"".join(ids))
             at = np.append(0, np.cumsum([len(r) // 4 for r in rows]))
             flat = pa.array(np.frombuffer(b"".join(rows), dtype="<i4"), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(at, pa.int32()), flat)], ["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(at, pa.int32()), flat), pa.array(rows, pa.binary())], ["doc_id", "ids", "packed"])
 
     return run
 
 
 def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """One row (doc_id, ids array<int>) for each row of docs."""
+    """One row (doc_id, ids array<int>, packed) for each row of docs; packed: the ids as little-endian unsigned 32-bit integers."""
     pattern, ranks = pattern or default_pattern(), load_ranks(path)
     known = {w.decode(): r.to_bytes(4, "little") for w, r in ranks.items() if _is_text(w)}
     for batch in common_words(docs, pattern, path).to_batches():
@@ -300,30 +300,20 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _encoded(pattern, *sent.value)(batches)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
-
-
-def _joined(ids: Column, forms: Column) -> Column:
-    """The bytes whose hexadecimal forms by id are given, one after the other."""
-    return _let(forms, lambda f: F.unhex(F.array_join(F.transform(ids, lambda i: F.get(f, i)), "")))
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>, packed binary")
 
 
 def decode(df: DataFrame, ids: str, to: str, path: str | None = None) -> DataFrame:
-    """With column to: the bytes of the array of ids, which are its pieces, concatenated."""
+    """With column to: the bytes of the array of ids, which are its pieces, concatenated (in hexadecimal, as only strings are joined in one step)."""
     ranks = load_ranks(path)
     forms = [""] * (max(ranks.values()) + 1)
     for piece, rank in ranks.items():
         forms[rank] = piece.hex()
-    return df.withColumn("forms_", constant(df.sparkSession, forms, pa.string())).withColumn(to, _joined(F.col(ids), F.col("forms_"))).drop("forms_")
-
-
-def with_id_bytes(df: DataFrame, ids: str, to: str, path: str | None = None) -> DataFrame:
-    """With column to: the ids as little-endian unsigned 32-bit integers, concatenated."""
-    forms = [rank.to_bytes(4, "little").hex() for rank in range(max(load_ranks(path).values()) + 1)]
-    return df.withColumn("forms_", constant(df.sparkSession, forms, pa.string())).withColumn(to, _joined(F.col(ids), F.col("forms_"))).drop("forms_")
+    joined = _let(F.col("forms_"), lambda f: F.unhex(F.array_join(F.transform(ids, lambda i: F.get(f, i)), "")))
+    return df.withColumn("forms_", constant(df.sparkSession, forms, pa.string())).withColumn(to, joined).drop("forms_")
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Per row: number of ids and digests of the ids and of the decoded bytes."""
-    both = with_id_bytes(decode(encode(docs, path), "ids", "decoded", path), "ids", "packed", path)
+    both = decode(encode(docs, path), "ids", "decoded", path)
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2("packed", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
