@@ -108,6 +108,47 @@ def test_density_equals_a_direct_sum(spark):
     assert surfaces.density(points.limit(0), ["player_id"], 9, 11).count() == 0
 
 
+def test_density_of_many_places_in_many_parts(spark, monkeypatch):
+    """Places off the grid, correlated axes, tasks that report often: as near a direct sum as doubles are."""
+    import numpy as np
+
+    monkeypatch.setattr(surfaces, "HELD", 20)
+    monkeypatch.setattr(surfaces, "RUN", 64)
+    rng = np.random.default_rng(8)
+    own = np.concatenate([rng.normal([30, 20], [3, 9], size=(700, 2)) @ np.array([[1.0, 0.4], [-0.2, 1.0]]), rng.uniform(0, 60, (100, 2))])
+    got = surfaces.density(spark.createDataFrame([("p", float(x), float(y)) for x, y in own], "player_id string, x double, y double").repartition(7), ["player_id"], 23, 31).collect()
+    cov = np.cov(own.T) * len(own) ** (-1 / 3)
+    at = np.array([[r.c * 3.5, r.r * 68 / 22] for r in got])
+    d = at[:, None] - own[None]
+    want = np.exp(-0.5 * np.einsum("aij,jk,aik->ai", d, np.linalg.inv(cov), d)).sum(axis=1) / (len(own) * 2 * np.pi * np.sqrt(np.linalg.det(cov)))
+    assert len(got) == 23 * 31 and np.abs(want - [r.density for r in got]).max() < 1e-14 * want.max() * len(own)
+
+
+def test_peaks_of_a_batch_equal_the_surface_of_each_frame(spark, monkeypatch):
+    """The padded tensor against the column expressions; teams of any size, no ball, and both directions of play."""
+    import numpy as np
+
+    monkeypatch.setattr(surfaces, "TENSOR", 500)  # two frames at a time
+    rng = np.random.default_rng(2)
+    schema = "match_id string, period int, frame_id long, ball struct<x double, y double>, players array<struct<team_id string, player_id string, x double, y double, vx double, vy double>>, team string, right boolean"
+    man = lambda team, k: (team, f"{team}{k}", *map(float, rng.uniform(0, 68, 2)), *map(float, rng.normal(0, 3, 2)))
+    rows = [("m", 1, i, None if i % 5 == 4 else tuple(map(float, rng.uniform(0, 68, 2))), [man("h", k) for k in range(i % 4)] + [man("a", k) for k in range((i * 7) % 5)], "ha"[i % 2], i % 3 > 0) for i in range(24)]
+    frames = spark.createDataFrame(rows, schema)
+    want = {}
+    for r in surfaces.surfaces(frames, 12, 20).select("frame_id", "r", "c", "obso").collect():
+        want[r.frame_id] = max(want.get(r.frame_id, (-1.0, 0, 0)), (round(r.obso, 12), -r.r, -r.c))
+    for r in surfaces.with_peak(frames, 12, 20).collect():
+        obso, row, col = want[r.frame_id]
+        if any(p.team_id == r.team for p in r.players):  # else all values are next to nothing
+            assert r.obso_max == pytest.approx(obso, abs=1e-11) and (r.obso_argmax_x, r.obso_argmax_y) == pytest.approx(((0.5 - col) * 105 / 20, (0.5 - row) * 68 / 12))
+    turned = frames.withColumns({"ball": F.struct((105.0 - F.col("ball.x")).alias("x"), F.col("ball.y").alias("y")), "players": F.transform("players", lambda p: F.struct(p["team_id"].alias("team_id"), p["player_id"].alias("player_id"), (105.0 - p["x"]).alias("x"), p["y"].alias("y"), (-p["vx"]).alias("vx"), p["vy"].alias("vy")))})
+    plain, other = ({r.frame_id: r for r in surfaces.with_peak(x, 12, 20).collect()} for x in (frames, turned))
+    for r in surfaces.with_peak(frames, 12, 20, to_right=F.col("right")).collect():
+        same = plain[r.frame_id] if r.right else other[r.frame_id]
+        assert r.obso_max == pytest.approx(same.obso_max) and r.obso_argmax_x == pytest.approx(same.obso_argmax_x if r.right else 105 - same.obso_argmax_x)
+    assert surfaces.with_peak(frames, 12, 20, where=F.lit(False)).filter("obso_max IS NOT NULL").count() == 0
+
+
 def test_attack_ends_point_one_way(spark):
     rows = spark.createDataFrame([(1, "home", 100.0, 30.0), (2, "away", 5.0, 38.0), (3, "home", 106.0, 30.0), (4, "away", None, None)], "e int, possession_team string, end_ball_x double, end_ball_y double")
     assert [(r.e, r.x, r.y) for r in surfaces.attack_ends(rows).orderBy("e").collect()] == [(1, 100.0, 30.0), (2, 100.0, 30.0)]

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.functions import geometry as G
+from touchline.operators import corpus_clusters as corpus
 from touchline.operators import credit, retrieval, roles, similarity, surfaces, team, tracking, values
 from touchline.plans import fixtures
 from touchline.sources import contracts
@@ -327,6 +328,14 @@ def density_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.density_clusters(similarity.fused(pairs, ["match_id"]), ["match_id"], key)
 
 
+def corpus_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Episodes of all matches together, by their scaled embeddings."""
+    key = list(credit.EPISODE)
+    frames = _in_episode(spark, sf_dir)
+    rows = tracking.embeddings(tracking.states(tracking.snapshots(frames)), tracking.dominant_phases(frames))
+    return corpus.cluster_corpus(retrieval.scaled(rows, [c for c in rows.columns if c not in key], key), key, samples=2)
+
+
 # -- vectors -----------------------------------------------------------------------------------------------------------
 
 
@@ -526,7 +535,7 @@ _QUERIES = (
     team_profiles, actions, xt_counts, xt_transitions, xt_grid, xt_values, vaep_labels, vaep_features, vaep_scores, running_score, pressing, profile_scores, team_summary, top_players, match_scores,
     action_map, short_names, geometry_points, action_violations, formation_pairs, role_trajectories, tracking_profiles, episode_values, network_nodes, network_edges, velocities, possession, phases, phase_segments, episodes, episode_outcomes, dominant_phases, snapshots, states, episode_embeddings, team_shape,
     obso_trajectory, decisive_frames, player_obso, nearest_vectors, episode_clusters, episode_summaries, phase_totals, episode_triggers, shot_strikes, ball_holders, smoothed_holders, mean_positions, td_credit, leave_one_out, episode_narratives,
-    extended_embeddings, defence_recommendations, density_clusters, player_heatmaps, player_positions, attack_end_densities,
+    extended_embeddings, defence_recommendations, density_clusters, corpus_clusters, player_heatmaps, player_positions, attack_end_densities,
 )
 
 
