@@ -42,9 +42,9 @@ def test_leave_one_out_and_text(spark):
     found = spark.createDataFrame([("m", 1, 0, "out_of_play", 2.0, True, True, False)], "match_id string, period int, episode_id int, end_reason string, duration_s double, reached_final_third boolean, ended_in_box boolean, shot_like boolean")
     triggers = spark.createDataFrame([("m", 1, 0, 0, 0.0)], "match_id string, period int, episode_id int, trigger_frame long, trigger_time_s double")
     told = credit.narratives(rows, found, triggers, credit.leave_one_out(frames, peaks, 20, 30)).first()
-    assert told.top_contributors == ["h0", "h1"] and told.text.startswith("home attacked from t=0.0s. The threat first emerged at t=0.0s") and told.text.endswith("The episode lasted 2.00s, ending with the ball inside the box.")
+    assert told.top_contributors == ["h0", "h1"] and told.text.startswith("home on the ball for 2.00 s (0.0 to 2.0 s); into the last third at 0.0 s; closed in the box. Best chance ")
     plain = credit.narratives(rows, found, triggers, credit.leave_one_out(frames, peaks.limit(0), 20, 30)).first()
-    assert plain.text == "home held possession from t=0.0s to t=2.0s (2.00s). The episode ended in out_of_play; reached the final third." and plain.top_contributors == []
+    assert plain.text == "home on the ball for 2.00 s (0.0 to 2.0 s); into the last third at 0.0 s; closed in the box." and plain.top_contributors == []
 
 
 def test_holders_and_trails(spark):

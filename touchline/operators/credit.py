@@ -124,15 +124,20 @@ def leave_one_out(in_episode: DataFrame, peaks: DataFrame, rows: int = 40, cols:
     """
     means = mean_positions(in_episode).groupBy(*EPISODE).agg(F.map_from_entries(F.collect_list(F.struct("player_id", F.struct("x", "y")))).alias("means"))
     at = in_episode.join(peaks.filter("peak_frame is not null"), EPISODE).filter("frame_id = peak_frame").join(means, EPISODE)
+    return stand_still(at.select(*EPISODE, "peak_frame", "team", "ball", "players", "means"), rows, cols)
+
+
+def stand_still(at: DataFrame, rows: int = 40, cols: int = 60) -> DataFrame:
+    """leave_one_out of frames as rows: episode, peak_frame, team, ball, players, and means (a map of each attacker's mean x and y)."""
     here = F.array_append(F.transform(attackers(), lambda p: p["player_id"]), F.lit(None))
-    each = at.select(*EPISODE, "peak_frame", "team", "ball", "players", "means", F.explode(here).alias("player_id"))
+    each = at.withColumn("player_id", F.explode(here))
     home = F.element_at("means", F.col("player_id"))
     still = lambda p: (F.abs(p["x"] - home["x"]) < LEAST_MOVE_M) & (F.abs(p["y"] - home["y"]) < LEAST_MOVE_M)
     stand = lambda p, c, v: F.when(F.coalesce(p["player_id"] == F.col("player_id"), F.lit(False)) & ~still(p), v).otherwise(p[c]).alias(c)
     zero = F.lit(0.0)
     moved = F.transform("players", lambda p: F.struct(p["team_id"].alias("team_id"), p["player_id"].alias("player_id"), stand(p, "x", home["x"]), stand(p, "y", home["y"]), stand(p, "vx", zero), stand(p, "vy", zero)))
     valued = surfaces.with_peak(each.withColumn("players", moved).drop("means"), rows, cols)
-    peak = F.max(F.when(F.col("player_id").isNull(), F.col("obso_max"))).over(Window.partitionBy(*EPISODE))
+    peak = F.max(F.when(F.col("player_id").isNull(), F.col("obso_max"))).over(Window.partitionBy(*EPISODE, "peak_frame"))
     out = valued.withColumn("peak_obso", peak).filter("player_id is not null")
     return out.select(*EPISODE, "peak_frame", F.col("team").alias("team_id"), "player_id", "peak_obso", F.col("obso_max").alias("baseline_obso"), (F.col("peak_obso") - F.col("obso_max")).alias("contribution"))
 
@@ -141,18 +146,13 @@ def narratives(episode_rows: DataFrame, outcome_rows: DataFrame, triggers: DataF
     """Per episode: trigger_frame, top_contributors (ids, by size of contribution, ties to the smaller id) and text."""
     order = Window.partitionBy(*EPISODE).orderBy(F.desc(F.abs("contribution")), "player_id")
     first = attributed.withColumn("place_", F.row_number().over(order)).filter(F.col("place_") <= top)
-    told = F.struct("place_", "player_id", F.format_string("%s (Δ OBSO %+.3f)", "player_id", "contribution").alias("said"))
+    told = F.struct("place_", "player_id", F.format_string("%s %+.3f", "player_id", "contribution").alias("said"))
     best = first.groupBy(*EPISODE, "peak_frame", "peak_obso").agg(F.array_sort(F.collect_list(told)).alias("best"))
     met = episode_rows.join(outcome_rows.drop("end_reason", "duration_s"), EPISODE).join(triggers, EPISODE, "left").join(best, EPISODE, "left")
-    plain = F.format_string(
-        "%s held possession from t=%.1fs to t=%.1fs (%.2fs). The episode ended in %s; %s.",
-        "possession_team", "start_time_s", "end_time_s", "duration_s", "end_reason", F.when(F.col("reached_final_third"), "reached the final third").otherwise("did not reach the final third"),
-    )
-    threat = F.coalesce(F.when(F.col("trigger_time_s").isNotNull(), F.format_string("The threat first emerged at t=%.1fs when the ball entered the final third.", "trigger_time_s")), F.lit("The episode never reached the final third."))
-    end = F.when(F.col("shot_like"), "ending in a shot-like attempt inside the box.").when(F.col("ended_in_box"), "ending with the ball inside the box.").otherwise(F.format_string("ending in %s.", "end_reason"))
-    full = F.format_string(
-        "%s attacked from t=%.1fs. %s At peak (frame %d, max OBSO %.3f) the players whose movement contributed most were: %s. The episode lasted %.2fs, %s",
-        "possession_team", "start_time_s", threat, "peak_frame", "peak_obso", F.array_join(F.transform("best", lambda b: b["said"]), ", "), "duration_s", end,
-    )
+    span = F.format_string("%s on the ball for %.2f s (%.1f to %.1f s)", "possession_team", "duration_s", "start_time_s", "end_time_s")
+    reached = F.coalesce(F.format_string("into the last third at %.1f s", "trigger_time_s"), F.when(F.col("reached_final_third"), "into the last third").otherwise("kept out of the last third"))
+    closed = F.when(F.col("shot_like"), "closed by a shot from the box").when(F.col("ended_in_box"), "closed in the box").otherwise(F.format_string("closed by %s", "end_reason"))
+    most = F.format_string("Best chance %.3f at frame %d, made by %s.", "peak_obso", "peak_frame", F.array_join(F.transform("best", lambda b: b["said"]), ", "))
+    text = F.concat_ws(" ", F.concat_ws("", F.concat_ws("; ", span, reached, closed), F.lit(".")), most)
     names = F.coalesce(F.transform("best", lambda b: b["player_id"]), F.array().cast("array<string>"))
-    return met.select(*EPISODE, "trigger_frame", names.alias("top_contributors"), F.when(F.col("best").isNull(), plain).otherwise(full).alias("text"))
+    return met.select(*EPISODE, "trigger_frame", names.alias("top_contributors"), text.alias("text"))

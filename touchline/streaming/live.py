@@ -34,8 +34,8 @@ EVENTS = (
 STATE = {"frame": None, "held": None, "candidate": None, "streak": 0, "flip": None, "unseen": 0, "episode": None, "next": 0}
 
 
-def prepared(frame_rows: DataFrame, teams: tuple[str, str] = ("home", "away"), rows: int = 40, cols: int = 60, every: int = THREAT_EVERY) -> DataFrame:
-    """Per frame: nearest team, ball, and per team n, mean, least and greatest x, length, width, deviation of x and (each every-th frame) threat."""
+def prepared(frame_rows: DataFrame, teams: tuple[str, str] = ("home", "away"), rows: int = 40, cols: int = 60, every: int = THREAT_EVERY, also: tuple[str, ...] = ()) -> DataFrame:
+    """Per frame: nearest team, ball, and per team n, mean, least and greatest x, length, width, deviation of x and (each every-th frame) threat. also: columns to keep."""
     out = tracking.possession(frame_rows)
     for k, team in enumerate(teams):
         own = F.filter("players", lambda p: p["team_id"] == team)  # noqa: B023
@@ -47,7 +47,7 @@ def prepared(frame_rows: DataFrame, teams: tuple[str, str] = ("home", "away"), r
         shape = F.array(F.size(x).cast("double"), F.when(F.size(x) > 0, mean), F.array_min(x), F.array_max(x), spread(x), spread(y), deviation)
         peak = surfaces.with_peak(out.withColumn("team", F.lit(team)), rows, cols, F.col("frame_id") % every == 0)
         out = peak.withColumn(f"shape_{k}", shape).withColumnRenamed("obso_max", f"threat_{k}").drop("team", "obso_argmax_x", "obso_argmax_y")
-    return out.select(*tracking.FRAME, "time_seconds", "raw_team", F.col("ball.x").alias("bx"), F.col("ball.y").alias("by"), F.hypot("ball.vx", "ball.vy").alias("bv"), "shape_0", "shape_1", "threat_0", "threat_1")
+    return out.select(*tracking.FRAME, "time_seconds", "raw_team", F.col("ball.x").alias("bx"), F.col("ball.y").alias("by"), F.hypot("ball.vx", "ball.vy").alias("bv"), "shape_0", "shape_1", "threat_0", "threat_1", *also)
 
 
 def features(samples: list[list], phase: str | None) -> list[float]:
@@ -149,23 +149,28 @@ def engine(frame_rows: DataFrame, teams: tuple[str, str] = ("home", "away"), pre
     return rows.groupBy("match_id", "period").applyInPandasWithState(play, EVENTS, "state string", "append", GroupStateTimeout.NoTimeout)
 
 
-def predictions(events: DataFrame, library: DataFrame, columns: list[str], k: int = NEIGHBOURS, low: float = LOW_TRUST_M) -> DataFrame:
-    """Per due frame: mean flags and ids of the k nearest known episodes, the largest distance, and how far to trust it (high, medium, low).
-
-    library: key, the 24 numbers named in columns (tracking.embeddings) and the outcome's flags. It is measured, and sent to
-    tasks only up to MOST_LIBRARY_BYTES; beyond that use retrieval.nearest on the due rows of a batch.
-    """
+def known_library(library: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, scaled vectors, mean, scale and flags of a library of episodes, in order of key, up to MOST_LIBRARY_BYTES."""
     n = library.count()
     if n * (8 * len(columns) + 64) > MOST_LIBRARY_BYTES:
         raise ValueError("the library passes MOST_LIBRARY_BYTES: meet it with retrieval.nearest")
     known = library.orderBy("key").toPandas()
     v = known[columns].to_numpy(dtype=float)
     mean, scale = (v.mean(axis=0), np.where(v.std(axis=0) > 0, v.std(axis=0), 1.0)) if n > 1 else (np.zeros(len(columns)), np.ones(len(columns)))
-    held = events.sparkSession.sparkContext.broadcast(((v - mean) / scale, mean, scale, known["key"].to_numpy(), known[list(FLAGS)].to_numpy(dtype=float)))
+    return known["key"].to_numpy(), (v - mean) / scale, mean, scale, known[list(FLAGS)].to_numpy(dtype=float)
+
+
+def predictions(events: DataFrame, library: DataFrame, columns: list[str], k: int = NEIGHBOURS, low: float = LOW_TRUST_M) -> DataFrame:
+    """Per due frame: mean flags and ids of the k nearest known episodes, the largest distance, and how far to trust it (high, medium, low).
+
+    library: key, the 24 numbers named in columns (tracking.embeddings) and the outcome's flags. It is measured, and sent to
+    tasks only up to MOST_LIBRARY_BYTES; beyond that use retrieval.nearest on the due rows of a batch.
+    """
+    held = events.sparkSession.sparkContext.broadcast(known_library(library, columns))
 
     @F.pandas_udf(f"neighbours array<{dict(library.dtypes)['key']}>, p_reached_final_third double, p_ended_in_box double, p_shot_like double, max_distance double")
     def look_up(vectors: pd.Series) -> pd.DataFrame:
-        vectors_, mean_, scale_, keys, flags = held.value
+        keys, vectors_, mean_, scale_, flags = held.value
         out = []
         for x in vectors:
             far = np.sqrt((((np.asarray(x, dtype=float) - mean_) / scale_ - vectors_) ** 2).sum(axis=1))
