@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -90,6 +91,55 @@ def test_flow_of_overlapping_sources():
     assert small == [{0: 9}]
 
 
+def best_flow(sent, capacity, members, quota, epochs):
+    """Whether no residual path brings more words to an open source, or moves a word from a dearer epoch to a cheaper one."""
+    used, filled = [sum(x.values()) for x in sent], [0] * len(quota)
+    for x in sent:
+        for s, f in x.items():
+            filled[s] += f
+    assert all(u <= epochs * c for u, c in zip(used, capacity, strict=True)) and all(f <= q for f, q in zip(filled, quota, strict=True)) and all(set(x) <= set(m) for x, m in zip(sent, members, strict=True))
+    givers = [[] for _ in quota]
+    for p, x in enumerate(sent):
+        for s, f in x.items():
+            if f:
+                givers[s].append(p)
+    for epoch in range(epochs):  # patterns whose next word costs this at most
+        todo = [p for p, c in enumerate(capacity) if c and used[p] < (epoch + 1) * c]
+        seen_p, seen_s = set(todo), set()
+        while todo:
+            for s in members[todo.pop()]:
+                if s not in seen_s:
+                    seen_s.add(s)
+                    new = [p for p in givers[s] if p not in seen_p]
+                    seen_p.update(new)
+                    todo += new
+        if any(filled[s] < quota[s] for s in seen_s) or any(used[p] > (epoch + 1) * capacity[p] for p in seen_p):
+            return False
+    return True
+
+
+def test_flow_is_the_cheapest_and_ends_for_many_patterns():
+    rng = np.random.default_rng(6)
+    for n, sources in [(1, 1), (3, 2), (9, 4), (40, 6), (200, 12)] * 6:
+        members = [sorted(rng.choice(sources, rng.integers(0, min(4, sources) + 1), replace=False).tolist()) for _ in range(n)]
+        capacity, quota = rng.integers(0, 30, n).tolist(), rng.integers(0, 40 * n // sources + 2, sources).tolist()
+        assert best_flow(mixing.route(capacity, members, quota), capacity, members, quota, 3)
+    assert not best_flow([{0: 2}, {}], [1, 1], [[0], [0]], [2], 3)  # a second epoch where a first one is left
+    n, sources = 20_000, 60
+    members = [sorted(rng.choice(sources, 1 + i % 4, replace=False).tolist()) for i in range(n)]
+    capacity, quota = rng.integers(1, 1000, n).tolist(), rng.integers(1, 2 * 500 * n // sources, sources).tolist()
+    began = time.time()
+    sent = mixing.route(capacity, members, quota)
+    assert time.time() - began < 60 and best_flow(sent, capacity, members, quota, 3)
+
+
+def test_mix_of_many_patterns_is_joined(spark, monkeypatch):
+    df = spark.createDataFrame([(i, "w " * (1 + i % 9), [["a"], ["a", "b"], ["b"]][i % 3]) for i in range(90)], "doc_id long, text string, of array<string>")
+    want = sorted(mixing.mix(df, F.col("of")).collect())
+    monkeypatch.setattr(mixing, "SENT_PATTERNS", 1)
+    assert sorted(mixing.mix(df, F.col("of")).collect()) == want
+
+
 def test_mix_of_overlapping_sources(spark):
     """Rows of one or several sources: words go to quotas as the flow says, and no row beyond three times its size."""
     some = [["a"], ["a", "b"], ["b"], [None, "a"], ["c"]]

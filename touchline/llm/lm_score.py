@@ -293,7 +293,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                         known += n * at[2]
                     else:
                         put(i, mark, out, word, n, None, None, None, None)
-                put(i, mark, out, b" %d" % (i or 0), 0, base, like, known, len(words) + 1)
+                put(i, mark, out, b" %d" % mark, 0, base, like, known, len(words) + 1)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, (pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int32(), pa.float64(), pa.float64(), pa.int64(), pa.int64()), strict=True)], names=["id", "mark", "held_out", "word", "k", "base", "like", "known", "tokens"])
 
     parts = flat.mapInArrow(split, "id long, mark long, held_out boolean, word binary, k int, base double, like double, known long, tokens long")

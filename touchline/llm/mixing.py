@@ -15,7 +15,6 @@ taken 0 times; repeated rows count one by one; an empty table gives no rows.
 
 from __future__ import annotations
 
-import heapq
 from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -23,8 +22,8 @@ from pyspark.sql import functions as F
 
 from touchline.llm.common import store
 
-#: Patterns that the driver's flow problem may have; beyond it the operator says so instead of filling the driver.
-MAX_PATTERNS = 100_000
+#: Patterns whose plan is broadcast; more are joined.
+SENT_PATTERNS = 100_000
 #: Documents that a hash bin holds on average.
 BIN_ROWS = 2000
 _TOP = 1 << 62
@@ -52,55 +51,87 @@ def targets(sizes: list[int], weights: list[float], max_epochs: int = 3) -> list
 def route(capacity: list[int], members: list[list[int]], quota: list[int], max_epochs: int = 3) -> list[dict[int, int]]:
     """Min-cost max-flow: words each pattern sends to each of its sources. The k-th epoch of a word costs k.
 
-    Successive shortest paths with potentials; each path fills an epoch, a quota or a reverse arc.
+    Costs stand only where a pattern takes words up, so a cheapest augmenting path costs what its first pattern's next epoch
+    does, and paths never get cheaper again. So epoch by epoch the flow is made as large as it can be, by shortest levels and blocking
+    flows (a few passes over the members each), and none of it is taken back from a pattern.
     """
     n_p, n_s = len(capacity), len(quota)
-    source, sink = n_p + n_s, n_p + n_s + 1
-    to, left, cost = [], [], []
-    out: list[list[int]] = [[] for _ in range(n_p + n_s + 2)]
-
-    def arc(a: int, b: int, c: int, w: int) -> int:
-        for x, y, cap, price in ((a, b, c, w), (b, a, 0, -w)):
-            out[x].append(len(to))
-            to.append(y)
-            left.append(cap)
-            cost.append(price)
-        return len(to) - 2
-
-    for p, c in enumerate(capacity):
-        for k in range(max_epochs):
-            arc(source, p, c, k)
-    sent = [{s: arc(p, n_p + s, sum(quota), 0) for s in members[p]} for p in range(n_p)]
-    for s, q in enumerate(quota):
-        arc(n_p + s, sink, q, 0)
-    price = [0] * (n_p + n_s + 2)
-    while True:
-        far = [None] * len(price)
-        via = [-1] * len(price)
-        far[source], heap = 0, [(0, source)]
-        while heap:
-            d, a = heapq.heappop(heap)
-            if d > far[a]:
+    sent: list[dict[int, int]] = [dict.fromkeys(m, 0) for m in members]
+    takers: list[list[int]] = [[] for _ in range(n_s)]
+    for p, m in enumerate(members):
+        for s in m:
+            takers[s].append(p)
+    open_ = list(quota)
+    for _ in range(max_epochs):
+        room = list(capacity)
+        while True:
+            # levels: patterns with room, their sources, patterns that could move words away from these, ...
+            level_p, level_s = [-1] * n_p, [-1] * n_s
+            here, depth, ends = [p for p in range(n_p) if room[p] and members[p]], 0, False
+            for p in here:
+                level_p[p] = 0
+            while here and not ends:
+                met = []
+                for p in here:
+                    for s in members[p]:
+                        if level_s[s] < 0:
+                            level_s[s] = depth + 1
+                            met.append(s)
+                            ends = ends or open_[s] > 0
+                depth += 2
+                here = []
+                if not ends:
+                    for s in met:
+                        for p in takers[s]:
+                            if level_p[p] < 0 and sent[p][s]:
+                                level_p[p] = depth
+                                here.append(p)
+            if not ends:
+                break
+            next_p, next_s = [0] * n_p, [0] * n_s
+            for start in range(n_p):
+                while level_p[start] == 0 and room[start]:
+                    path, amount = _path(start, members, takers, sent, open_, level_p, level_s, next_p, next_s)
+                    if path is None:
+                        break
+                    amount = min(amount, room[start], open_[path[-1]])
+                    room[start] -= amount
+                    open_[path[-1]] -= amount
+                    for i in range(0, len(path), 2):
+                        sent[path[i]][path[i + 1]] += amount
+                        if i:
+                            sent[path[i]][path[i - 1]] -= amount
+    return [{s: f for s, f in arcs.items() if f} for arcs in sent]
+
+
+def _path(start: int, members, takers, sent, open_, level_p, level_s, next_p, next_s) -> tuple[list[int] | None, int]:
+    """A path of patterns and sources in turn, level by level, to a source that is open; and the least words that it moves away."""
+    path, least = [start], []
+    while path:
+        if len(path) % 2:
+            p = path[-1]
+            while next_p[p] < len(members[p]) and level_s[members[p][next_p[p]]] != level_p[p] + 1:
+                next_p[p] += 1
+            if next_p[p] < len(members[p]):
+                path.append(members[p][next_p[p]])
+                continue
+            path.pop()
+            if path:
+                least.pop()
+                next_s[path[-1]] += 1
+        else:
+            s = path[-1]
+            if open_[s]:
+                return path, min(least, default=open_[s])
+            while next_s[s] < len(takers[s]) and not (level_p[takers[s][next_s[s]]] == level_s[s] + 1 and sent[takers[s][next_s[s]]][s]):
+                next_s[s] += 1
+            if next_s[s] < len(takers[s]):
+                least.append(sent[takers[s][next_s[s]]][s])
+                path.append(takers[s][next_s[s]])
                 continue
-            for e in out[a]:
-                if left[e] > 0 and (far[to[e]] is None or d + cost[e] + price[a] - price[to[e]] < far[to[e]]):
-                    far[to[e]] = d + cost[e] + price[a] - price[to[e]]
-                    via[to[e]] = e
-                    heapq.heappush(heap, (far[to[e]], to[e]))
-        if far[sink] is None:
-            break
-        most = max(d for d in far if d is not None)
-        price = [x + (most if d is None else d) for x, d in zip(price, far, strict=True)]
-        amount, b = None, sink
-        while b != source:
-            amount = left[via[b]] if amount is None else min(amount, left[via[b]])
-            b = to[via[b] ^ 1]
-        b = sink
-        while b != source:
-            left[via[b]] -= amount
-            left[via[b] ^ 1] += amount
-            b = to[via[b] ^ 1]
-    return [{s: left[e ^ 1] for s, e in arcs.items() if left[e ^ 1]} for arcs in sent]
+            path.pop()
+            next_p[path[-1]] += 1
+    return None, 0
 
 
 def _plan(spark: SparkSession, groups: list, weights: tuple[float, ...], max_epochs: int) -> DataFrame:
@@ -135,10 +166,10 @@ def mix(docs: DataFrame, members: Column, id_col: str = "doc_id", text_col: str
     # texts are read once for this table; once more only if columns are carried
     sized = store(every.select("doc_id", "members", "size", "h", "pattern"))
     stats = sized.groupBy("pattern").agg(F.first("members").alias("members"), F.sum("size").alias("words"), F.count("*").alias("docs"))
-    groups = sorted(stats.limit(MAX_PATTERNS + 1).collect(), key=lambda g: g["pattern"])
-    if len(groups) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns; map rare sources to one first")
-    plan = F.broadcast(_plan(spark, groups, weights, max_epochs))  # at most MAX_PATTERNS short rows
+    groups = sorted(stats.collect(), key=lambda g: g["pattern"])  # a row a pattern
+    plan = _plan(spark, groups, weights, max_epochs)
+    sent = F.broadcast if len(groups) <= SENT_PATTERNS else lambda df: df
+    plan = sent(plan)
     in_bins = lambda rows: rows.join(plan, "pattern").withColumn("bin", F.floor(F.col("h") / (F.lit(_TOP).cast("double") / F.col("bins"))))
     binned = in_bins(sized)
     upto = Window.partitionBy("pattern").orderBy("bin")
@@ -148,7 +179,7 @@ def mix(docs: DataFrame, members: Column, id_col: str = "doc_id", text_col: str
         .filter((F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("in_bin") <= F.col("rest")))
         .groupBy("pattern").agg(F.min("bin").alias("cut"), F.min_by(F.col("upto") - F.col("in_bin"), "bin").alias("before"))
     )
-    marked = in_bins(every if own else sized).join(F.broadcast(cut), "pattern", "left")  # a row a pattern
+    marked = in_bins(every if own else sized).join(sent(cut), "pattern", "left")  # a row a pattern
     outside = marked.filter(F.col("cut").isNull() | (F.col("bin") != F.col("cut"))).withColumn("extra", F.when(F.col("bin") < F.col("cut"), F.col("size")).otherwise(0))
     along = Window.partitionBy("pattern").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     room = F.col("rest") - F.col("before") - (F.sum("size").over(along) - F.col("size"))

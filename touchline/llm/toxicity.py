@@ -31,8 +31,8 @@ from touchline.llm.common import ALNUM, LOWER, Words, doc_crc, shingles, slices,
 
 SAMPLE, FIT = 6000, 1200
 PREFIXES = (4, 5, 6)
-#: Features kept, and the likelihood ratio (chi-square, 1 degree of freedom) they need.
-FEATURES, LEAST_RATIO = 4096, 18.0
+#: The likelihood ratio (chi-square, 1 degree of freedom) that a feature needs; all that reach it are kept.
+LEAST_RATIO = 18.0
 #: A token's log-odds are held within +-CLIP, so that products of SEGMENT steps stay within doubles.
 CLIP, SEGMENT = 12.0, 32
 THRESHOLD = 0.3
@@ -282,9 +282,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 has = np.flatnonzero(np.diff(at) > 0)
                 if len(has):
                     least[has] = np.minimum.reduceat(values, at[:-1][has])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(least.view(np.int64))], names=["id", "k"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(least.view(np.int64))], names=["id", "h", "k"])
 
-    one = rows.select("id", "text").mapInArrow(sketch, "id long, k long").groupBy("k").agg(F.min("id").alias("id")).select("id")
+    # of near copies the text with the least hash is learnt from; ids only tell exact copies apart
+    one = rows.select("id", "text", F.xxhash64("text").alias("h")).mapInArrow(sketch, "id long, h long, k long").groupBy("k").agg(F.min(F.struct("h", "id"))["id"].alias("id")).select("id")
     rows = rows.join(F.broadcast(one), "id")  # at most about 2 * sample rows
     n = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
@@ -295,7 +296,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     term = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(F.lit(0.0))
     share = (a + b) / (n1 + n0)
     ratio = 2 * (term(a, share * n1) + term(b, share * n0) + term(n1 - a, (1 - share) * n1) + term(n0 - b, (1 - share) * n0))
-    strong = counts.filter((a * n0 > 8 * b * n1) & (ratio > LEAST_RATIO)).orderBy(ratio.desc(), "f").limit(FEATURES)
+    strong = counts.filter((a * n0 > 8 * b * n1) & (ratio > LEAST_RATIO))  # as many as the words of the sample, at most
     keys = np.sort(np.array([r["f"] for r in strong.select("f").collect()], dtype=np.int64).view(np.uint64))
     model = Model(keys)
     kept = pickle.dumps(model)
