@@ -178,7 +178,8 @@ def dominant_phases(in_episode: DataFrame) -> DataFrame:
 
 
 def embeddings(state_rows: DataFrame, phases: DataFrame, max_rel_time_s: float | None = None) -> DataFrame:
-    """The 24 numbers that describe an episode; missing values count as 0. max_rel_time_s: only its first seconds."""
+    """The 24 numbers that describe an episode; missing values count as 0, so an episode without states or without a phase has zeros.
+    max_rel_time_s: only its first seconds."""
     rows = state_rows if max_rel_time_s is None else state_rows.filter(F.col("rel_time_s") <= max_rel_time_s)
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("frame_id")))
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("frame_id")))
@@ -192,7 +193,7 @@ def embeddings(state_rows: DataFrame, phases: DataFrame, max_rel_time_s: float |
     )
     keys = [*MATCH, "episode_id"]
     hot = {f"phase_{p}": (F.col("phase") == p).cast("double") for p in PHASES}
-    return found.join(phases, keys).select(*keys, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in found.columns if c not in keys], *[F.coalesce(c, F.lit(0.0)).alias(k) for k, c in hot.items()])
+    return found.join(phases, keys, "full").select(*keys, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in found.columns if c not in keys], *[F.coalesce(c, F.lit(0.0)).alias(k) for k, c in hot.items()])
 
 
 def shape(frame_rows: DataFrame, goalkeepers: DataFrame | None = None) -> DataFrame:

@@ -497,6 +497,34 @@ _SQL["decisive_frames"] = (f"""SELECT {_E}, round(peak, 6) AS peak_obso, frame_i
 _SQL["td_credit"] = (f"""SELECT {_E}, team_id, player_id, round(credit, 6) + 0.0 AS credit, n_snapshots_carrier, n_snapshots_near_ball, CAST(row_number() OVER (PARTITION BY {_KEYS} ORDER BY credit DESC, player_id) AS INT) AS rank FROM (SELECT {_KEYS}, team AS team_id, player_id, sum(CASE WHEN n.place = 1 THEN 1.0 ELSE 0.3 END * gain) AS credit,
     count(*) FILTER (n.place = 1) AS n_snapshots_carrier, count(*) FILTER (n.place > 1) AS n_snapshots_near_ball FROM nearby n JOIN (SELECT {_KEYS}, frame_id, lead(obso) OVER (PARTITION BY {_KEYS} ORDER BY frame_id) - obso AS gain FROM tops) USING ({_KEYS}, frame_id) WHERE gain IS NOT NULL AND (n.place = 1 OR n.d <= 10) GROUP BY ALL)""", ("nearby", "tops"))
 
+_CTE["state"] = (f"""SELECT s.match_id, s.period, s.episode_id, s.frame_id, s.t AS time_s, round(s.t - s.start_time_s, 3) AS rel_time_s, s.team AS possession_team, s.bx AS ball_x, s.b_y AS ball_y, s.ox AS ball_x_oriented, sqrt(s.bvx * s.bvx + s.bvy * s.bvy) AS ball_speed,
+    CAST(count(p.x) FILTER (own) AS INT) AS attackers_visible, CAST(count(p.x) FILTER (NOT own) AS INT) AS defenders_visible, avg(px) FILTER (own) AS attackers_mean_x_oriented, CASE WHEN count(p.x) FILTER (own) >= 2 THEN max(p.x) FILTER (own) - min(p.x) FILTER (own) END AS attackers_length,
+    CASE WHEN count(p.x) FILTER (own) >= 2 THEN max(p.y) FILTER (own) - min(p.y) FILTER (own) END AS attackers_width, avg(px) FILTER (NOT own) AS defenders_mean_x_oriented, min(px) FILTER (NOT own) AS defenders_line_height_oriented, stddev_samp(p.x) FILTER (NOT own) AS defenders_compactness_x
+    FROM shots s LEFT JOIN (SELECT s.match_id, s.period, s.frame_id, p.x, p.y, p.team_id = s.team AS own, CASE WHEN s.team = 'home' THEN p.x ELSE 105 - p.x END AS px FROM shots s JOIN seen p USING (match_id, period, frame_id)) p USING (match_id, period, frame_id) GROUP BY ALL""", ("shots", "seen"))
+_STATE = ("time_s", "rel_time_s", "ball_x", "ball_y", "ball_x_oriented", "ball_speed", "attackers_mean_x_oriented", "attackers_length", "attackers_width", "defenders_mean_x_oriented", "defenders_line_height_oriented", "defenders_compactness_x")
+_SQL["states"] = (f"SELECT {_E}, frame_id, possession_team, attackers_visible, defenders_visible, " + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in _STATE) + " FROM state", ("state",))
+_FIRST = "arg_{0}({1}, frame_id) FILTER ({1} IS NOT NULL)"
+_MEANS = ("attackers_mean_x_oriented", "defenders_line_height_oriented", "attackers_length", "attackers_width", "attackers_visible", "defenders_visible")
+_NUMBERS = {
+    "duration_s": "max(rel_time_s) - min(rel_time_s)", "start_ball_x_oriented": _FIRST.format("min", "ball_x_oriented"), "start_ball_y": _FIRST.format("min", "ball_y"), "end_ball_x_oriented": _FIRST.format("max", "ball_x_oriented"), "end_ball_y": _FIRST.format("max", "ball_y"),
+    "max_ball_x_oriented": "max(ball_x_oriented)", "ball_x_displacement": f"max(ball_x_oriented) - {_FIRST.format('min', 'ball_x_oriented')}", "mean_ball_speed": "avg(ball_speed)", "max_ball_speed": "max(ball_speed)",
+    "ball_x_slope": "CASE WHEN max(rel_time_s) - min(rel_time_s) >= 1e-6 THEN regr_slope(ball_x_oriented, rel_time_s) END", **{f"mean_{c}": f"avg({c})" for c in _MEANS}, "compactness_diff": "coalesce(avg(defenders_compactness_x), 0) - coalesce(avg(attackers_length), 0)",
+}
+_CTE["moods"] = (f"SELECT {_KEYS}, phase FROM (SELECT {_KEYS}, phase, count(*) AS n FROM inside GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY {_KEYS} ORDER BY n DESC, phase) = 1", ("inside",))
+_SQL["episode_embeddings"] = (f"SELECT {_E}, " + ", ".join(f"coalesce(round({c}, 4) + 0.0, 0.0) AS {c}" for c in _NUMBERS) + ", " + ", ".join(f"CAST(phase = '{p}' AS DOUBLE) AS phase_{p}" for p in tracking.PHASES)
+    + f" FROM (SELECT {_KEYS}, " + ", ".join(f"{v} AS {c}" for c, v in _NUMBERS.items()) + f" FROM state GROUP BY ALL) JOIN moods USING ({_KEYS})", ("state", "moods"))
+_SQL["smoothed_holders"] = ("""SELECT match_id, period, frame_id, coalesce(last_value(held IGNORE NULLS) OVER w, first_value(clear IGNORE NULLS) OVER w) AS holder FROM (SELECT *, CASE WHEN clear IS NOT NULL AND row_number() OVER (PARTITION BY match_id, period, run ORDER BY frame_id) >= 4 THEN clear END AS held
+    FROM (SELECT *, sum(new4) OVER (PARTITION BY match_id, period ORDER BY frame_id) AS run FROM (SELECT *, CASE WHEN clear IS DISTINCT FROM lag(clear) OVER (PARTITION BY match_id, period ORDER BY frame_id) THEN 1 ELSE 0 END AS new4 FROM (SELECT s.match_id, s.period, s.frame_id, CASE WHEN second IS NULL OR second - d >= 0.5 THEN player_id END AS clear
+    FROM spine s LEFT JOIN (SELECT match_id, period, frame_id, player_id, d, lead(d) OVER o AS second, row_number() OVER o AS place FROM (SELECT p.*, sqrt((p.x - bx) * (p.x - bx) + (p.y - b_y) * (p.y - b_y)) AS d FROM seen p JOIN ball USING (match_id, period, frame_id) WHERE bx IS NOT NULL AND b_y IS NOT NULL)
+    WINDOW o AS (PARTITION BY match_id, period, frame_id ORDER BY d, player_id)) h ON h.match_id = s.match_id AND h.period = s.period AND h.frame_id = s.frame_id AND place = 1)))) WINDOW w AS (PARTITION BY match_id, period ORDER BY frame_id ROWS UNBOUNDED PRECEDING)""", ("spine", "seen", "ball"))
+_NEAR = "min(CASE WHEN p.team_id {0} m.team THEN sqrt((cx - p.x - 0.7 * p.vx) * (cx - p.x - 0.7 * p.vx) + (cy - p.y - 0.7 * p.vy) * (cy - p.y - 0.7 * p.vy)) / 5 END)"
+_SQL["player_obso"] = (f"""SELECT match_id, period, frame_id, player_id, round(obso, 6) AS obso, CAST(row_number() OVER (PARTITION BY match_id, period, frame_id ORDER BY obso DESC, player_id) AS INT) AS rank FROM (SELECT match_id, period, frame_id, player_id,
+    goal * coalesce(exp(-((cx - bx) * (cx - bx) + (cy - b_y) * (cy - b_y)) / 800), 1.0) / (1 + exp(-CASE WHEN d IS NULL THEN 30.0 ELSE least(greatest((d - a) / 0.45, -30.0), 30.0) END)) AS obso FROM (SELECT m.match_id, m.period, m.frame_id, m.player_id, bx, b_y, cx, cy, goal, {_NEAR.format("=")} AS a, {_NEAR.format("<>")} AS d
+    FROM (SELECT s.match_id, s.period, s.frame_id, s.team, s.bx, s.b_y, o.player_id, CAST(least(greatest(ceil((o.x - 0.875) / 1.75) - 1, 0), 59) AS INT) AS c, CAST(least(greatest(ceil((o.y - 0.85) / 1.7) - 1, 0), 39) AS INT) AS r FROM shots s JOIN seen o ON o.match_id = s.match_id AND o.period = s.period AND o.frame_id = s.frame_id AND o.team_id = s.team) m
+    JOIN goals USING (r, c) JOIN seen p ON p.match_id = m.match_id AND p.period = m.period AND p.frame_id = m.frame_id GROUP BY ALL))""", ("shots", "seen", "goals"))
+_SQL["episode_summaries"] = (f"""SELECT match_id, period, episode_id, start_frame, end_frame, start_time_s, end_time_s, e.duration_s, possession_team, phase AS dominant_phase, e.end_reason, reached_final_third, ended_in_box, shot_like, end_ball_x, end_ball_y, end_ball_speed, peak_obso, decisive_obso, coalesce(n, 0) AS n_snapshots
+    FROM ({_SQL["episodes"][0]}) e JOIN ({_SQL["episode_outcomes"][0]}) o USING ({_KEYS}) LEFT JOIN ({_SQL["dominant_phases"][0]}) p USING ({_KEYS}) LEFT JOIN ({_SQL["decisive_frames"][0]}) d USING ({_KEYS}) LEFT JOIN (SELECT {_E}, count(*) AS n FROM snaps GROUP BY ALL) s USING ({_KEYS})""",
+    tuple(dict.fromkeys((*_SQL["episodes"][1], *_SQL["episode_outcomes"][1], *_SQL["dominant_phases"][1], *_SQL["decisive_frames"][1], "snaps"))))
 
 def _density_sql(points: str, key: str, rows: int, cols: int, share: float) -> str:
     """Kernel densities of a query's key, x, y, by the same definition as surfaces.density."""
