@@ -63,7 +63,10 @@ def places(seed):
 
 
 @pytest.mark.parametrize("options", [{}, {"pack": 20, "pivots": 12, "asked": 10}])
-def test_corpus_clusters_equal_those_of_a_square(spark, options):
+def test_corpus_clusters_equal_those_of_a_square(spark, options, monkeypatch):
+    if options:
+        monkeypatch.setattr(corpus_clusters, "FEW_GROUPS", 3)
+        monkeypatch.setattr(corpus_clusters, "LINK_ROWS", 40)
     points, told = places(6), []
     want = partition(dict(enumerate(similarity.density_labels(square(points)).tolist())))
     assert len(want[1]) >= 3 and want[0]

@@ -90,5 +90,25 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {q.__name__: _bounded(q) for q in found}
 
 
+def _codes_sql(rounds: int = 4) -> str:
+    """op12_vector_codes round by round: parts of all rows against all entries of their part's codebook, in doubles that hold the integers exactly."""
+    near = """SELECT id, part, x, entry, d FROM (SELECT p.id, p.part, p.x, b.entry, list_inner_product(p.x, p.x) - 2 * list_inner_product(p.x, b.c) + list_inner_product(b.c, b.c) AS d FROM parts p JOIN book{k} b USING (part))
+        QUALIFY row_number() OVER (PARTITION BY id, part ORDER BY d, entry) = 1"""
+    ctes = {
+        "kept": """SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, x) AS id, vec_id, label, x FROM (SELECT vec_id, label, list_transform(embedding, lambda c: floor(1024 * CAST(c AS DOUBLE))) AS x FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0)""",
+        "parts": "SELECT id, part, x[part * len(x) // 4 + 1 : (part + 1) * len(x) // 4] AS x FROM kept, (SELECT unnest(range(4)) AS part)",
+        "book0": "SELECT part, id - 1 AS entry, x AS c FROM parts WHERE id <= 256",
+    }
+    for k in range(rounds):
+        ctes[f"near{k}"] = near.format(k=k)
+        ctes[f"mean{k}"] = f"SELECT part, entry, list(v ORDER BY pos) AS c FROM (SELECT part, entry, pos, floor(sum(v) / count(*)) AS v FROM (SELECT part, entry, unnest(x) AS v, unnest(range(1, len(x) + 1)) AS pos FROM near{k}) GROUP BY ALL) GROUP BY ALL"
+        ctes[f"book{k + 1}"] = f"SELECT b.part, b.entry, coalesce(m.c, b.c) AS c FROM book{k} b LEFT JOIN mean{k} m USING (part, entry)"
+    ctes["found"] = near.format(k=rounds)
+    ctes["sums"] = "SELECT id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM found GROUP BY id"
+    ctes["digest"] = f"SELECT sha256(string_agg(array_to_string(CAST(c AS BIGINT[]), ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM book{rounds}"
+    return f"WITH {', '.join(f'{k} AS MATERIALIZED ({v})' for k, v in ctes.items())} SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM sums JOIN kept USING (id), digest"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op12_vector_codes": _codes_sql()}

@@ -5,7 +5,7 @@ and counted. Core distances come from exact neighbours (`metric.k_nearest`). The
 component finds its least link to another one, by weight and then ids, so that components at least halve. Links among
 neighbours are tried first; whatever isn't among a vector's neighbours is at least its core distance away, so only vectors
 whose core distance is below their component's best link are searched for, in balls that hold anything of another component
-within that link (`metric.Balls.route`). Components are relabelled by pointer jumping, a join a step.
+within that link (`metric.Balls.route`). Components are relabelled by pointer jumping: on the driver up to FEW_GROUPS, by a join a step beyond.
 
 The tree, a row for each distinct vector, is then condensed in order of weight from its leaves on: a component needs its
 size, the sum of densities at which its members fall out, and the best of its parts. The driver does this over batches of
@@ -27,6 +27,8 @@ from touchline.operators.retrieval import store
 LEAST = 5
 #: Links that the driver reads at a time.
 LINK_ROWS = 500_000
+#: Groups whose chains the driver follows; more are joined.
+FEW_GROUPS = 200_000
 LINKS = pa.schema([("group", pa.int64()), ("w", pa.float64()), ("a", pa.int64()), ("b", pa.int64()), ("to", pa.int64())])
 
 
@@ -92,7 +94,20 @@ def least_tree(vectors: DataFrame, samples: int, watch: Callable[[int, int, floa
 
 
 def _roots(up: DataFrame) -> DataFrame:
-    """(group, root) of groups that point at each other in chains, each of which ends in two that point at one another."""
+    """(group, root) of groups that point at each other in chains, each of which ends in two that point at one another.
+
+    Up to FEW_GROUPS are followed on the driver; more by joins that double what a step spans.
+    """
+    if up.count() <= FEW_GROUPS:
+        known = up.toArrow()
+        group, to = known.column("group").to_numpy(), known.column("up").to_numpy()
+        order = np.argsort(group)
+        group, to = group[order], np.searchsorted(group[order], to[order])
+        back = to[to] == np.arange(len(to))
+        to = np.where(back & (np.arange(len(to)) < to), np.arange(len(to)), to)
+        while (to[to] != to).any():
+            to = to[to]
+        return up.sparkSession.createDataFrame(pa.table({"group": group, "root": group[to]}))
     back = up.select(F.col("group").alias("up"), F.col("up").alias("back"))
     now = store(up.join(back, "up").select("group", F.when((F.col("back") == F.col("group")) & (F.col("group") < F.col("up")), F.col("group")).otherwise(F.col("up")).alias("root")))
     while True:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import heapq
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,14 +39,49 @@ def store(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def _met(some: pa.Table, library: DataFrame, key: str, k: int, vector: str) -> DataFrame:
+    """(query, key, distance, rank): the k nearest of the library for each query of one block, which is sent to the tasks."""
+    kind = library.schema[key].dataType.simpleString()
+    shared = library.sparkSession.sparkContext.broadcast((some.column(0).to_pylist(), np.array(some.column(1).to_pylist(), dtype=float)))
+
+    def run(batches):
+        keys, vectors = shared.value
+        best: list[list] = [[] for _ in keys]
+        for batch in batches:
+            own = batch.column(0).to_pylist()
+            if not own:
+                continue
+            x = np.array(batch.column(1).to_pylist(), dtype=float)
+            for i, (me, v) in enumerate(zip(keys, vectors, strict=True)):
+                d = np.sqrt(((x - v) ** 2).sum(axis=1))
+                for j in np.lexsort((own, d))[: k + 1]:
+                    if own[j] != me:
+                        best[i].append((float(d[j]), own[j]))
+                best[i] = heapq.nsmallest(k, best[i])
+        rows = [(me, other, d) for me, found in zip(keys, best, strict=True) for d, other in found]
+        names = ["query", key, "distance"]
+        yield pa.RecordBatch.from_pydict(dict(zip(names, zip(*rows, strict=True), strict=True))) if rows else pa.RecordBatch.from_pydict({n: [] for n in names})
+
+    w = Window.partitionBy("query").orderBy("distance", key)
+    part = library.select(key, vector).mapInArrow(run, f"query {kind}, {key} {kind}, distance double")
+    return part.withColumn("rank", F.row_number().over(w) - 1).filter(F.col("rank") < k)
+
+
 def nearest(queries: DataFrame, library: DataFrame, key: str | list[str], k: int, vector: str = "v", block: int = 1024, watch=None, **balls) -> DataFrame:
     """(query, key, distance, rank from 0): the k nearest library rows of each query by Euclidean distance, itself (the row with its key)
     left out; ties to the smaller key. With several keys, query and key are structs of them.
 
-    Equal vectors are merged, with their k + 1 smallest keys, and searched for once; two passes over balls about pivots answer all queries
-    (`metric.k_nearest`). watch: is told the share of distances that was computed. block: queries of a block; balls: options of metric.Balls.
+    Up to block queries (by one key) are sent to the tasks, and each task keeps its own k best for each of them: one pass over the library
+    where it lies. More are met in two passes, however many they are (`metric.k_nearest`): equal vectors are merged, with their k + 1
+    smallest keys, and searched for once in balls about pivots. watch: is told the share of distances that was computed; balls: options
+    of metric.Balls.
     """
     keys = [key] if isinstance(key, str) else list(key)
+    some = queries.select(*keys, vector).limit(block + 1).toArrow() if len(keys) == 1 else None
+    if some is not None and some.num_rows <= block:
+        if watch:
+            watch(1.0)
+        return _met(some, library, keys[0], k, vector)
     own = store(metric.distinct_vectors(library, keys, vector, k + 1))
     asked = store(metric.distinct_vectors(queries, keys, vector))
     found, share = metric.k_nearest(asked, metric.Balls(own.select("id", "v"), store, asked=block, **balls), k + 1)

@@ -193,7 +193,7 @@ def states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def episode_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = _in_episode(spark, sf_dir)
-    return rounded(tracking.embeddings(tracking.states(tracking.snapshots(frames)), tracking.dominant_phases(frames)), 4)
+    return rounded(tracking.embeddings(tracking.states(tracking.snapshots(frames)), tracking.dominant_phases(frames)))
 
 
 def team_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -511,7 +511,7 @@ _NUMBERS = {
     "ball_x_slope": "CASE WHEN max(rel_time_s) - min(rel_time_s) >= 1e-6 THEN regr_slope(ball_x_oriented, rel_time_s) END", **{f"mean_{c}": f"avg({c})" for c in _MEANS}, "compactness_diff": "coalesce(avg(defenders_compactness_x), 0) - coalesce(avg(attackers_length), 0)",
 }
 _CTE["moods"] = (f"SELECT {_KEYS}, phase FROM (SELECT {_KEYS}, phase, count(*) AS n FROM inside GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY {_KEYS} ORDER BY n DESC, phase) = 1", ("inside",))
-_SQL["episode_embeddings"] = (f"SELECT {_E}, " + ", ".join(f"coalesce(round({c}, 4) + 0.0, 0.0) AS {c}" for c in _NUMBERS) + ", " + ", ".join(f"CAST(phase = '{p}' AS DOUBLE) AS phase_{p}" for p in tracking.PHASES)
+_SQL["episode_embeddings"] = (f"SELECT {_E}, " + ", ".join(f"coalesce(round({c}, 6) + 0.0, 0.0) AS {c}" for c in _NUMBERS) + ", " + ", ".join(f"CAST(phase = '{p}' AS DOUBLE) AS phase_{p}" for p in tracking.PHASES)
     + f" FROM (SELECT {_KEYS}, " + ", ".join(f"{v} AS {c}" for c, v in _NUMBERS.items()) + f" FROM state GROUP BY ALL) JOIN moods USING ({_KEYS})", ("state", "moods"))
 _SQL["smoothed_holders"] = ("""SELECT match_id, period, frame_id, coalesce(last_value(held IGNORE NULLS) OVER w, first_value(clear IGNORE NULLS) OVER w) AS holder FROM (SELECT *, CASE WHEN clear IS NOT NULL AND row_number() OVER (PARTITION BY match_id, period, run ORDER BY frame_id) >= 4 THEN clear END AS held
     FROM (SELECT *, sum(new4) OVER (PARTITION BY match_id, period ORDER BY frame_id) AS run FROM (SELECT *, CASE WHEN clear IS DISTINCT FROM lag(clear) OVER (PARTITION BY match_id, period ORDER BY frame_id) THEN 1 ELSE 0 END AS new4 FROM (SELECT s.match_id, s.period, s.frame_id, CASE WHEN second IS NULL OR second - d >= 0.5 THEN player_id END AS clear
