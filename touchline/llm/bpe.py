@@ -33,7 +33,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Unknown words that are folded once for all texts, the longest word that is folded, and distinct words that a task holds.
+from touchline.llm.common import store
+
+#: Most unknown words that are folded once for all texts, the longest word that is folded, and distinct words that a task holds.
 WORDS, FOLD_BYTES, HELD = 1 << 18, 48, 500_000
 #: Primes, near the number of slots of each half of the rank table for a file of 50,000 pieces; doubled (to the next odd number) where pairs don't fit.
 SLOTS = (131_071, 131_101)
@@ -248,11 +250,20 @@ def _is_text(piece: bytes) -> bool:
 
 
 def common_words(docs: DataFrame, pattern: str, path: str | None) -> pa.Table:
-    """The WORDS most common unknown words and their ids; this many at most, so the driver can hold and send them."""
-    counted = docs.select("text").mapInArrow(_counted(pattern, load_ranks(path)), "word binary, count long")
-    top = counted.groupBy("word").agg(F.sum("count").alias("n")).orderBy(F.desc("n"), "word").limit(WORDS)
-    spread = top.select("word").repartition(docs.sparkSession.sparkContext.defaultParallelism * 2)  # the limit leaves one partition
-    return _with_ranks(spread, path).select("word", F.get(fold_merges(F.col("ranks_"), F.array("word"), path), F.lit(0)).alias("ids")).toArrow()
+    """The most common unknown words that occur at least twice and their ids; WORDS at most, so the driver can hold and send them.
+
+    The least count is found among classes of counts (some eight to a doubling), so no task gathers the candidates.
+    """
+    counted = docs.select("text").mapInArrow(_counted(pattern, load_ranks(path)), "word binary, count long").groupBy("word").agg(F.sum("count").alias("n"))
+    often = store(counted.filter("n > 1").withColumn("class", F.floor(8 * F.log2("n")).cast("int")))
+    least, held = 1 << 20, 0
+    for r in often.groupBy("class").agg(F.count("*").alias("words")).orderBy(F.desc("class")).collect():  # some hundred rows
+        held += r.words
+        if held > WORDS:
+            break
+        least = r["class"]
+    chosen = _with_ranks(often.filter(F.col("class") >= least).select("word"), path)
+    return chosen.select("word", F.get(fold_merges(F.col("ranks_"), F.array("word"), path), F.lit(0)).alias("ids")).toArrow()
 
 
 def _encoded(pattern: str, ranks: dict[bytes, int], known: dict[str, bytes]):
