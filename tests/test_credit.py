@@ -95,6 +95,29 @@ def test_density_clusters_and_stability(spark):
     assert {(r.n, r.stable) for r in similarity.stability(pairs, ["match_id"]).collect()} == {(9, True), (8, True)}
 
 
+def test_members_and_membership(spark):
+    labelled = spark.createDataFrame([("m", 1, 0), ("m", 2, -1), ("n", 1, 0), ("n", 3, 2)], "match_id string, e int, cluster int")
+    assert sorted(map(tuple, retrieval.members(labelled, ["match_id", "e"]).collect())) == [(0, "m", 1), (0, "n", 1), (2, "n", 3)]
+    asked = spark.createDataFrame([("m", 1), ("m", 2), ("z", 9)], "match_id string, e int")
+    assert {(r.match_id, r.e): r.cluster for r in retrieval.cluster_of(asked, labelled, ["match_id", "e"]).collect()} == {("m", 1): 0, ("m", 2): None, ("z", 9): None}
+
+
+def test_overlaps_mixes_and_profiles(spark):
+    """Set overlap, clusters by source and in words, the share of foreign neighbours, predictions and tails of movement."""
+    sets = spark.createDataFrame([([1, 2, 3], [2, 3, 4]), ([], [])], "a array<int>, b array<int>")
+    assert [r[0] for r in sets.select(retrieval.jaccard("a", "b")).collect()] == [0.5, 0.0]
+    rows = [(0, "s", "build_up", True, False), (0, "t", "build_up", True, True), (0, "s", "finishing", False, False), (1, "t", "finishing", False, True)]
+    labelled = spark.createDataFrame(rows, "cluster int, source string, phase string, reached_final_third boolean, shot_like boolean")
+    assert sorted(map(tuple, retrieval.source_mix(labelled).collect())) == [(0, "s", 2), (0, "t", 1), (1, "t", 1)]
+    assert {r.cluster: r.label for r in retrieval.cluster_profiles(labelled).collect()} == {0: "build_up, 3 episodes, 67% final third, 33% shots", 1: "finishing, 1 episodes, 0% final third, 100% shots"}
+    near = spark.createDataFrame([(1, 2, 0.5), (1, 3, 1.5), (2, 1, 0.5)], "query int, k int, distance double")
+    sources = spark.createDataFrame([(1, "s"), (2, "s"), (3, "t")], "k int, source string")
+    assert {r.query: r.cross_source for r in retrieval.cross_source_rate(near, sources, "k").collect()} == {1: 0.5, 2: 0.0}
+    outcomes = spark.createDataFrame([(1, True, False, False), (2, True, True, False), (3, False, True, True)], "k int, reached_final_third boolean, ended_in_box boolean, shot_like boolean")
+    got = {r.query: (r.p_reached_final_third, r.p_ended_in_box, r.p_shot_like, r.max_distance) for r in retrieval.predict(near, outcomes, "k").collect()}
+    assert got == {1: (0.5, 1.0, 0.5, 1.5), 2: (1.0, 0.0, 0.0, 0.5)}
+
+
 def test_recommendations(spark):
     schema = "match_id string, period int, episode_id int, cluster int, phase string, shot_like boolean, ended_in_box boolean, reached_final_third boolean, duration_s double"
     rows = [("m", 1, i, i % 2, "build_up", i % 2 == 0, i % 2 == 0, True, 0.0) for i in range(8)] + [("m", 1, 8, 2, "build_up", True, True, True, 0.0)]

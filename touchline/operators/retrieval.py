@@ -120,6 +120,16 @@ def cluster(vectors: DataFrame, k: int = 12, seed: int = 42, starts: int = 10):
     return best.transform(rows).drop("features").withColumnRenamed("prediction", "cluster")
 
 
+def members(labelled: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of clusters without noise, in a table laid out by cluster: cluster, keys. A cluster has as many rows as members, so none is gathered."""
+    return labelled.filter("cluster >= 0").select("cluster", *keys).repartition("cluster", *keys).sortWithinPartitions("cluster", *keys)
+
+
+def cluster_of(episodes: DataFrame, labelled: DataFrame, keys: list[str]) -> DataFrame:
+    """The episodes with their cluster; null for noise and for episodes that no clustering has seen."""
+    return episodes.join(labelled.filter("cluster >= 0").select(*keys, "cluster"), keys, "left")
+
+
 def cluster_profiles(labelled: DataFrame) -> DataFrame:
     """Per cluster: n, its most common phase (ties to the first in the alphabet), shares that reach the last third and that shoot, text."""
     rows = labelled.groupBy("cluster").agg(F.count("*").alias("n"), F.mode("phase", True).alias("phase"), F.avg(F.col("reached_final_third").cast("double")).alias("pct_third"), F.avg(F.col("shot_like").cast("double")).alias("pct_shot"))

@@ -72,6 +72,28 @@ def scores(profile_rows: DataFrame, base: DataFrame, limit: float = 0.5) -> Data
     return rows.select("match_id", "team_id", "metric", "value", "z", "adjusted_z", verdict.alias("verdict"))
 
 
+def verdict_lists(scored: DataFrame) -> DataFrame:
+    """Per match and team: strengths, weaknesses and neutral, the metrics of each verdict in the alphabet's order (scores' rows)."""
+    of = lambda v: F.sort_array(F.collect_set(F.when(F.col("verdict") == v, F.col("metric"))))
+    return scored.groupBy("match_id", "team_id").agg(of("strength").alias("strengths"), of("weakness").alias("weaknesses"), of("neutral").alias("neutral"))
+
+
+def radar(scored: DataFrame, clip: float = 3.0) -> DataFrame:
+    """A row per match and team with each metric's adjusted_z, held within clip; null where the team lacks the metric."""
+    held = F.greatest(F.least("adjusted_z", F.lit(clip)), F.lit(-clip))
+    return scored.groupBy("match_id", "team_id").pivot("metric", sorted(METRICS)).agg(F.first(held))
+
+
+def overview(valued: DataFrame) -> DataFrame:
+    """team_summary with the team's ppda and field_tilt."""
+    return team_summary(valued).join(pressing(valued).select("match_id", "team_id", "ppda", "field_tilt"), ["match_id", "team_id"], "left")
+
+
+def label_ranks(nodes: DataFrame) -> DataFrame:
+    """The nodes of a pass network with y_rank, from 1 by y (ties to the smaller id), by whose parity labels go above or below."""
+    return nodes.withColumn("y_rank", F.row_number().over(Window.partitionBy("match_id", "team_id").orderBy("y", "player_id")))  # a team's players
+
+
 def team_summary(valued: DataFrame) -> DataFrame:
     """passes, shots, goals, xt per match and team."""
     return valued.groupBy("match_id", "team_id").agg(

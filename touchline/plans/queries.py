@@ -104,6 +104,26 @@ def team_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(team.team_summary(_valued(spark, sf_dir)))
 
 
+def verdict_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each team's strengths and weaknesses, as texts."""
+    rows = team.long_profiles(team.profiles(_valued(spark, sf_dir)))
+    found = team.verdict_lists(team.scores(rows, team.baseline(rows)))
+    return found.select("match_id", "team_id", *[F.array_join(c, ",").alias(c) for c in ("strengths", "weaknesses", "neutral")])
+
+
+def radar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = team.long_profiles(team.profiles(_valued(spark, sf_dir)))
+    return rounded(team.radar(team.scores(rows, team.baseline(rows)), 1.5), 5)
+
+
+def match_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(team.overview(_valued(spark, sf_dir)))
+
+
+def network_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return team.label_ranks(team.network_nodes(fixtures.spadl(spark, sf_dir))).select("match_id", "team_id", "player_id", "y_rank")
+
+
 def top_players(spark: SparkSession, sf_dir: str) -> DataFrame:
     return team.top_players(_valued(spark, sf_dir))
 
@@ -525,6 +545,11 @@ _SQL["player_obso"] = (f"""SELECT match_id, period, frame_id, player_id, round(o
 _SQL["episode_summaries"] = (f"""SELECT match_id, period, episode_id, start_frame, end_frame, start_time_s, end_time_s, e.duration_s, possession_team, phase AS dominant_phase, e.end_reason, reached_final_third, ended_in_box, shot_like, end_ball_x, end_ball_y, end_ball_speed, peak_obso, decisive_obso, coalesce(n, 0) AS n_snapshots
     FROM ({_SQL["episodes"][0]}) e JOIN ({_SQL["episode_outcomes"][0]}) o USING ({_KEYS}) LEFT JOIN ({_SQL["dominant_phases"][0]}) p USING ({_KEYS}) LEFT JOIN ({_SQL["decisive_frames"][0]}) d USING ({_KEYS}) LEFT JOIN (SELECT {_E}, count(*) AS n FROM snaps GROUP BY ALL) s USING ({_KEYS})""",
     tuple(dict.fromkeys((*_SQL["episodes"][1], *_SQL["episode_outcomes"][1], *_SQL["dominant_phases"][1], *_SQL["decisive_frames"][1], "snaps"))))
+_ADJ = "(SELECT *, CASE WHEN metric IN ('ppda', 'xt_conceded') THEN -z ELSE z END AS adj FROM (SELECT l.*, CASE WHEN s > 0 THEN (value - m) / s ELSE 0.0 END AS z FROM long l JOIN base USING (metric)))"
+_SQL["verdict_lists"] = ("SELECT match_id, team_id, " + ", ".join(f"coalesce(string_agg(metric, ',' ORDER BY metric) FILTER ({c}), '') AS {n}" for n, c in (("strengths", "adj >= 0.5"), ("weaknesses", "adj <= -0.5"), ("neutral", "adj > -0.5 AND adj < 0.5"))) + f" FROM {_ADJ} GROUP BY 1, 2", ("long", "base"))
+_SQL["radar"] = ("SELECT match_id, team_id, " + ", ".join(f"round(max(greatest(least(adj, 1.5), -1.5)) FILTER (metric = '{m}'), 5) + 0.0 AS {m}" for m in sorted(team.METRICS)) + f" FROM {_ADJ} GROUP BY 1, 2", ("long", "base"))
+_SQL["match_overview"] = (f"SELECT s.*, round(ppda, 6) AS ppda, round(field_tilt, 6) AS field_tilt FROM ({_SQL['team_summary'][0]}) s LEFT JOIN press USING (match_id, team_id)", ("valued", "press"))
+_SQL["network_labels"] = ("SELECT match_id, team_id, player_id, CAST(row_number() OVER (PARTITION BY match_id, team_id ORDER BY y, player_id) AS INT) AS y_rank FROM nodes", ("nodes",))
 
 def _density_sql(points: str, key: str, rows: int, cols: int, share: float) -> str:
     """Kernel densities of a query's key, x, y, by the same definition as surfaces.density."""
@@ -563,7 +588,7 @@ _QUERIES = (
     team_profiles, actions, xt_counts, xt_transitions, xt_grid, xt_values, vaep_labels, vaep_features, vaep_scores, running_score, pressing, profile_scores, team_summary, top_players, match_scores,
     action_map, short_names, geometry_points, action_violations, formation_pairs, role_trajectories, tracking_profiles, episode_values, network_nodes, network_edges, velocities, possession, phases, phase_segments, episodes, episode_outcomes, dominant_phases, snapshots, states, episode_embeddings, team_shape,
     obso_trajectory, decisive_frames, player_obso, nearest_vectors, episode_clusters, episode_summaries, phase_totals, episode_triggers, shot_strikes, ball_holders, smoothed_holders, mean_positions, td_credit, leave_one_out, episode_narratives,
-    extended_embeddings, defence_recommendations, density_clusters, corpus_clusters, player_heatmaps, player_positions, attack_end_densities,
+    extended_embeddings, defence_recommendations, density_clusters, corpus_clusters, verdict_lists, radar, match_overview, network_labels, player_heatmaps, player_positions, attack_end_densities,
 )
 
 
