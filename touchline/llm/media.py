@@ -42,8 +42,8 @@ def _crc_table(bits: int, poly: int) -> np.ndarray:
     for b in range(256):
         c = b << (bits - 8)
         for _ in range(8):
-            c = ((c << 1) ^ poly) if c >> (bits - 1) else c << 1
-        out[b] = c & ((1 << bits) - 1)
+            c = ((c << 1) ^ poly if c >> (bits - 1) else c << 1) & ((1 << bits) - 1)
+        out[b] = c
     return out
 
 
@@ -412,7 +412,7 @@ def _fast_blocks(data: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.nd
         shift = np.zeros(len(rows), dtype=np.int64)
         l = np.flatnonzero(lpc[rows])
         for f in range(5):
-            for j, c in enumerate(_FIXED[f]):
+            for j, c in enumerate(_FIXED[f][:most]):
                 taps[j, (o == f) & ~lpc[rows]] = c
         if len(l):
             precision = take(where[l], 4) + 1
