@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions import geometry as G
 from touchline.functions.sequence import sticky
-from touchline.operators import retrieval, surfaces, tracking, values
+from touchline.operators import credit, retrieval, roles, surfaces, tracking, values
 
 
 def one(spark, **columns):
@@ -152,3 +152,30 @@ def test_peaks_of_a_batch_equal_the_surface_of_each_frame(spark, monkeypatch):
 def test_attack_ends_point_one_way(spark):
     rows = spark.createDataFrame([(1, "home", 100.0, 30.0), (2, "away", 5.0, 38.0), (3, "home", 106.0, 30.0), (4, "away", None, None)], "e int, possession_team string, end_ball_x double, end_ball_y double")
     assert [(r.e, r.x, r.y) for r in surfaces.attack_ends(rows).orderBy("e").collect()] == [(1, 100.0, 30.0), (2, 100.0, 30.0)]
+
+
+TRACKED = "match_id string, period int, frame_id long, time_seconds double, player_id string, team_id string, x double, y double, is_ball boolean, visible boolean"
+
+
+def delivered(spark, copies):
+    """A match of 60 frames, its players alike and its ball elsewhere in each copy."""
+    rows = [("m", 1, k, k / 25, f"P{p:02}", "home" if p < 11 else "away", 5.0 + 4 * p + k * 0.1, 3.0 + 2.5 * p, False, True) for k in range(60) for p in range(22)]
+    balls = [("m", 1, k, k / 25, None, None, 20.0 + c + k * 0.2, 30.0, True, True) for k in range(60) for c in range(copies)]
+    return spark.createDataFrame(rows * copies + balls, TRACKED)
+
+
+def test_frames_grow_with_distinct_rows_only(spark):
+    """Frames that were delivered again neither grow nor change what is read off places."""
+    once, again = (tracking.frames(tracking.velocities(delivered(spark, n))) for n in (1, 40))
+    assert again.selectExpr("max(size(players))").first()[0] <= 2 * 22
+    assert sorted(map(str, tracking.shape(again).collect())) == sorted(map(str, tracking.shape(once).collect()))
+    tagged = [f.withColumns({"episode_id": F.lit(0), "team": F.lit("home"), "to_right": F.lit(True), "start_time_s": F.lit(0.0), "end_time_s": F.lit(59 / 25)}) for f in (once, again)]
+    mine, theirs = (sorted(map(str, roles.role_trajectory(t).collect())) for t in tagged)
+    assert mine == theirs and len(mine) > 0
+    assert sorted(map(str, credit.mean_positions(tagged[0]).collect())) == sorted(map(str, credit.mean_positions(tagged[1]).collect()))
+
+
+def test_velocities_do_not_depend_on_order(spark):
+    rows = delivered(spark, 5).filter("is_ball").collect()
+    got = [sorted(map(str, tracking.velocities(spark.createDataFrame(r, TRACKED).coalesce(1)).collect())) for r in (rows, rows[::-1])]
+    assert got[0] == got[1]

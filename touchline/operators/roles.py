@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from touchline.functions import geometry as G
-from touchline.operators.tracking import FRAME, MATCH, snapshots
+from touchline.operators.tracking import FRAME, MATCH, places, snapshots
 
 # Slots (role, x, y) of each formation, attacking right.
 TEMPLATES = {
@@ -91,8 +91,8 @@ def slots_of(xs: pd.Series, ys: pd.Series, template: pd.Series) -> pd.DataFrame:
 
 
 def _seen(players, team, right):
-    """A team's players as structs (x, id, y) as it attacks to the right."""
-    return F.transform(F.filter(players, lambda p: p["team_id"] == team), lambda p: F.struct(F.when(right, p["x"]).otherwise(G.LENGTH - p["x"]).alias("x"), p["player_id"].alias("id"), F.when(right, p["y"]).otherwise(G.WIDTH - p["y"]).alias("y")))
+    """A team's players as structs (x, id, y) as it attacks to the right, each place of a player once."""
+    return F.transform(F.filter(places(players), lambda p: p["team_id"] == team), lambda p: F.struct(F.when(right, p["x"]).otherwise(G.LENGTH - p["x"]).alias("x"), p["player_id"].alias("id"), F.when(right, p["y"]).otherwise(G.WIDTH - p["y"]).alias("y")))
 
 
 def formations(frame_rows: DataFrame, teams: tuple[str, ...] = ("home", "away")) -> DataFrame:
