@@ -275,13 +275,9 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         """A row per text (its common words and its end added up; a word no text has as its key) and one per further word."""
         common = shared.value
         for batch in batches:
-            rows: list[list] = [[] for _ in range(9)]
-
-            def put(*row, rows=rows) -> None:
-                for x, to in zip(row, rows, strict=True):
-                    to.append(x)
-
-            for i, text, out in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            found, times, ends, marks = [], [], [], []
+            sums: list[tuple] = []
+            for text in batch.column(1).cast(pa.large_binary()).to_pylist():
                 own = (text or b"").translate(_LOWER)
                 words = own.split()
                 mark = int(range_hashes(np.frombuffer(own, dtype=np.uint8), np.array([0]), np.array([len(own)]))[0].view(np.int64)[0]) if own else 0
@@ -292,9 +288,21 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                         like += n * at[1]
                         known += n * at[2]
                     else:
-                        put(i, mark, out, word, n, None, None, None, None)
-                put(i, mark, out, b" %d" % mark, 0, base, like, known, len(words) + 1)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, (pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int32(), pa.float64(), pa.float64(), pa.int64(), pa.int64()), strict=True)], names=["id", "mark", "held_out", "word", "k", "base", "like", "known", "tokens"])
+                        found.append(word)
+                        times.append(n)
+                ends.append(len(found))
+                found.append(b" %d" % mark)
+                times.append(0)
+                marks.append(mark)
+                sums.append((base, like, known, len(words) + 1))
+            last = np.array(ends, dtype=np.int64)
+            text_of = pa.array(np.repeat(np.arange(len(last)), np.diff(last, prepend=-1)))  # each row's text
+            own_row = np.zeros(len(found), dtype=bool)
+            own_row[last] = True
+            total = pa.array(np.where(own_row, np.cumsum(own_row) - 1, 0), mask=~own_row)  # its sums, for a text's own row
+            columns = [pa.array([x[k] for x in sums], kind).take(total) for k, kind in enumerate((pa.float64(), pa.float64(), pa.int64(), pa.int64()))]
+            keys = [batch.column(0).take(text_of), pa.array(marks, pa.int64()).take(text_of), batch.column(2).take(text_of)]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(found, pa.binary()), pa.array(times, pa.int32()), *columns], names=["id", "mark", "held_out", "word", "k", "base", "like", "known", "tokens"])
 
     parts = flat.mapInArrow(split, "id long, mark long, held_out boolean, word binary, k int, base double, like double, known long, tokens long")
     met = parts.join(table.select("word", "c", "lattice"), "word", "left")
