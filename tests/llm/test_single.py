@@ -203,6 +203,41 @@ def test_lattice_sums_all_segmentations():
         assert lattice.log_probability([word])[0] == pytest.approx(math.log(total))
 
 
+def test_lattice_by_plain_numbers_and_by_logarithms():
+    rng = np.random.default_rng(3)
+    pieces = [b" ", b" a", b"a", b"ab", b"b", b"ba", b"abab", b" abba"]
+    p = rng.random(len(pieces) + 257)
+    p[len(pieces) + 120] = 1e-40  # x: six of them leave the range of plain numbers
+    words = [b"ab" * 3, b"b", b"xa", b"ab" * 300, b"x" * 8, b"abba", b"abx" + b"x" * 30]
+    counts = np.arange(1.0, len(words) + 1)
+    lattice = lm_score.Lattice(pieces, np.log(p / p.sum()))
+    alone = [lattice._grid([w]) for w in words]
+    want = [lattice.forward(lattice._arcs(g, f), n)[n[0], 0] for g, n, f in alone]
+    assert lattice.log_probability(words) == pytest.approx(want)
+    by_logs = sum(lattice._expected_by_logs([w], counts[[i]]) for i, w in enumerate(words))
+    assert lattice.expected_counts(words, counts) == pytest.approx(by_logs)
+    assert np.isfinite(want).all() and by_logs[len(pieces) + 120] == pytest.approx(8 * 5 + 3 + 31 * 7)
+
+
+def test_lattice_asks_only_for_starts_of_pieces():
+    pieces, p = lm_score.load_pieces()
+    lattice = lm_score.Lattice(pieces, np.log(p))
+    words = [b"understanding", b"zq9", "größe".encode(), b"a"]
+    grid, size, start, end, piece, first = lattice._paths(words)
+    got = {(int(s % 4), int(s // 4), pieces[i]) for s, i in zip(start, piece, strict=True)}
+    text = [b" " + w for w in words]
+    assert got == {(w, t, q) for w, s in enumerate(text) for t in range(len(s)) for q in pieces if s.startswith(q, t)}
+    assert (end - start == 4 * np.array([len(pieces[i]) for i in piece])).all() and first[-1] == len(piece)
+
+
+def test_words_are_gathered():
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_arrays([pa.array([b"a"] * n, pa.binary())], names=["word"]) for n in (1000, 15000, 3, 0, 2)]
+    assert [b.num_rows for b in lm_score._gathered(iter(batches))] == [16000, 5]
+    assert [b.num_rows for b in lm_score._gathered(iter([]))] == []
+
+
 def test_lm_of_nothing(none):
     assert lm_score.score_texts(none).count() == 0
 

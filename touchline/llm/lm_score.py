@@ -6,7 +6,7 @@ The corpus re-weights the pieces: expected piece counts over all segmentations o
 on the lattice), with PRIOR_WEIGHT occurrences of the prior on top, ROUNDS times.
 
 A text is its words, each with a leading mark, and one end. A word's probability is the sum over all its segmentations
-into pieces (and single bytes) of the product of their probabilities, computed by a forward recursion in logarithms;
+into pieces (and single bytes) of the product of their probabilities, computed by a forward recursion (long or very unlikely words in logarithms);
 pieces don't cross words, so a text's probability is the product over its words and the end. Probabilities of all texts
 sum to 1 at most.
 
@@ -35,6 +35,10 @@ RANK_SHIFT, PRIOR_WEIGHT, ROUNDS = 50.0, 5000.0, 2
 HOT_WORDS = 1 << 18
 #: Distinct words that a task counts before it reports, and lattice cells handled at a time.
 HELD, CELLS = 400_000, 150_000
+#: Rows or bytes of words that a task sums together.
+GATHERED = (16_000, 1 << 20)
+#: Words of at most so many bytes are summed as plain numbers, unless their probability is below the least.
+LINEAR, LEAST = 100, 1e-250
 LN10 = float(np.log(10))
 _LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 _MARK = "▁"
@@ -73,6 +77,19 @@ class Lattice:
             h = _fixed(data, at, n)
             order = np.argsort(h)
             self.tables[n] = (h[order], np.array(by[n])[order])
+        self.linear = np.exp(scores)
+        self.single = self.linear[self.n : self.n + 256]
+        self.prefixes = []  # for each length the hashes of pieces' first bytes, and the piece that ends there (or -1)
+        h, rest = np.zeros(self.n, dtype=np.uint64), np.arange(self.n)
+        size = np.array([len(p) for p in pieces])
+        for n in range(1, max(self.lengths) + 1):
+            rest = rest[size[rest] >= n]
+            h[rest] = _longer(h[rest], np.array([pieces[i][n - 1] for i in rest], dtype=np.uint8))
+            known, inverse = np.unique(h[rest], return_inverse=True)
+            which = np.full(len(known), -1)
+            ends = size[rest] == n
+            which[inverse[ends]] = rest[ends]
+            self.prefixes.append((known, which))
 
     def _grid(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
         """Bytes [word, position] with the leading mark, lengths, and for each piece length the piece that starts there (or -1)."""
@@ -119,44 +136,120 @@ class Lattice:
                 out[t] = safe + np.log(total)
         return out
 
+    def _paths(self, words: list[bytes]) -> tuple[np.ndarray, ...]:
+        """For words of at most LINEAR bytes: bytes [position, word], sizes, and the arcs of the pieces, in the order of their
+        starts: start and end cell (position * words + word), piece, and for each position the first of its arcs.
+
+        Only places that are the start of some piece's first n bytes are asked for n + 1.
+        """
+        size = np.array([len(w) + 1 for w in words])
+        count, width = len(words), int(size.max())
+        grid = np.frombuffer(b"".join((b" " + w).ljust(width, b"\0") for w in words), dtype=np.uint8).reshape(count, width).T.copy()
+        flat = grid.ravel()
+        left = size[None, :] - np.arange(width)[:, None]
+        at = np.flatnonzero(left > 0)
+        left = left.ravel()[at]
+        h = np.zeros(len(at), dtype=np.uint64)
+        starts, ends, pieces = [], [], []
+        for n, (known, which) in enumerate(self.prefixes, 1):
+            h = _longer(h, flat[at + (n - 1) * count])
+            p = np.minimum(np.searchsorted(known, h), len(known) - 1)
+            hit = known[p] == h
+            piece = which[p[hit]]
+            at, h, left = at[hit], h[hit], left[hit]
+            own = piece >= 0
+            starts.append(at[own])
+            ends.append(at[own] + n * count)
+            pieces.append(piece[own])
+            more = left > n
+            at, h, left = at[more], h[more], left[more]
+            if not len(at):
+                break
+        start, end, piece = np.concatenate(starts), np.concatenate(ends), np.concatenate(pieces)
+        place = (start // count).astype(np.int16)
+        order = np.argsort(place, kind="stable")
+        return grid, size, start[order], end[order], piece[order], np.searchsorted(place[order], np.arange(width + 1))
+
+    def _sums(self, grid: np.ndarray, start: np.ndarray, end: np.ndarray, p: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Sums of all partial segmentations, [position, word], as plain numbers: arcs of one position end in different cells."""
+        width, count = grid.shape
+        alpha = np.zeros((width + 1, count))
+        alpha[0] = 1
+        flat = alpha.ravel()
+        for t in range(width):
+            alpha[t + 1] += alpha[t] * self.single[grid[t]]
+            own = slice(first[t], first[t + 1])
+            flat[end[own]] += flat[start[own]] * p[own]
+        return alpha
+
     def log_probability(self, words: list[bytes]) -> np.ndarray:
-        """Natural logs of the words' marginal probabilities."""
-        out = np.empty(len(words))
-        for some in _batches(words):
-            grid, size, found = self._grid([words[i] for i in some])
-            alpha = self.forward(self._arcs(grid, found), size)
-            out[some] = alpha[size, np.arange(len(size))]
+        """Natural logs of the words' marginal probabilities; in logarithms throughout where plain numbers would leave their range."""
+        out = np.full(len(words), -np.inf)
+        size = np.array([len(w) for w in words])
+        for some in _batches(words, np.flatnonzero(size <= LINEAR)):
+            grid, own, start, end, piece, first = self._paths([words[i] for i in some])
+            z = self._sums(grid, start, end, self.linear[piece], first)[own, np.arange(len(own))]
+            out[some] = np.log(np.where(z > LEAST, z, 0), out=out[some], where=z > LEAST)
+        for some in _batches(words, np.flatnonzero(np.isinf(out))):
+            grid, own, found = self._grid([words[i] for i in some])
+            out[some] = self.forward(self._arcs(grid, found), own)[own, np.arange(len(own))]
         return out
 
     def expected_counts(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
         """Expected occurrences of the pieces and bytes in the words, each word as often as counts says."""
         out = np.zeros(len(self.scores))
-        for some in _batches(words):
-            grid, size, found = self._grid([words[i] for i in some])
-            arcs = self._arcs(grid, found)
-            alpha = self.forward(arcs, size)
-            at = np.arange(len(size))
-            z = alpha[size, at]
-            width = int(size.max())
-            beta = np.full((width + 1, len(size)), -np.inf)
-            beta[size, at] = 0
-            with np.errstate(divide="ignore"):
-                for t in range(width - 1, -1, -1):
-                    terms = [arc[t] + beta[t + n] for n, arc in arcs.items() if t + n <= width]
-                    top = np.maximum.reduce(terms)
-                    safe = np.where(np.isfinite(top), top, 0)
-                    total = np.zeros(len(size))
-                    for x in terms:
-                        total += np.exp(x - safe)
-                    beta[t] = np.where(t == size, 0.0, safe + np.log(total))
-            weight = counts[some]
-            for n, own in found.items():
-                t, w = np.nonzero(own.T >= 0)
-                which = own.T[t, w]
-                out += np.bincount(which, np.exp(alpha[t, w] + self.scores[which] + beta[t + n, w] - z[w]) * weight[w], len(out))
-            w, t = np.nonzero(np.arange(width)[None, :] < size[:, None])
-            which = self.n + grid[w, t].astype(np.int64)
-            out += np.bincount(which, np.exp(alpha[t, w] + self.scores[which] + beta[t + 1, w] - z[w]) * weight[w], len(out))
+        size = np.array([len(w) for w in words])
+        small = np.zeros(len(words), dtype=bool)
+        for some in _batches(words, np.flatnonzero(size <= LINEAR)):
+            grid, own, start, end, piece, first = self._paths([words[i] for i in some])
+            width, count = grid.shape
+            p, place = self.linear[piece], np.arange(count)
+            alpha = self._sums(grid, start, end, p, first)
+            z = alpha[own, place]
+            small[some] = z <= LEAST
+            beta = np.zeros((width + 1, count))
+            beta[own, place] = 1
+            flat = beta.ravel()
+            word = start % count
+            for t in range(width - 1, -1, -1):
+                beta[t] += beta[t + 1] * self.single[grid[t]]
+                at = slice(first[t], first[t + 1])
+                beta[t] += np.bincount(word[at], p[at] * flat[end[at]], count)
+            share = np.where(z > LEAST, counts[some] / np.where(z > LEAST, z, 1), 0)
+            out += np.bincount(piece, alpha.ravel()[start] * p * flat[end] * share[word], len(out))
+            singles = alpha[:-1] * self.single[grid] * beta[1:] * share
+            out[self.n : self.n + 256] += np.bincount(grid.ravel(), singles.ravel(), 256)
+        for some in _batches(words, np.flatnonzero(small | (size > LINEAR))):
+            out += self._expected_by_logs([words[i] for i in some], counts[some])
+        return out
+
+    def _expected_by_logs(self, words: list[bytes], weight: np.ndarray) -> np.ndarray:
+        """expected_counts of a batch of any words."""
+        out = np.zeros(len(self.scores))
+        grid, size, found = self._grid(words)
+        arcs = self._arcs(grid, found)
+        alpha = self.forward(arcs, size)
+        at = np.arange(len(size))
+        z = alpha[size, at]
+        width = int(size.max())
+        beta = np.full((width + 1, len(size)), -np.inf)
+        beta[size, at] = 0
+        with np.errstate(divide="ignore"):
+            for t in range(width - 1, -1, -1):
+                terms = [arc[t] + beta[t + n] for n, arc in arcs.items() if t + n <= width]
+                top = np.maximum.reduce(terms)
+                safe = np.where(np.isfinite(top), top, 0)
+                total = np.zeros(len(size))
+                for x in terms:
+                    total += np.exp(x - safe)
+                beta[t] = np.where(t == size, 0.0, safe + np.log(total))
+        for n, own in found.items():
+            t, w = np.nonzero(own.T >= 0)
+            which = own.T[t, w]
+            out += np.bincount(which, np.exp(alpha[t, w] + self.scores[which] + beta[t + n, w] - z[w]) * weight[w], len(out))
+        w, t = np.nonzero(np.arange(width)[None, :] < size[:, None])
+        which = self.n + grid[w, t].astype(np.int64)
+        out += np.bincount(which, np.exp(alpha[t, w] + self.scores[which] + beta[t + 1, w] - z[w]) * weight[w], len(out))
         return out
 
 
@@ -169,10 +262,16 @@ def _fixed(data: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
-def _batches(words: list[bytes]) -> Iterator[np.ndarray]:
-    """Indexes of words of like length, about CELLS cells together."""
+def _longer(h: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    """Hashes of byte strings, each with one byte more."""
+    h = (h ^ byte) * np.uint64(0x100000001B3) + np.uint64(1)
+    return h ^ (h >> np.uint64(29))
+
+
+def _batches(words: list[bytes], some: np.ndarray) -> Iterator[np.ndarray]:
+    """Those of the indexes of words, by like length, about CELLS cells together."""
     size = np.array([len(w) + 1 for w in words], dtype=np.int64)
-    order = np.argsort(size, kind="stable")
+    order = some[np.argsort(size[some], kind="stable")]
     a = 0
     while a < len(order):
         b = a + max(1, CELLS // int(size[order[a]]))
@@ -182,6 +281,18 @@ def _batches(words: list[bytes]) -> Iterator[np.ndarray]:
         a = b
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of words put together, until they hold GATHERED rows or bytes: sums over few words cost mostly their calls."""
+    some: list[pa.RecordBatch] = []
+    for batch in batches:
+        some.append(batch)
+        if sum(b.num_rows for b in some) >= GATHERED[0] or sum(b.nbytes for b in some) >= GATHERED[1]:
+            yield pa.concat_batches(some)
+            some = []
+    if some:
+        yield pa.concat_batches(some)
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, c, n): occurrences of each word in training texts, and in all."""
 
@@ -216,7 +327,7 @@ def fit_scores(words: DataFrame, n_texts: int, path: str = VOCABULARY, rounds: i
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             lattice = Lattice(*shared.value)
             out = np.zeros(len(lattice.scores))
-            for batch in batches:
+            for batch in _gathered(batches):
                 out += lattice.expected_counts(batch.column(0).to_pylist(), batch.column(1).to_numpy().astype(float))
             at = np.flatnonzero(out)
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(out[at])], names=["piece", "e"])
@@ -235,7 +346,7 @@ def word_table(words: DataFrame, pieces: list[bytes], scores: np.ndarray) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(*shared.value)
-        for batch in batches:
+        for batch in _gathered(batches):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lattice.log_probability(batch.column(0).to_pylist()) / LN10)], names=["word", "c", "n", "lattice"])
 
     return words.select("word", "c", "n").mapInArrow(run, "word binary, c long, n long, lattice double")
