@@ -34,3 +34,26 @@ def test_entry_module_registers_all():
 
     assert set(plans.queries()) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.fixture(scope="module")
+def shared_ids(tmp_path_factory):
+    """Matches 10, 100 and 104 (all T10) and 11, 400 frames of each."""
+    folder = tmp_path_factory.mktemp("shared")
+    c = duckdb.connect()
+    c.execute("SET TimeZone = 'UTC'")
+    c.execute(f"COPY (SELECT * REPLACE (m * 2000 + k AS event_id) FROM (SELECT * FROM '{DATA}/events.parquet' LIMIT 1), (SELECT unnest([10, 100, 104, 11]) AS m), range(400) t(k)) TO '{folder}/events.parquet'")
+    c.execute(f"COPY (FROM '{DATA}/nation.parquet') TO '{folder}/nation.parquet'")
+    for t in ("events", "nation"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    return c, str(folder)
+
+
+@pytest.mark.parametrize("name", ["ball_holders"])
+def test_rows_equal_sql_where_matches_share_an_id(spark, shared_ids, name):
+    duck, folder = shared_ids
+    found = plans.queries()[name](spark, folder)
+    columns = sorted(found.columns)
+    mine = sorted(map(repr, found.select(*columns).toArrow().to_pylist()))
+    theirs = sorted(map(repr, duck.execute(f"SELECT {', '.join(columns)} FROM ({plans.oracle_sql()[name]})").to_arrow_table().to_pylist()))
+    assert mine == theirs and len(mine) > 700

@@ -290,7 +290,7 @@ def shot_strikes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ball_holders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(credit.holders(_moving(spark, sf_dir)))
+    return rounded(credit.holders(tracking.numbers(fixtures.tracking(spark, sf_dir))))
 
 
 def smoothed_holders(spark: SparkSession, sf_dir: str) -> DataFrame:
