@@ -294,7 +294,7 @@ def ball_holders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def smoothed_holders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return credit.smoothed_holders(_moving(spark, sf_dir))
+    return credit.smoothed_holders(tracking.numbers(fixtures.tracking(spark, sf_dir)))
 
 
 def mean_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
