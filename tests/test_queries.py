@@ -49,7 +49,7 @@ def shared_ids(tmp_path_factory):
     return c, str(folder)
 
 
-@pytest.mark.parametrize("name", ["ball_holders", "smoothed_holders"])
+@pytest.mark.parametrize("name", ["ball_holders", "smoothed_holders", "possession"])
 def test_rows_equal_sql_where_matches_share_an_id(spark, shared_ids, name):
     duck, folder = shared_ids
     found = plans.queries()[name](spark, folder)

@@ -179,7 +179,7 @@ def velocities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def possession(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tracking.smoothed_possession(tracking.frames(fixtures.tracking(spark, sf_dir))).select(*tracking.FRAME, "raw_team", "possession_team")
+    return tracking.smoothed_possession(tracking.frames(fixtures.tracking(spark, sf_dir), every_ball=True)).select(*tracking.FRAME, "raw_team", "possession_team")
 
 
 def phases(spark: SparkSession, sf_dir: str) -> DataFrame:
