@@ -30,6 +30,11 @@ def _moving(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracking.frames(tracking.velocities(fixtures.tracking(spark, sf_dir)))
 
 
+def _classified_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per frame and visible ball."""
+    return tracking.classify(tracking.frames(tracking.velocities(fixtures.tracking(spark, sf_dir)), every_ball=True))
+
+
 def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracking.classify(_moving(spark, sf_dir))
 
@@ -183,7 +188,7 @@ def possession(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def phases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _classified(spark, sf_dir).select(*tracking.FRAME, "possession_team", "phase")
+    return _classified_balls(spark, sf_dir).select(*tracking.FRAME, "possession_team", "phase")
 
 
 def phase_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
