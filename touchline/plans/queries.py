@@ -192,7 +192,7 @@ def phases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def phase_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(tracking.phase_segments(_classified(spark, sf_dir)))
+    return rounded(tracking.phase_segments(_classified_balls(spark, sf_dir)))
 
 
 def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
