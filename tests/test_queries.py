@@ -72,3 +72,10 @@ def test_phases_of_shared_ids(spark, shared_ids):
     assert sorted(map(repr, found.select(*columns).toArrow().to_pylist())) == want
     n = duck.execute(f"SELECT count(*) FROM ({plans.oracle_sql()['phases']})").fetchone()[0]
     assert plans.phases(spark, folder).count() == n == rows.count() > 1000
+
+
+def test_phase_runs_keep_a_frame_together(spark):
+    rows = [(1, 0, "a"), (1, 1, "b"), (2, 0, "b"), (2, 1, "b"), (3, 0, "b"), (3, 1, "a"), (4, 0, "a")]
+    df = spark.createDataFrame([("m", 1, f, b, f / 25, p) for f, b, p in rows], "match_id string, period int, frame_id long, ball_no int, time_seconds double, phase string")
+    got = sorted((r.phase, r.start_frame, r.end_frame, r.n_frames) for r in plans.tracking.phase_runs(df).collect())
+    assert got == [("a", 1, 1, 1), ("a", 3, 4, 2), ("b", 1, 2, 3), ("b", 3, 3, 1)]

@@ -283,7 +283,7 @@ def episode_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def phase_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(tracking.phase_totals(tracking.phase_segments(_classified(spark, sf_dir))))
+    return rounded(tracking.phase_totals(tracking.phase_runs(_classified_balls(spark, sf_dir))))
 
 
 def episode_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
