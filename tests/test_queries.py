@@ -79,3 +79,26 @@ def test_phase_runs_keep_a_frame_together(spark):
     df = spark.createDataFrame([("m", 1, f, b, f / 25, p) for f, b, p in rows], "match_id string, period int, frame_id long, ball_no int, time_seconds double, phase string")
     got = sorted((r.phase, r.start_frame, r.end_frame, r.n_frames) for r in plans.tracking.phase_runs(df).collect())
     assert got == [("a", 1, 1, 1), ("a", 3, 4, 2), ("b", 1, 2, 3), ("b", 3, 3, 1)]
+
+
+def test_episodes_of_frames_with_several_balls(spark):
+    from pyspark.sql import functions as F
+
+    rows = [("m", 1, f, b, f / 25, "home" if f < 21 or (f == 21 and b == 0) else "away", {"x": 50.0, "y": 30.0 + b}) for f in range(1, 61) for b in range(2)]
+    smooth = spark.createDataFrame(rows, "match_id string, period int, frame_id long, ball_no int, time_seconds double, possession_team string, ball struct<x double, y double>")
+    tagged = plans.tracking.episode_frames(smooth).cache()
+    got = sorted((r.episode_id, r.team, r.a, r.b, r.n) for r in tagged.groupBy("episode_id", "team").agg(F.min("frame_id").alias("a"), F.max("frame_id").alias("b"), F.count("*").alias("n")).collect())
+    assert got == [(0, "home", 1, 20, 40), (1, "home", 21, 21, 1), (2, "away", 21, 60, 79)]
+    pick = lambda rows: sorted((r.episode_id, r.frame_id) for r in plans.tracking.snapshots(rows).select("episode_id", "frame_id").distinct().collect())
+    single = tagged.dropDuplicates(["episode_id", "frame_id"]).drop("ball_no")
+    assert pick(tagged) == pick(single) and len(pick(tagged)) == 8
+
+
+def test_snapshots_of_shared_ids(spark, shared_ids):
+    """Each once, though the frames have several rows; frames of T11, which has one match, are the SQL's."""
+    duck, folder = shared_ids
+    for name, columns in (("snapshots", "period, episode_id, frame_id"), ("dominant_phases", "period, episode_id, phase")):
+        found = plans.queries()[name](spark, folder)
+        mine = [tuple(r) for r in found.filter("match_id = 'T11'").selectExpr(*columns.split(", ")).collect()]
+        assert sorted(mine) == sorted(duck.execute(f"SELECT {columns} FROM ({plans.oracle_sql()[name]}) WHERE match_id = 'T11'").fetchall()) and mine
+        assert found.count() == found.distinct().count()

@@ -205,7 +205,7 @@ def episode_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dominant_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tracking.dominant_phases(_in_episode(spark, sf_dir))
+    return tracking.dominant_phases(tracking.episode_frames(_classified_balls(spark, sf_dir)))
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
