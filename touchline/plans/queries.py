@@ -209,7 +209,8 @@ def dominant_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _snapshots(spark, sf_dir).select(*tracking.MATCH, "episode_id", "frame_id")
+    rows = tracking.snapshots(tracking.episode_frames(_classified_balls(spark, sf_dir)))
+    return rows.select(*tracking.MATCH, "episode_id", "frame_id").distinct()
 
 
 def states(spark: SparkSession, sf_dir: str) -> DataFrame:
