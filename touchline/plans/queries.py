@@ -47,6 +47,11 @@ def _snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracking.snapshots(_in_episode(spark, sf_dir))
 
 
+def _run_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per frame, visible ball and episode of its run."""
+    return tracking.run_frames(_classified_balls(spark, sf_dir))
+
+
 def _valued(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = fixtures.spadl(spark, sf_dir)
     return values.apply_xt(events, values.fit_xt(events, max_sweeps=SWEEPS, tolerance=0.0))
@@ -269,10 +274,7 @@ def player_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def attack_end_densities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By how the episode ended; the small densities are left out."""
-    frames = _classified(spark, sf_dir)
-    rows = tracking.episodes(frames)
-    found = tracking.outcomes(tracking.episode_frames(frames), rows).join(rows.select(*tracking.MATCH, "episode_id", "possession_team"), [*tracking.MATCH, "episode_id"])
-    return rounded(surfaces.density(surfaces.attack_ends(found), ["end_reason"], 130, 200, share=0.05), 9)
+    return rounded(surfaces.density(surfaces.attack_ends(tracking.ends(_run_frames(spark, sf_dir))), ["end_reason"], 130, 200, share=0.05), 9)
 
 
 def episode_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
