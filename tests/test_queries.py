@@ -129,6 +129,16 @@ def in_order(sql):
     return sql
 
 
+@pytest.mark.parametrize("name", ["player_obso"])
+def test_rows_are_the_sqls_in_one_order_of_ties(spark, shared_ids, name):
+    duck, folder = shared_ids
+    found = plans.queries()[name](spark, folder)
+    columns = sorted(found.columns)
+    mine = sorted(map(repr, found.select(*columns).toArrow().to_pylist()))
+    theirs = sorted(map(repr, duck.execute(f"SELECT {', '.join(columns)} FROM ({in_order(plans.oracle_sql()[name])})").to_arrow_table().to_pylist()))
+    assert mine == theirs and mine
+
+
 def test_ends_of_shared_ids(spark, shared_ids):
     """What attack_end_densities adds up; 400 frames have too few ends for a density."""
     duck, folder = shared_ids

@@ -125,16 +125,26 @@ def decisive(trajectory_rows: DataFrame, share: float = 0.5) -> DataFrame:
 def player_obso(frame_rows: DataFrame, rows: int = 40, cols: int = 60) -> DataFrame:
     """The off-ball value of the cell each attacker stands in, with its rank from 1 (highest first), ties to the smaller id.
 
-    Only the attackers' own cells are computed.
+    Only the attackers' own cells are computed, each cell of a player once. A frame may have several rows, of different balls or teams;
+    all are ranked together.
     """
     keys = ["match_id", "period", "frame_id"]
     dx, dy = G.LENGTH / cols, G.WIDTH / rows
     index = lambda v, d, n: F.least(F.greatest(F.ceil((v - d / 2) / d) - 1, F.lit(0)), F.lit(n - 1))
-    at = frame_rows.select(*keys, "ball", "players", "team", F.explode(F.filter("players", lambda p: p["team_id"] == F.col("team"))).alias("me")).withColumns({"cx": (index(F.col("me.x"), dx, cols) + 0.5) * dx, "cy": (index(F.col("me.y"), dy, rows) + 0.5) * dy})
+    stand = lambda p: F.struct(p["player_id"].alias("player_id"), ((index(p["x"], dx, cols) + 0.5) * dx).alias("cx"), ((index(p["y"], dy, rows) + 0.5) * dy).alias("cy"))
+    mine = F.array_distinct(F.transform(F.filter("players", lambda p: p["team_id"] == F.col("team")), stand))
+    at = frame_rows.select(*keys, "ball", "players", "team", F.inline(mine))
     soonest = lambda own: F.array_min(F.transform(F.filter("players", lambda p: (p["team_id"] == F.col("team")) == F.lit(own)), lambda p: G.time_to_intercept(F.col("cx"), F.col("cy"), p["x"], p["y"], p["vx"], p["vy"])))
     value = G.control_probability(soonest(True), soonest(False)) * G.ball_arrival(F.col("cx"), F.col("cy"), F.col("ball.x"), F.col("ball.y")) * G.goal_probability(F.col("cx"), F.col("cy"))
     by_value = Window.partitionBy(*keys).orderBy(F.desc("obso"), "player_id")  # at most a team's players
-    return at.select(*keys, F.col("me.player_id").alias("player_id"), value.alias("obso")).withColumn("rank", F.row_number().over(by_value))
+    return at.select(*keys, "player_id", value.alias("obso")).withColumn("rank", F.row_number().over(by_value))
+
+
+def different_balls(snapshot_rows: DataFrame) -> DataFrame:
+    """Snapshots by ball (tracking.run_frames) to a row for each different ball and team of a frame, with the frame's players."""
+    keys = ["match_id", "period", "frame_id"]
+    balls = F.collect_set(F.struct("team", F.struct("ball.x", "ball.y").alias("ball")))
+    return snapshot_rows.groupBy(*keys).agg(F.first("players", True).alias("players"), balls.alias("balls")).select(*keys, "players", F.inline("balls"))
 
 
 #: Moments of a box that are kept: all of an order (of both axes together) below this. A box is one standard deviation of the kernel wide,

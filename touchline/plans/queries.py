@@ -52,6 +52,10 @@ def _run_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracking.run_frames(_classified_balls(spark, sf_dir))
 
 
+def _ball_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tracking.snapshots(_run_frames(spark, sf_dir))
+
+
 def _valued(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = fixtures.spadl(spark, sf_dir)
     return values.apply_xt(events, values.fit_xt(events, max_sweeps=SWEEPS, tolerance=0.0))
@@ -240,7 +244,7 @@ def decisive_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def player_obso(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(surfaces.player_obso(_snapshots(spark, sf_dir)))
+    return rounded(surfaces.player_obso(surfaces.different_balls(_ball_snapshots(spark, sf_dir))))
 
 
 def formation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
