@@ -298,7 +298,7 @@ def episode_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shot_strikes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(credit.strikes(_in_episode(spark, sf_dir)))
+    return rounded(credit.ball_strikes(_run_frames(spark, sf_dir)))
 
 
 def ball_holders(spark: SparkSession, sf_dir: str) -> DataFrame:
