@@ -223,7 +223,7 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(tracking.states(_snapshots(spark, sf_dir)))
+    return rounded(tracking.ball_states(_ball_snapshots(spark, sf_dir)))
 
 
 def episode_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
