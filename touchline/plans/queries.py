@@ -227,8 +227,8 @@ def states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def episode_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frames = _in_episode(spark, sf_dir)
-    return rounded(tracking.embeddings(tracking.states(tracking.snapshots(frames)), tracking.dominant_phases(frames)))
+    frames = _run_frames(spark, sf_dir)
+    return rounded(tracking.embeddings(tracking.ball_states(tracking.snapshots(frames)), tracking.dominant_phases(frames)))
 
 
 def team_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
