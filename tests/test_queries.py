@@ -129,7 +129,7 @@ def in_order(sql):
     return sql
 
 
-@pytest.mark.parametrize("name", ["player_obso", "shot_strikes", "states", "episode_embeddings"])
+@pytest.mark.parametrize("name", ["player_obso", "shot_strikes", "states", "episode_embeddings", "episodes", "episode_outcomes", "episode_values", "dominant_phases", "snapshots", "episode_triggers"])
 def test_rows_are_the_sqls_in_one_order_of_ties(spark, shared_ids, name):
     duck, folder = shared_ids
     found = plans.queries()[name](spark, folder)

@@ -205,21 +205,20 @@ def phase_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(tracking.episodes(_classified(spark, sf_dir)))
+    return rounded(tracking.run_episodes(_run_frames(spark, sf_dir)))
 
 
 def episode_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frames = _classified(spark, sf_dir)
-    return rounded(tracking.outcomes(tracking.episode_frames(frames), tracking.episodes(frames)))
+    frames = _run_frames(spark, sf_dir)
+    return rounded(tracking.outcomes(frames, tracking.run_episodes(frames)))
 
 
 def dominant_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tracking.dominant_phases(tracking.episode_frames(_classified_balls(spark, sf_dir)))
+    return tracking.dominant_phases(_run_frames(spark, sf_dir))
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tracking.snapshots(tracking.episode_frames(_classified_balls(spark, sf_dir)))
-    return rows.select(*tracking.MATCH, "episode_id", "frame_id").distinct()
+    return _ball_snapshots(spark, sf_dir).select(*tracking.MATCH, "episode_id", "frame_id").distinct()
 
 
 def states(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -262,8 +261,8 @@ def tracking_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def episode_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frames = _classified(spark, sf_dir)
-    found = tracking.outcomes(tracking.episode_frames(frames), tracking.episodes(frames))
+    frames = _run_frames(spark, sf_dir)
+    found = tracking.outcomes(frames, tracking.run_episodes(frames))
     return rounded(found.select(*tracking.MATCH, "episode_id", retrieval.outcome_value().alias("value")))
 
 
@@ -294,7 +293,7 @@ def phase_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def episode_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(credit.trigger_frames(tracking.states(_snapshots(spark, sf_dir))))
+    return rounded(credit.trigger_frames(tracking.ball_states(_ball_snapshots(spark, sf_dir))))
 
 
 def shot_strikes(spark: SparkSession, sf_dir: str) -> DataFrame:
