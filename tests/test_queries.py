@@ -148,3 +148,8 @@ def test_ends_of_shared_ids(spark, shared_ids):
     columns = ", ".join(found.columns)
     mine = sorted(map(tuple, found.collect()))
     assert mine == sorted(duck.execute(f"SELECT {columns} FROM ({in_order(sql)})").fetchall()) and mine
+
+
+@pytest.mark.parametrize("name", ["mean_positions"])
+def test_all_balls_count_where_matches_share_an_id(spark, shared_ids, name):
+    test_rows_are_the_sqls_in_one_order_of_ties(spark, shared_ids, name)

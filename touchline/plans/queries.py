@@ -309,7 +309,7 @@ def smoothed_holders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mean_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(credit.mean_positions(_in_episode(spark, sf_dir)))
+    return rounded(credit.ball_mean_positions(_run_frames(spark, sf_dir)))
 
 
 def td_credit(spark: SparkSession, sf_dir: str) -> DataFrame:
