@@ -150,6 +150,25 @@ def test_ends_of_shared_ids(spark, shared_ids):
     assert mine == sorted(duck.execute(f"SELECT {columns} FROM ({in_order(sql)})").fetchall()) and mine
 
 
-@pytest.mark.parametrize("name", ["mean_positions"])
+@pytest.mark.parametrize("name", ["mean_positions", "obso_trajectory", "decisive_frames", "td_credit", "episode_summaries"])
 def test_all_balls_count_where_matches_share_an_id(spark, shared_ids, name):
     test_rows_are_the_sqls_in_one_order_of_ties(spark, shared_ids, name)
+
+
+def test_surface_of_a_frame_is_its_best_balls(spark):
+    """A ball of both teams, one of a single team, and one of nobody, whose surface has the least control there is."""
+    import math
+
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from touchline.operators import surfaces
+
+    people = [("home", "a", 80.0, 30.0, 0.0, 0.0, 1), ("away", "b", 60.0, 40.0, 0.0, 0.0, 1)]
+    rows = [("m", 1, 0, 1, "home", (70.0, 30.0), people), ("m", 1, 0, 1, "away", (70.0, 30.0), None), ("m", 1, 0, 1, "home", (90.0, 34.0), None), ("m", 1, 0, 2, None, (90.0, 34.0), people)]
+    kind = "match_id string, period int, episode_id int, frame_id long, team string, ball struct<x double, y double>, players array<struct<team_id string, player_id string, x double, y double, vx double, vy double, n long>>"
+    df = spark.createDataFrame(rows, kind)
+    got = {r.frame_id: r for r in surfaces.ball_trajectory(df).collect()}
+    each = surfaces.trajectory(df.filter("frame_id = 1").withColumn("players", F.first("players", True).over(Window.partitionBy("frame_id")))).collect()
+    assert got[1].obso_max == max(r.obso_max for r in each) > 0.1
+    assert 0 < got[2].obso_max < 1 / (1 + math.exp(30))

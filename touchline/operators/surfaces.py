@@ -93,12 +93,16 @@ def best_cell(rows: int, cols: int):
 
 def with_peak(frame_rows: DataFrame, rows: int = 40, cols: int = 60, where=None, to_right=None) -> DataFrame:
     """Frames (ball, players, team: the attackers') with obso_max, obso_argmax_x and obso_argmax_y; null where the condition where
-    doesn't hold. One pass of Arrow batches: nothing is exchanged.
+    doesn't hold. One pass of Arrow batches: nothing is exchanged. Frames with teams, an array, instead of team: each of these teams
+    attacks, and whoever isn't of one of them defends against that one.
 
     Without to_right all teams attack the goal at x = 105. With it (a condition of each frame: its attackers play to the right), the
     others attack the goal at x = 0; places in the result are the frame's own.
     """
-    side = lambda own: F.filter("players", lambda p: ((p["team_id"] == F.col("team")) == F.lit(own)) & (p["x"] + p["y"] + p["vx"] + p["vy"]).isNotNull())
+    one = lambda p, own: (p["team_id"] == F.col("team")) == F.lit(own)
+    some = lambda p, own: F.array_contains("teams", p["team_id"]) if own else F.size(F.array_remove("teams", p["team_id"])) > 0
+    plays = some if "teams" in frame_rows.columns else one
+    side = lambda own: F.filter("players", lambda p: plays(p, own) & (p["x"] + p["y"] + p["vx"] + p["vy"]).isNotNull())
     wanted = F.lit(True) if where is None else where
     turned = lambda x: x if to_right is None else F.when(to_right, x).otherwise(G.LENGTH - x)
     ahead = lambda own, c, v: F.when(wanted, F.transform(side(own), lambda p: turned(p[c] + p[v] * G.REACTION_S) if c == "x" else p[c] + p[v] * G.REACTION_S))
@@ -113,11 +117,34 @@ def trajectory(snapshot_rows: DataFrame, rows: int = 40, cols: int = 60) -> Data
     return with_peak(snapshot_rows.select(*keys, "ball", "players", "team"), rows, cols).drop("ball", "players", "team")
 
 
+def with_ball_peak(snapshot_rows: DataFrame, rows: int = 40, cols: int = 60) -> DataFrame:
+    """Snapshots by ball (tracking.run_frames) to one row per episode and frame: players, balls (team and ball of each row), obso_max,
+    obso_argmax_x and obso_argmax_y: the greatest value over the surfaces of all the frame's different balls, at its first cell.
+
+    For a ball whose rows are of several teams each of these attacks. A ball whose rows have no team is nobody's to score with: its
+    surface has the least control there is.
+    """
+    keys = ["match_id", "period", "episode_id", "frame_id"]
+    frame = snapshot_rows.groupBy(*keys).agg(F.first("players", True).alias("players"), F.collect_list(F.struct("team", F.struct("ball.x", "ball.y").alias("ball"))).alias("balls"))
+    each = frame.withColumn("ball", F.explode(F.array_distinct(F.transform("balls", lambda b: b["ball"]))))
+    own = F.filter("balls", lambda b: b["ball"].eqNullSafe(F.col("ball")) & b["team"].isNotNull())
+    valued = with_peak(each.withColumn("teams", F.array_distinct(F.transform(own, lambda b: b["team"]))), rows, cols)
+    least = 2 / (1 + np.exp(30.0))  # with nobody on either side with_peak takes a control of one half
+    value = F.when(F.size("teams") > 0, F.col("obso_max")).otherwise(F.col("obso_max") * least)
+    top = F.max(F.struct(value.alias("v"), (-F.col("obso_argmax_y")).alias("y"), (-F.col("obso_argmax_x")).alias("x")))
+    found = valued.groupBy(*keys).agg(F.first("players").alias("players"), F.first("balls").alias("balls"), top.alias("top"))
+    return found.select(*keys, "players", "balls", F.col("top.v").alias("obso_max"), (-F.col("top.x")).alias("obso_argmax_x"), (-F.col("top.y")).alias("obso_argmax_y"))
+
+
+def ball_trajectory(snapshot_rows: DataFrame, rows: int = 40, cols: int = 60) -> DataFrame:
+    """As trajectory, for snapshots of run_frames by ball, all of whose balls compete."""
+    return with_ball_peak(snapshot_rows, rows, cols).drop("players", "balls")
+
+
 def decisive(trajectory_rows: DataFrame, share: float = 0.5) -> DataFrame:
     """Per episode: peak and the first frame that reaches share of it, with its value; null where the peak isn't positive."""
     keys = ["match_id", "period", "episode_id"]
-    peak = trajectory_rows.groupBy(*keys).agg(F.max("obso_max").alias("peak_obso"))
-    near = trajectory_rows.join(peak, keys)
+    near = trajectory_rows.withColumn("peak_obso", F.max("obso_max").over(Window.partitionBy(*keys)))
     first = F.min(F.when((F.col("peak_obso") > 0) & (F.col("obso_max") >= share * F.col("peak_obso")), F.struct("frame_id", "obso_max")))
     return near.groupBy(*keys, "peak_obso").agg(first.alias("at")).select(*keys, "peak_obso", F.col("at.frame_id").alias("decisive_frame"), F.col("at.obso_max").alias("decisive_obso"))
 

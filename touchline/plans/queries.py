@@ -43,10 +43,6 @@ def _in_episode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracking.episode_frames(_classified(spark, sf_dir))
 
 
-def _snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tracking.snapshots(_in_episode(spark, sf_dir))
-
-
 def _run_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row per frame, visible ball and episode of its run."""
     return tracking.run_frames(_classified_balls(spark, sf_dir))
@@ -235,11 +231,11 @@ def team_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def obso_trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(surfaces.trajectory(_snapshots(spark, sf_dir)))
+    return rounded(surfaces.ball_trajectory(_ball_snapshots(spark, sf_dir)))
 
 
 def decisive_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(surfaces.decisive(surfaces.trajectory(_snapshots(spark, sf_dir))))
+    return rounded(surfaces.decisive(surfaces.ball_trajectory(_ball_snapshots(spark, sf_dir))))
 
 
 def player_obso(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -281,11 +277,10 @@ def attack_end_densities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def episode_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frames = _classified(spark, sf_dir)
-    tagged, rows = tracking.episode_frames(frames), tracking.episodes(frames)
-    snaps = tracking.snapshots(tagged)
-    threat = surfaces.decisive(surfaces.trajectory(snaps))
-    return rounded(tracking.summary(rows, tracking.outcomes(tagged, rows), tracking.dominant_phases(tagged), threat, snaps))
+    frames = _run_frames(spark, sf_dir)
+    rows, snaps = tracking.run_episodes(frames), tracking.snapshots(frames)
+    threat = surfaces.decisive(surfaces.ball_trajectory(snaps))
+    return rounded(tracking.summary(rows, tracking.outcomes(frames, rows), tracking.dominant_phases(frames), threat, snaps.select(*credit.EPISODE, "frame_id").distinct()))
 
 
 def phase_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -313,7 +308,7 @@ def mean_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def td_credit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(credit.td_credit(surfaces.with_peak(_snapshots(spark, sf_dir))))
+    return rounded(credit.ball_td_credit(surfaces.with_ball_peak(_ball_snapshots(spark, sf_dir))))
 
 
 def _peaks(tagged: DataFrame, rows: DataFrame, found: DataFrame) -> DataFrame:
